@@ -237,9 +237,9 @@ BUILT = more(
   LEFT JOIN conv x ON x.pixel_id = k.pixel_id AND x.year = ym.year AND x.month = ym.month AND x.d = n.d)""",
     DENSE_FILL.strip(),
     """filled AS (
-  SELECT r * 10 + c AS pixel_id, CAST(split_part(layer, '|', 2) AS INT) AS year,
-    CAST(split_part(layer, '|', 3) AS INT) AS month, """
-    + ", ".join(f"max(CASE WHEN split_part(layer, '|', 1) = '{c}' THEN v END) AS {c}" for c in DYN)
+  SELECT r * 10 + c AS pixel_id, CAST(string_split(layer, '|')[2] AS INT) AS year,
+    CAST(string_split(layer, '|')[3] AS INT) AS month, """
+    + ", ".join(f"max(CASE WHEN string_split(layer, '|')[1] = '{c}' THEN v END) AS {c}" for c in DYN)
     + " FROM v2 GROUP BY 1, 2, 3)",
 ) + f"""SELECT y.pixel_id, y.year, m.month, {rr(DYN, prefix='f.')},
   round(yield_wheat, 6) AS yield_wheat, round(fert_n, 6) AS fert_n, round(fert_p, 6) AS fert_p,
@@ -450,7 +450,7 @@ FROM fine WHERE v IS NOT NULL GROUP BY 1""",
     "regrid_nearest": ctes(FINE) + """SELECT (fr // 5) * 8 + fc // 5 AS pixel_id, round(v, 6) AS value
 FROM fine WHERE v IS NOT NULL AND fr % 5 = 2 AND fc % 5 = 2""",
     "regrid_bilinear": ctes(FINE) + """SELECT (fr // 4) * 10 + fc // 4 AS pixel_id, round(avg(v), 6) AS value
-FROM fine WHERE v IS NOT NULL AND fr % 4 IN (1, 2) AND fc % 4 IN (1, 2) GROUP BY 1""",
+FROM fine WHERE v IS NOT NULL AND fr % 4 BETWEEN 1 AND 2 AND fc % 4 BETWEEN 1 AND 2 GROUP BY 1""",
     "fill_3x3": FILL,
     "land_mask": """SELECT s_suppkey AS pixel_id,
   CASE WHEN s_suppkey % 9 = 0 OR (s_suppkey * 37) % 101 < 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mask FROM supplier""",
