@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,41 +72,52 @@ def aggregate_yearly(
     return table.withColumns(earlier) if earlier else table
 
 
-def fertilizer_interactions(df: DataFrame, ferts: Sequence[str] | None = None) -> DataFrame:
-    """Product of every two fertilizer columns."""
-    ferts = [c for c in df.columns if c.startswith("fert_") and "_x_" not in c] if ferts is None else list(ferts)
-    pairs = [(a, b) for i, a in enumerate(ferts) for b in ferts[i + 1:]]
-    return df.withColumns({f"{a}_x_{b}": F.col(a) * F.col(b) for a, b in pairs}) if pairs else df
+def derived_columns(
+    columns: Sequence[str], add_fertilizer_interactions: bool = False, log1p_features: Sequence[str] = ()
+) -> dict[str, str]:
+    """New and changed columns as SQL expressions over the raw ones.
 
-
-def log1p_columns(df: DataFrame, prefixes: Sequence[str]) -> DataFrame:
-    """log(1 + c) in place for columns that start with a prefix; negative values count as 0."""
-    chosen = [c for c in df.columns if any(c.startswith(p) for p in prefixes)]
-    floored = {c: F.log1p(F.when(F.col(c) < 0, 0.0).otherwise(F.col(c))) for c in chosen}
-    return df.withColumns(floored) if floored else df
+    Products of every two fertilizers, then log(1 + c), negative values as 0, for
+    columns that start with a listed prefix. Kept as expressions so that a changed
+    fertilizer level flows through them.
+    """
+    derived: dict[str, str] = {}
+    if add_fertilizer_interactions:
+        ferts = [c for c in columns if c.startswith("fert_")]
+        derived = {f"{a}_x_{b}": f"`{a}` * `{b}`" for i, a in enumerate(ferts) for b in ferts[i + 1:]}
+    for c in [*columns, *derived]:
+        if any(c.startswith(p) for p in log1p_features):
+            value = derived.get(c, f"`{c}`")
+            derived[c] = f"log1p(if({value} < 0, 0, {value}))"
+    return derived
 
 
 def derive_features(
     df: DataFrame, add_fertilizer_interactions: bool = False, log1p_features: Sequence[str] = ()
 ) -> DataFrame:
-    """Row-wise features, kept apart so that a changed fertilizer level flows through them."""
-    if add_fertilizer_interactions:
-        df = fertilizer_interactions(df)
-    return log1p_columns(df, log1p_features) if log1p_features else df
+    derived = derived_columns(df.columns, add_fertilizer_interactions, log1p_features)
+    return df.withColumns({c: F.expr(e) for c, e in derived.items()}) if derived else df
 
 
 def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
     return df.filter(F.col(target).isNotNull())
 
 
-def feature_columns(df: DataFrame, target: str, ids: Sequence[str] = PIXEL_YEAR) -> list[str]:
+def feature_columns(columns: Sequence[str], target: str, ids: Sequence[str] = PIXEL_YEAR) -> list[str]:
     """All but the target and the ids; none left is an error."""
-    cols = [c for c in df.columns if c != target and c not in set(ids)]
+    cols = [c for c in columns if c != target and c not in set(ids)]
     if not cols:
         raise ValueError("no feature column left")
     return cols
 
 
-def fill_features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Feature columns as float, 0 where missing."""
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)).cast("float") for c in cols})
+def model_features(columns: Sequence[str], target: str, derive: Mapping) -> list[str]:
+    """Feature names of an annual table once its derived columns are added."""
+    return feature_columns(list(dict.fromkeys([*columns, *derived_columns(columns, **derive)])), target)
+
+
+def feature_vector(columns: Sequence[str], features: Sequence[str], derive: Mapping) -> Column:
+    """Features of a row as one vector: float precision, 0 where missing."""
+    derived = derived_columns(columns, **derive)
+    values = [f"double(float(coalesce({derived.get(c, f'`{c}`')}, 0)))" for c in features]
+    return array_to_vector(F.expr(f"array({', '.join(values)})"))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from agropanel.functions.hashing import draw_order
 from agropanel.functions.order_stats import GROUP_LIMIT, exact_quantiles
-from agropanel.operators.metrics import correlation
+from agropanel.functions.pairwise import pairwise_correlation
 from agropanel.vocabulary import DYNAMIC_FEATURES, PANEL_KEYS, PIXEL_YEAR, SENTINELS
 
 FULL_YEAR = 12
@@ -351,21 +351,5 @@ def q22_sample(panel: DataFrame, n: int = 5000, seed: int = 0) -> DataFrame:
 
 
 def q23_correlation(panel: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Pairwise-complete correlation of all numeric columns over all rows, as (a, b, corr).
-
-    Each unordered pair is one set of running sums in a single aggregate.
-    """
-    cols = list(cols) if cols is not None else [f.name for f in _numeric(panel)]
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-
-    def pair(a: str, b: str) -> Column:
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        return correlation(F.when(y.isNotNull(), x), F.when(x.isNotNull(), y))
-
-    wide = panel.agg(*[pair(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    long = wide.unpivot([], [f"`{a}|{b}`" for a, b in pairs], "pair", "corr")
-    a, b = F.split("pair", "\\|")[0], F.split("pair", "\\|")[1]
-    both = F.array(
-        F.struct(a.alias("feature_a"), b.alias("feature_b")), F.struct(b.alias("feature_a"), a.alias("feature_b"))
-    )
-    return long.select(F.explode(F.array_distinct(both)).alias("p"), "corr").select("p.*", "corr")
+    """Pairwise-complete correlation of all numeric columns over all rows."""
+    return pairwise_correlation(panel, [f.name for f in _numeric(panel)] if cols is None else cols)

@@ -10,16 +10,16 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agropanel.functions.targets import exp_target, log_target
-from agropanel.operators.annual import derive_features, fill_features
+from agropanel.operators.annual import feature_vector
 from agropanel.operators.metrics import METRIC_NAMES, metrics
-from agropanel.operators.splits import Fold, temporal_leaveout
+from agropanel.operators.splits import Fold, labelled, temporal_leaveout
 from agropanel.runtime import checkpoint_folder
 
 LINEAR_KINDS = ("linear", "elasticnet")
@@ -86,11 +86,6 @@ def _estimator(kind: str, p: Mapping, sigma: float, n: int):
     )
 
 
-def prepare(df: DataFrame, features: Sequence[str], derive: Mapping) -> DataFrame:
-    """Derived features, then floats without gaps."""
-    return fill_features(derive_features(df, **derive), features)
-
-
 def fit(
     kind: str,
     train: DataFrame,
@@ -110,11 +105,12 @@ def fit(
     checkpoint_folder(train.sparkSession)
     label = F.col(target).cast("double")
     label = log_target(label, log_offset) if log_transform else label
-    ready = prepare(train, features, derive).withColumn("_label", label).select("_label", *features)
-    size = ready.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_label").alias("sigma")).first()
+    vector = feature_vector(train.columns, features, derive)
+    ready = train.select(label.alias("_label"), vector.alias("_raw" if kind in LINEAR_KINDS else "_x"))
+    size = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("sigma")).first()
     if not size["n"]:
         raise ValueError("no training row left")
-    stages = [VectorAssembler(inputCols=features, outputCol="_raw" if kind in LINEAR_KINDS else "_x")]
+    stages = []
     if kind in LINEAR_KINDS:
         # Spark scales by the sample deviation; the factor turns it into the population one.
         n = size["n"]
@@ -129,10 +125,10 @@ def fit(
 
 def score(model: YieldModel, df: DataFrame, out: str = "y_pred") -> DataFrame:
     """Add the prediction in target units, leaving the columns of ``df`` as they are."""
-    ready = prepare(df.withColumn("_row", F.struct("*")), model.features, model.derive)
-    z = model.pipeline.transform(ready.select("_row", *model.features))
+    inner = "_raw" if model.kind in LINEAR_KINDS else "_x"
+    z = model.pipeline.transform(df.withColumn(inner, feature_vector(df.columns, model.features, model.derive)))
     pred = exp_target(F.col("_z"), model.log_offset) if model.log_transform else F.col("_z")
-    return z.select("_row.*", pred.alias(out))
+    return z.select(*df.columns, pred.alias(out))
 
 
 def predict(model: YieldModel, df: DataFrame) -> DataFrame:
@@ -187,15 +183,12 @@ def sweep(
         split = temporal_leaveout(annual, fold.val_year, fold.test_year)
         if prepare_split is not None:
             split = prepare_split(split)
-        if split.train.isEmpty():
-            return []
         model = fit(kind, split.train, features, target, **settings, **params)
-        rows = []
-        for part in ("val", "test"):
-            row = metrics(predict(model, getattr(split, part)), target, "y_pred").first()
-            if row is not None:
-                rows.append((fold.name, json.dumps(params, sort_keys=True), part, *[row[m] for m in METRIC_NAMES]))
-        return rows
+        scores = metrics(predict(model, labelled(split, ("val", "test"))), target, "y_pred", ["split"])
+        return [
+            (fold.name, json.dumps(params, sort_keys=True), row["split"], *[row[m] for m in METRIC_NAMES])
+            for row in scores.collect()
+        ]
 
     jobs = list(itertools.product(folds, parameter_grid(grid)))
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:

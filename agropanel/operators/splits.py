@@ -19,6 +19,15 @@ class Split(NamedTuple):
     test: DataFrame
 
 
+def labelled(split: Split, parts: Sequence[str] = ("train", "val", "test")) -> DataFrame:
+    """Rows of the parts under each other, named in ``split``; a row in two parts appears twice."""
+    named = [getattr(split, part).withColumn("split", F.lit(part)) for part in parts]
+    out = named[0]
+    for more in named[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def threshold_rules(
     train_max_year: int,
     val_year: int,

@@ -263,14 +263,6 @@ def keep_keys(spark: SparkSession, folder: str) -> DataFrame:
 # --- cleaning, splits, sampling ----------------------------------------------
 
 
-def _part_rows(parts: dict[str, DataFrame]) -> DataFrame:
-    out = None
-    for name, df in parts.items():
-        rows = df.select(F.lit(name).alias("split"), *PANEL_KEYS, V.TARGET)
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 def _tagged(rules_of: Callable[[DataFrame], dict]) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         panel = V.panel(spark, folder).select(*PANEL_KEYS, V.TARGET)
@@ -295,7 +287,7 @@ def _trim(sequential: bool) -> Query:
         panel = cut_lineage(V.panel(spark, folder).select(*PANEL_KEYS, V.TARGET))
         split = P.temporal_split(C.clean(panel, V.TARGET), **SPLIT)
         split = P.quantile_trim(split, V.TARGET, 0.05, 0.95, sequential)
-        return rounded(_part_rows(split._asdict()))
+        return rounded(P.labelled(split))
 
     return query
 
@@ -385,11 +377,7 @@ def sequence_context(spark: SparkSession, folder: str) -> DataFrame:
     panel = V.panel(spark, folder).select(*PANEL_KEYS, *SEQUENCE_FEATURES, V.TARGET)
     split = P.temporal_split(cut_lineage(C.clean(panel, V.TARGET)), **SPLIT)
     parts = S.split_sequences(split, SEQUENCE_FEATURES, [], V.TARGET, history_years=2, seq_len=24)
-    out = None
-    for name, seq in zip(("train", "val", "test"), parts):
-        rows = seq.groupBy("year").agg(F.count(F.lit(1)).alias("samples")).withColumn("split", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return P.labelled(P.Split(*parts)).groupBy("split", "year").agg(F.count(F.lit(1)).alias("samples"))
 
 
 def sequence_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -414,7 +402,7 @@ def _model(kind: str, **model) -> Query:
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     done = run(V.panel(spark, folder), _settings("linear", {"alpha": 10.0}))
-    return rounded(done.predictions["test"].select(*sinks.prediction_columns(V.TARGET, PIXEL_YEAR)), 4)
+    return rounded(done.predictions().select(*sinks.prediction_columns(V.TARGET, PIXEL_YEAR)), 4)
 
 
 def response_bounds(spark: SparkSession, folder: str) -> DataFrame:
@@ -438,7 +426,7 @@ def recommend(spark: SparkSession, folder: str) -> DataFrame:
 def sweep(spark: SparkSession, folder: str) -> DataFrame:
     settings = _settings("elasticnet", {})
     table = cut_lineage(annual_table(V.panel(spark, folder), settings))
-    features = A.feature_columns(A.derive_features(table, **settings.derive), V.TARGET)
+    features = A.model_features(table.columns, V.TARGET, settings.derive)
     folds = P.temporal_cv(1998, 2000)
     grid = {"alpha": [0.05, 0.3], "l1_ratio": [0.35, 0.9]}
     scores = L.sweep(

@@ -8,11 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agropanel.operators.annual import aggregate_yearly, derive_features, drop_missing_target, feature_columns
+from agropanel.operators.annual import aggregate_yearly, drop_missing_target, model_features
 from agropanel.operators.clean import Roles, clean, feature_set, project
 from agropanel.operators.metrics import metrics, metrics_by_year, parity_range, residuals
 from agropanel.operators.models import YieldModel, fit, predict, save_model
-from agropanel.operators.splits import Split, quantile_trim, split_panel
+from agropanel.operators.splits import Split, labelled, quantile_trim, split_panel
 from agropanel.runtime import cut_lineage
 from agropanel.sources.sinks import metrics_document, prediction_columns, write_csv, write_metrics
 from agropanel.vocabulary import PIXEL_YEAR
@@ -53,33 +53,36 @@ class RunSettings:
 
 @dataclass(frozen=True)
 class Run:
+    """``scored`` is a written table: split, ids, target, y_pred, residual."""
+
     model: YieldModel
     annual: DataFrame
     split: Split
-    predictions: dict[str, DataFrame]
+    scored: DataFrame
+
+    def predictions(self, part: str = "test") -> DataFrame:
+        return self.scored.filter(F.col("split") == part).drop("split")
 
     def metrics(self, part: str = "test") -> DataFrame:
-        return metrics(self.predictions[part], self.model.target, "y_pred")
+        return metrics(self.predictions(part), self.model.target, "y_pred")
 
     def metrics_by_split(self) -> DataFrame:
-        tagged = [df.withColumn("split", F.lit(part)) for part, df in self.predictions.items()]
-        whole = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
-        return metrics(whole, self.model.target, "y_pred", ["split"])
+        return metrics(self.scored, self.model.target, "y_pred", ["split"])
 
     def metrics_by_year(self) -> DataFrame:
-        return metrics_by_year(self.predictions["test"], self.model.target, "y_pred")
+        return metrics_by_year(self.predictions(), self.model.target, "y_pred")
 
     def residuals_by_year(self) -> DataFrame:
-        return residuals(self.predictions["test"], self.model.target, "y_pred")
+        return residuals(self.predictions(), self.model.target, "y_pred")
 
     def parity(self) -> DataFrame:
-        return parity_range(self.predictions["test"], self.model.target, "y_pred")
+        return parity_range(self.predictions(), self.model.target, "y_pred")
 
     def write(self, path: str, crop: str) -> None:
         """Predictions as CSV, scores as JSON, residuals as CSV and the model."""
         label = f"{crop}_{self.model.kind}"
         columns = prediction_columns(self.model.target, PIXEL_YEAR)
-        write_csv(self.predictions["test"].select(*columns), f"{path}/preds_{label}_test")
+        write_csv(self.predictions().select(*columns), f"{path}/preds_{label}_test")
         write_csv(self.residuals_by_year(), f"{path}/residuals_by_year_{label}")
         document = metrics_document(
             self.metrics(), self.metrics_by_year(), self.metrics_by_split(), config_name=label
@@ -101,16 +104,19 @@ def annual_table(panel: DataFrame, settings: RunSettings) -> DataFrame:
 
 
 def run(panel: DataFrame, settings: RunSettings) -> Run:
-    """The annual table is written once; split, thresholds, fit and scores read it from there."""
+    """The annual table is written once; split, thresholds and fit read it from there.
+
+    So are the predictions: every score and report reads them, none predicts again.
+    """
     annual = cut_lineage(annual_table(panel, settings))
     if annual.isEmpty():
         raise ValueError("the annual table is empty: check cleaning and aggregation settings")
     split = split_panel(annual, **settings.split)
     split = quantile_trim(split, settings.target, *settings.trim)
-    features = feature_columns(derive_features(annual, **settings.derive), settings.target)
+    features = model_features(annual.columns, settings.target, settings.derive)
     model = fit(
         settings.kind, split.train, features, settings.target, settings.log_transform, settings.log_offset,
         settings.derive, **settings.model,
     )
-    predictions = {part: predict(model, getattr(split, part)) for part in ("train", "val", "test")}
-    return Run(model, annual, split, predictions)
+    scored = predict(model, labelled(split)).select("split", *prediction_columns(settings.target, PIXEL_YEAR))
+    return Run(model, annual, split, cut_lineage(scored))
