@@ -4,29 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agropanel.operators.metrics import METRIC_NAMES
 
 
 def write_panel(df: DataFrame, path: str, mode: str = "overwrite") -> int:
-    """Snappy parquet, one folder per year; a panel without rows is an error. Returns the row count.
+    """Snappy parquet, one folder per year; a panel without rows is an error. Returns the rows there.
 
     The rebalance hint lets adaptive execution split large years over many files
     and put small ones together. With ``mode="overwrite"`` and the session set to
     dynamic partition overwrite, only the written years are replaced.
     """
-    written = Observation()
-    (
-        df.observe(written, F.count(F.lit(1)).alias("rows"))
-        .hint("rebalance", "year")
-        .write.mode(mode)
-        .option("compression", "snappy")
-        .partitionBy("year")
-        .parquet(path)
-    )
-    rows = written.get["rows"]
+    df.hint("rebalance", "year").write.mode(mode).option("compression", "snappy").partitionBy("year").parquet(path)
+    # Answered from the file footers.
+    rows = df.sparkSession.read.schema(df.schema).parquet(path).count()
     if not rows:
         raise ValueError("the panel has no rows: check mask, sources, year range and missing-data rule")
     return rows
@@ -79,7 +72,7 @@ def collect_runs(spark: SparkSession, root: str, metric: str = "acc@20%") -> Dat
     Files that are no JSON or lack the score are passed over.
     """
     text = (
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True)
         .select("value", F.col("_metadata.file_path").alias("path"))
         .filter(F.col("path").rlike(r"/metrics_[^/]*\.json(/|$)"))
     )
