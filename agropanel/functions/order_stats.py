@@ -15,8 +15,17 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Rows one task may hold for a single group, and where many groups may meet in a task.
 GROUP_LIMIT = 1_000_000
+GROUPED_LIMIT = 100_000
 MAX_RANGES = 100_000
+BROADCAST_ROWS = 1_000_000
+
+
+def group_limit(by: Sequence[str], limit: int | None = None) -> int:
+    if limit is not None:
+        return limit
+    return GROUPED_LIMIT if by else GROUP_LIMIT
 
 
 def group_sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -53,7 +62,7 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     by: Sequence[str] = (),
-    limit: int = GROUP_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """One row per group: ``by`` columns, ``n`` (present values), ``quantiles`` (array).
 
@@ -61,10 +70,8 @@ def exact_quantiles(
     keep a row with NULL quantiles only if they are small; callers drop missing
     values first.
     """
-    by = list(by)
+    by, limit = list(by), group_limit(by, limit)
     rows = df.select(*by, F.col(value).cast("double").alias("_v"))
-    sizes = group_sizes(rows, by)
-    hot_keys = sizes.filter(F.col("_n") > limit).select(*by, "_n") if by else None
     array = F.array(*[F.lit(float(p)) for p in probs])
 
     def plain(part: DataFrame) -> DataFrame:
@@ -74,18 +81,25 @@ def exact_quantiles(
         total = rows.count()
         if total <= limit:
             return plain(rows)
-        return _ranged_quantiles(rows.withColumn("_g", F.lit(0)), ["_g"], probs, total, limit).drop("_g")
+        return _ranged_quantiles(rows.withColumn("_g", F.lit(0)), ["_g"], probs, total, 1, limit).drop("_g")
 
-    hot_rows = hot_keys.agg(F.sum("_n")).first()[0]
-    if not hot_rows:
+    hot_keys = group_sizes(rows, by).filter(F.col("_n") > limit)
+    hot_rows, hot_groups = hot_keys.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    if not hot_groups:
         return plain(rows)
-    hot = _null_safe(rows, hot_keys.select(*by), by, "left_semi")
-    rest = _null_safe(rows, hot_keys.select(*by), by, "left_anti")
-    return plain(rest).unionByName(_ranged_quantiles(hot, by, probs, hot_rows, limit))
+    keys = _small(hot_keys.select(*by), hot_groups)
+    hot = _null_safe(rows, keys, by, "left_semi")
+    rest = _null_safe(rows, keys, by, "left_anti")
+    return plain(rest).unionByName(_ranged_quantiles(hot, by, probs, hot_rows, hot_groups, limit))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table whose row count is known to be small; otherwise leave the choice to Spark."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def _ranged_quantiles(
-    rows: DataFrame, by: list[str], probs: Sequence[float], total: int, limit: int
+    rows: DataFrame, by: list[str], probs: Sequence[float], total: int, groups: int, limit: int
 ) -> DataFrame:
     present = rows.filter(F.col("_v").isNotNull())
     ranged = value_ranges(present, "_v", total, limit).transform(present)
@@ -124,8 +138,9 @@ def _ranged_quantiles(
 
     # Order only the ranges that hold a wanted position, equal values counted once.
     keys = [*by, "_range"]
+    located = _small(located, 2 * len(probs) * groups)
     values = (
-        _null_safe(ranged, located.select(*keys), keys, "left_semi")
+        _null_safe(ranged, located, keys, "left_semi")
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
@@ -145,7 +160,7 @@ def _ranged_quantiles(
     )
 
 
-def quantile_values(df: DataFrame, value: str, probs: Sequence[float], limit: int = GROUP_LIMIT) -> list[float]:
+def quantile_values(df: DataFrame, value: str, probs: Sequence[float], limit: int | None = None) -> list[float]:
     """Quantiles of a whole column as plain numbers (NULL values are left out)."""
     present = df.select(value).filter(F.col(value).isNotNull())
     row = exact_quantiles(present, value, probs, limit=limit).first()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agropanel.functions.climate import vapour_pressure_deficit
-from agropanel.functions.order_stats import GROUP_LIMIT, exact_quantiles
+from agropanel.functions.order_stats import exact_quantiles
 from agropanel.vocabulary import DATASETS, Dataset
 
 
@@ -24,7 +24,7 @@ def month_bounds(df: DataFrame) -> DataFrame:
 
 
 def composite(
-    df: DataFrame, keys: Sequence[str], agg: str = "mean", value: str = "value", ts: str = "ts", limit: int = GROUP_LIMIT
+    df: DataFrame, keys: Sequence[str], agg: str = "mean", value: str = "value", ts: str = "ts", limit: int | None = None
 ) -> DataFrame:
     """``sum``, ``median`` or (any other name) ``mean`` per key and month, missing values left out."""
     by = [*keys, "year", "month"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agropanel.functions.hashing import draw_order
-from agropanel.functions.order_stats import GROUP_LIMIT, exact_quantiles
+from agropanel.functions.order_stats import exact_quantiles
 from agropanel.functions.pairwise import pairwise_correlation
 from agropanel.vocabulary import DYNAMIC_FEATURES, PANEL_KEYS, PIXEL_YEAR, SENTINELS
 
@@ -174,7 +174,7 @@ def q09_missing_by_month(panel: DataFrame, cols: Sequence[str] = DYNAMIC_FEATURE
     return wide.unpivot("month", cols, "feature", "fraction_missing").orderBy("month", "feature")
 
 
-def q10_target_stats(panel: DataFrame, target: str, limit: int = GROUP_LIMIT) -> DataFrame:
+def q10_target_stats(panel: DataFrame, target: str, limit: int | None = None) -> DataFrame:
     present = panel.select(F.col(target).cast("double").alias("t"))
     moments = present.agg(
         F.avg("t").alias("mean"), F.min("t").alias("min"), F.max("t").alias("max"), F.stddev_pop("t").alias("std")
@@ -337,7 +337,7 @@ def q20_calendar(panel: DataFrame) -> DataFrame:
     return parts.select("e.*").distinct().orderBy("part", "value")
 
 
-def q21_rows_per_pixel(panel: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def q21_rows_per_pixel(panel: DataFrame, limit: int | None = None) -> DataFrame:
     per_pixel = panel.groupBy("pixel_id").agg(F.count(F.lit(1)).alias("n"))
     q = exact_quantiles(per_pixel, "n", [0.0, 0.25, 0.5, 0.75, 1.0], limit=limit)
     names = ["min", "q25", "median", "q75", "max"]

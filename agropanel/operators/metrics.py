@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agropanel.functions.order_stats import (
-    GROUP_LIMIT,
     _null_safe,
     exact_quantiles,
+    group_limit,
     largest_group,
     quantile_values,
     rank_table,
@@ -61,14 +61,14 @@ def _by_iqr(rmse: Column, quartiles: Column) -> Column:
 
 
 def metrics(
-    df: DataFrame, y: str, p: str, by: Sequence[str] = (), limit: int = GROUP_LIMIT
+    df: DataFrame, y: str, p: str, by: Sequence[str] = (), limit: int | None = None
 ) -> DataFrame:
     """One row of scores per key; a key without any pair gives no row.
 
     Groups up to ``limit`` rows rank and take quartiles in place. Larger ones
     go through the range-wise ranks and quantiles, so no task holds a group.
     """
-    by = list(by)
+    by, limit = list(by), group_limit(by, limit)
     pairs = df.select(
         *by, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p")
     ).filter(F.col("_y").isNotNull() & F.col("_p").isNotNull())
@@ -111,24 +111,28 @@ def _metrics_ranged(pairs: DataFrame, by: list[str], limit: int) -> DataFrame:
     # Equal pairs travel once; both joins have one row per distinct value on the right.
     rows = keyed.groupBy(*keys, "_y", "_p").agg(F.count(F.lit(1)).alias("_w"))
     rows = _null_safe(_null_safe(rows, rank_y, [*keys, "_y"], "inner"), rank_p, [*keys, "_p"], "inner")
-    # Ranks of n rows average (n + 1) / 2, so the sums below are taken about that centre.
-    centred = _null_safe(rows, base.select(*keys, "n"), keys, "inner")
-    ry, rp, w = F.col("_ry") - (F.col("n") + 1) / 2, F.col("_rp") - (F.col("n") + 1) / 2, F.col("_w")
-    rho = F.try_divide(F.sum(w * ry * rp), F.sqrt(F.sum(w * ry * ry)) * F.sqrt(F.sum(w * rp * rp)))
-    spearman = centred.groupBy(*keys).agg(
-        F.when(F.max("n") < 2, 0.0).otherwise(rho).alias("spearman_rho")
+    # Ranks of n rows always average (n + 1) / 2, so plain sums of products are enough.
+    ry, rp, w = F.col("_ry"), F.col("_rp"), F.col("_w")
+    n = F.sum(w)
+    centre = n * ((n + 1) / 2) * ((n + 1) / 2)
+    rho = F.try_divide(
+        F.sum(w * ry * rp) - centre, F.sqrt(F.sum(w * ry * ry) - centre) * F.sqrt(F.sum(w * rp * rp) - centre)
+    )
+    flat = (F.min("_y") == F.max("_y")) | (F.min("_p") == F.max("_p"))
+    spearman = rows.groupBy(*keys).agg(
+        F.when(n < 2, 0.0).when(flat, F.lit(None)).otherwise(rho).alias("spearman_rho")
     )
     out = _null_safe(_null_safe(base, quartiles, keys, "left"), spearman, keys, "left")
     return out.withColumn("nrmse_iqr", _by_iqr(F.col("rmse"), F.col("quantiles"))).drop("quantiles")
 
 
-def metrics_by_year(df: DataFrame, y: str, p: str, year: str = "year", limit: int = GROUP_LIMIT) -> DataFrame:
+def metrics_by_year(df: DataFrame, y: str, p: str, year: str = "year", limit: int | None = None) -> DataFrame:
     """Scores per year, best first."""
     return metrics(df, y, p, [year], limit).orderBy("rmse", year)
 
 
 def residuals(
-    df: DataFrame, y: str, p: str, by: Sequence[str] = ("year",), limit: int = GROUP_LIMIT
+    df: DataFrame, y: str, p: str, by: Sequence[str] = ("year",), limit: int | None = None
 ) -> DataFrame:
     """Mean, median, sample deviation and count of prediction minus truth per key."""
     rows = df.select(*by, (F.col(p).cast("double") - F.col(y).cast("double")).alias("res"))
@@ -142,7 +146,7 @@ def residuals(
     return _null_safe(moments, middle, by, "inner").select(*by, "mean", "median", "std", "count")
 
 
-def parity_range(df: DataFrame, y: str, p: str, limit: int = GROUP_LIMIT) -> DataFrame:
+def parity_range(df: DataFrame, y: str, p: str, limit: int | None = None) -> DataFrame:
     """1st and 99th percentile of truth and prediction pooled."""
     pooled = df.select(F.explode(F.array(F.col(y).cast("double"), F.col(p).cast("double"))).alias("value"))
     pooled = pooled.filter(F.col("value").isNotNull() & ~F.isnan("value"))
@@ -150,7 +154,7 @@ def parity_range(df: DataFrame, y: str, p: str, limit: int = GROUP_LIMIT) -> Dat
     return exact_quantiles(pooled, "value", [0.01, 0.99], limit=limit).select(low.alias("lo"), high.alias("hi"))
 
 
-def parity_bounds(df: DataFrame, y: str, p: str, limit: int = GROUP_LIMIT) -> tuple[float, float]:
+def parity_bounds(df: DataFrame, y: str, p: str, limit: int | None = None) -> tuple[float, float]:
     pooled = df.select(F.explode(F.array(F.col(y).cast("double"), F.col(p).cast("double"))).alias("value"))
     low, high = quantile_values(pooled, "value", [0.01, 0.99], limit)
     return low, high

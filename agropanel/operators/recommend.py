@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agropanel.functions.order_stats import GROUP_LIMIT, exact_quantiles
+from agropanel.functions.order_stats import exact_quantiles
 from agropanel.operators.models import YieldModel, score
 from agropanel.runtime import cut_lineage
 from agropanel.vocabulary import PIXEL_YEAR
@@ -16,7 +16,7 @@ Bounds = dict[str, tuple[float, float]]
 
 
 def response_bounds_frame(
-    df: DataFrame, ferts: Sequence[str], lo: float = 0.01, hi: float = 0.99, limit: int = GROUP_LIMIT
+    df: DataFrame, ferts: Sequence[str], lo: float = 0.01, hi: float = 0.99, limit: int | None = None
 ) -> DataFrame:
     """``feature, lo, hi``: low and high quantile of each column over all rows."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in ferts]).unpivot([], list(ferts), "feature", "value")
@@ -25,7 +25,7 @@ def response_bounds_frame(
     return q.select("feature", F.col("quantiles")[0].alias("lo"), F.col("quantiles")[1].alias("hi"))
 
 
-def response_bounds(df: DataFrame, ferts: Sequence[str], limit: int = GROUP_LIMIT) -> Bounds:
+def response_bounds(df: DataFrame, ferts: Sequence[str], limit: int | None = None) -> Bounds:
     rows = response_bounds_frame(df, ferts, limit=limit).collect()
     return {r["feature"]: (r["lo"], r["hi"]) for r in rows}
 
@@ -71,21 +71,19 @@ def _try_levels(model: YieldModel, best: DataFrame, column: str, levels: Sequenc
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(v)).alias("v")) for i, v in enumerate(levels)])
     state = [c for c in best.columns if c not in PIXEL_YEAR]
     trials = (
-        best.withColumn("_now", F.struct(*state))
-        .withColumn("_t", F.explode(steps))
+        best.withColumn("_t", F.explode(steps))
+        # The wide row travels with its first trial only.
+        .withColumn("_now", F.when(F.col("_t.i") == 0, F.struct(*state)))
         .withColumn(column, F.col("_t.v").cast(kind))
     )
-    tried = score(model, trials, "_p")
+    tried = score(model, trials, "_p").select(*PIXEL_YEAR, "_now", "_t", "_p")
     # The highest prediction wins; among equals the lowest level, which is tried first.
-    winner = F.max_by(
-        F.struct(F.col("_p").alias("p"), F.col("_t.v").alias("v"), F.col("_now").alias("now")),
-        F.struct(F.col("_p"), -F.col("_t.i")),
-    )
-    folded = tried.groupBy(*PIXEL_YEAR).agg(winner.alias("_w"))
-    better = F.col("_w.p") > F.col("_w.now.pred_opt")
+    winner = F.max(F.struct(F.col("_p").alias("p"), (-F.col("_t.i")).alias("i"), F.col("_t.v").alias("v")))
+    folded = tried.groupBy(*PIXEL_YEAR).agg(winner.alias("_w"), F.first("_now", ignorenulls=True).alias("_now"))
+    better = F.col("_w.p") > F.col("_now.pred_opt")
 
     def kept(c: str):
-        now = F.col(f"_w.now.{c}")
+        now = F.col(f"_now.{c}")
         if c == column:
             return F.when(better, F.col("_w.v").cast(kind)).otherwise(now).alias(c)
         if c == f"_best_{column}":

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agropanel.functions.hashing import draw_order
-from agropanel.functions.order_stats import GROUP_LIMIT, exact_quantiles
+from agropanel.functions.order_stats import exact_quantiles
 from agropanel.operators.assemble import keep_keys
 from agropanel.vocabulary import PIXEL_YEAR
 
@@ -33,7 +33,7 @@ def downsample_keys(
     per_year_max: int,
     stratify: str = "yield_decile",
     seed: int = 1337,
-    limit: int = GROUP_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Kept (pixel, year) keys.
 
@@ -45,9 +45,9 @@ def downsample_keys(
         raise ValueError(f"unknown stratification {stratify!r}")
     keys = train.select(*PIXEL_YEAR, F.col(target).cast("double").alias("_y")).distinct()
     order = draw_order(F.col("pixel_id"), F.col("year"), seed=seed)
-    # One row per year each: a calendar, attached by key.
+    # One row per calendar year, here and for the edges below: small whatever the table.
     sizes = keys.groupBy("year").agg(F.count(F.lit(1)).alias("_size"))
-    sized = keys.join(sizes, "year")
+    sized = keys.join(F.broadcast(sizes), "year")
     whole = sized.filter(F.col("_size") <= per_year_max).select(*PIXEL_YEAR)
     large = sized.filter(F.col("_size") > per_year_max)
     if stratify == "random":
@@ -59,7 +59,7 @@ def downsample_keys(
         below = F.size(F.filter("_edges", lambda e: e < F.col("_y")))
         bins = F.greatest(F.size("_edges") - 1, F.lit(1))
         per_bin = F.greatest(F.floor(F.lit(per_year_max) / bins), F.lit(1)).cast("int")
-        binned = large.join(edges, "year").withColumn("_bin", F.greatest(below - 1, F.lit(0)))
+        binned = large.join(F.broadcast(edges), "year").withColumn("_bin", F.greatest(below - 1, F.lit(0)))
         picked = _first_by_order(binned.filter(F.col("_y").isNotNull()), ["year", "_bin"], per_bin, order)
     return whole.unionByName(picked.select(*PIXEL_YEAR)).distinct()
 
@@ -70,7 +70,7 @@ def downsample(
     per_year_max: int,
     stratify: str = "yield_decile",
     seed: int = 1337,
-    limit: int = GROUP_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Training rows whose (pixel, year) was kept."""
     return keep_keys(train, downsample_keys(train, target, per_year_max, stratify, seed, limit))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agropanel.functions.hashing import spatial_fold
-from agropanel.functions.order_stats import GROUP_LIMIT, quantile_values
+from agropanel.functions.order_stats import quantile_values
 
 
 class Split(NamedTuple):
@@ -143,7 +143,7 @@ def quantile_trim(
     lo: float | None,
     hi: float | None,
     sequential: bool = True,
-    limit: int = GROUP_LIMIT,
+    limit: int | None = None,
 ) -> Split:
     """Drop rows outside training quantiles from every part.
 
