@@ -425,7 +425,7 @@ FROM preds GROUP BY year ORDER BY 2 LIMIT 1""",
     "panel_roundtrip": BASE + """SELECT year, count(*) AS rows, round(sum(chirps_precip), 6) AS precip,
   count(modis_ndvi) AS ndvi, count(yield_wheat) AS yields FROM panel GROUP BY year""",
     "layers_roundtrip": BASE + union(
-        f"""SELECT '{c}' AS dataset, year, month, count({c}) AS cells, round(sum({c}), 6) AS total
+        f"""SELECT '{c}' AS dataset, year, month, count({c}) AS cells, round(sum(CAST(CAST({c} AS FLOAT) AS DOUBLE)), 6) AS total
 FROM panel GROUP BY year, month""" for c in ("chirps_precip", "modis_ndvi")
     ),
     "parse_names": ctes(ITEMS) + r"""SELECT name,
@@ -475,6 +475,14 @@ UNION ALL SELECT 'era5_temp2m', pixel_id, year, month, round(avg(l_discount + 27
   round(CASE WHEN {tetens('t')} - {tetens('td')} < 0 THEN 0 ELSE {tetens('t')} - {tetens('td')} END, 6) AS vpd
 FROM (SELECT l_suppkey AS cell, CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month,
   avg(273.15 + l_quantity) AS t, avg(273.15 + l_quantity * (1 - l_discount)) AS td FROM lineitem GROUP BY 1, 2, 3)""",
+    "layer_export": ctes(ITEMS, """cells AS (
+  SELECT pixel_id, year, month, sum(l_quantity) AS q, avg(l_quantity + 273.15) AS t,
+    avg(l_quantity + 273.15 - l_discount * 10) AS td FROM items GROUP BY 1, 2, 3)""", f"""long AS (
+  SELECT 'chirps_precip' AS dataset, pixel_id, year, month, q AS v FROM cells
+  UNION ALL SELECT 'era5_temp2m', pixel_id, year, month, t FROM cells
+  UNION ALL SELECT 'era5_vpd', pixel_id, year, month, greatest({tetens('t')} - {tetens('td')}, 0) FROM cells)""")
+    + """SELECT dataset, year, month, (pixel_id // 10 // 2) * 5 + pixel_id % 10 // 2 AS pixel_id, round(avg(v), 6) AS value
+FROM long GROUP BY 1, 2, 3, 4""",
     "units": BASE + union(
         f"SELECT '{c}' AS dataset, count({c}) AS cells, round(avg({physical(c)}), 6) AS mean FROM panel" for c in DYN
     ),

@@ -25,6 +25,7 @@ from agropanel.operators import sampling as D
 from agropanel.operators import sequences as S
 from agropanel.operators import splits as P
 from agropanel.plans import views as V
+from agropanel.plans.layer_export import monthly_layers
 from agropanel.plans.panel_build import build_panel
 from agropanel.plans.tabular_run import ENHANCED, ENHANCED_DERIVED, RunSettings, annual_table, run
 from agropanel.runtime import checkpoint_folder, cut_lineage
@@ -86,8 +87,7 @@ def panel_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 def layers_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     root = _scratch(spark, "layers")
     sinks.write_layers(V.layers(spark, folder), root)
-    schema = "pixel_id BIGINT, value DOUBLE, dataset STRING, year INT, month INT"
-    back = tables.read_layers(spark, root, *YEARS, "chirps_precip, modis_ndvi", schema)
+    back = tables.read_layers(spark, root, *YEARS, "chirps_precip, modis_ndvi")
     return rounded(
         back.groupBy("dataset", "year", "month").agg(F.count("value").alias("cells"), F.sum("value").alias("total"))
     )
@@ -210,6 +210,20 @@ def composite_datasets(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(M.composite_datasets(long, ["cell"]))
 
 
+def layer_export(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily amounts and two temperatures per supplier cell to monthly layers on a grid twice as coarse."""
+    grid = V.panel_grid(spark, folder)
+    key = F.col("l_suppkey")
+    kelvin = F.col("l_quantity") + 273.15
+    obs = V.table(spark, folder, "lineitem").select(
+        (grid.col_of(key) + 0.5).alias("lon"), (-grid.row_of(key) - 0.5).alias("lat"), F.col("l_shipdate").alias("ts"),
+        F.col("l_quantity").alias("chirps_precip"), kelvin.alias("era5_temp2m"),
+        (kelvin - F.col("l_discount") * 10).alias("era5_dewpoint2m"),
+    ).unpivot(["lon", "lat", "ts"], ["chirps_precip", "era5_temp2m", "era5_dewpoint2m"], "dataset", "value")
+    target = G.GridSpec(0.0, 0.0, 2.0, 2.0, 5, -(-grid.height // 2))
+    return rounded(monthly_layers(obs, target, *YEARS, "chirps_precip,era5_temp2m,era5_vpd"))
+
+
 def vpd_month(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(M.vpd(V.temps(spark, folder), ["cell"]))
 
@@ -514,6 +528,7 @@ QUERIES: dict[str, Query] = {
     "composite_daily": composite_daily,
     "composite_datasets": composite_datasets,
     "vpd_month": vpd_month,
+    "layer_export": layer_export,
     "units": units,
     "sentinels": sentinels,
     # assembly

@@ -26,7 +26,8 @@ def write_panel(df: DataFrame, path: str, mode: str = "overwrite") -> int:
 
 
 def write_layers(df: DataFrame, root: str, mode: str = "append") -> None:
-    """Layer cells, one folder per dataset, year and month."""
+    """Layer cells in single precision, one folder per dataset, year and month."""
+    df = df.withColumn("value", F.col("value").cast("float"))
     df.hint("rebalance", "dataset", "year", "month").write.mode(mode).partitionBy("dataset", "year", "month").parquet(root)
 
 
