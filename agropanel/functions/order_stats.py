@@ -32,9 +32,11 @@ def group_sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group; one pass that shuffles only one count per group and task."""
-    return group_sizes(df, by).agg(F.max("_n")).first()[0] or 0
+def size_summary(df: DataFrame, by: Sequence[str]) -> tuple[int, int, int]:
+    """Rows of the largest group, rows, groups; one pass that shuffles one count per group and task."""
+    n = F.col("_n")
+    row = group_sizes(df, by).agg(F.max(n), F.sum(n), F.count(n)).first()
+    return row[0] or 0, row[1] or 0, row[2]
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -46,15 +48,20 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def value_ranges(df: DataFrame, value: str, rows: int, limit: int) -> Bucketizer:
-    """Cut points giving ranges of at most about ``limit`` rows (equal values stay together)."""
+def value_ranges(df: DataFrame, values: Sequence[str], rows: int, limit: int) -> list[Bucketizer]:
+    """Per column, cut points giving ranges of at most about ``limit`` rows (equal values stay together).
+
+    One pass serves all columns; only the cut points reach the driver.
+    """
     wanted = min(MAX_RANGES, max(2, math.ceil(4 * rows / max(limit, 1))))
     probs = [i / wanted for i in range(1, wanted)]
-    cuts = df.approxQuantile(value, probs, 1.0 / (4 * wanted))
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) < 3:
-        splits = [float("-inf"), 0.0, float("inf")]
-    return Bucketizer(splits=splits, inputCol=value, outputCol="_range")
+    found = df.approxQuantile(list(values), probs, 1.0 / (4 * wanted))
+
+    def ranges(value: str, cuts: list[float]) -> Bucketizer:
+        inner = sorted(set(cuts)) or [0.0]
+        return Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol=value, outputCol="_range")
+
+    return [ranges(value, cuts) for value, cuts in zip(values, found)]
 
 
 def exact_quantiles(
@@ -102,7 +109,14 @@ def _ranged_quantiles(
     rows: DataFrame, by: list[str], probs: Sequence[float], total: int, groups: int, limit: int
 ) -> DataFrame:
     present = rows.filter(F.col("_v").isNotNull())
-    ranged = value_ranges(present, "_v", total, limit).transform(present)
+    return ranged_quantiles(present, "_v", by, probs, groups, value_ranges(present, ["_v"], total, limit)[0])
+
+
+def ranged_quantiles(
+    present: DataFrame, value: str, by: list[str], probs: Sequence[float], groups: int, ranges: Bucketizer
+) -> DataFrame:
+    """Exact quantiles of ``groups`` groups whose values are cut by ``ranges``."""
+    ranged = ranges.transform(present).withColumnRenamed(value, "_v")
 
     # How many rows lie below each range, per group: at most MAX_RANGES rows a group.
     counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_c"))
@@ -169,17 +183,17 @@ def quantile_values(df: DataFrame, value: str, probs: Sequence[float], limit: in
     return [float(q) for q in row["quantiles"]]
 
 
-def rank_table(df: DataFrame, value: str, by: Sequence[str], rows: int, limit: int = GROUP_LIMIT) -> DataFrame:
+def rank_table(df: DataFrame, value: str, by: Sequence[str], ranges: Bucketizer) -> DataFrame:
     """``by``, ``value`` and its average rank (ties share it), over value ranges.
 
     Each distinct value appears once, so a value that fills a third of the table
-    costs one row here.
+    costs one row here. The rows below a range are summed from the same counts.
     """
     by = list(by)
-    ranged = value_ranges(df, value, rows, limit).transform(df.select(*by, value))
+    ranged = ranges.transform(df.select(*by, value))
     counts = ranged.groupBy(*by, "_range", value).agg(F.count(F.lit(1)).alias("_c"))
-    offsets = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rc"))
     before = Window.partitionBy(*by).orderBy("_range")
+    offsets = counts.groupBy(*by, "_range").agg(F.sum("_c").alias("_rc"))
     offsets = offsets.select(*by, "_range", (F.sum("_rc").over(before) - F.col("_rc")).alias("_below"))
     in_range = Window.partitionBy(*by, "_range").orderBy(value)
     ranked = _null_safe(counts, offsets, [*by, "_range"], "inner")

@@ -11,9 +11,11 @@ from agropanel.functions.order_stats import (
     _null_safe,
     exact_quantiles,
     group_limit,
-    largest_group,
     quantile_values,
     rank_table,
+    ranged_quantiles,
+    size_summary,
+    value_ranges,
 )
 
 # Names and order of the scores.
@@ -72,11 +74,11 @@ def metrics(
     pairs = df.select(
         *by, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p")
     ).filter(F.col("_y").isNotNull() & F.col("_p").isNotNull())
-    largest = largest_group(pairs, by)
+    largest, rows, groups = size_summary(pairs, by)
     if largest <= limit:
         out = _metrics_in_place(pairs, by)
     else:
-        out = _metrics_ranged(pairs, by, limit)
+        out = _metrics_ranged(pairs, by, rows, groups, limit)
     return out.filter(F.col("n") > 0).select(*by, *[F.col(f"`{m}`") for m in METRIC_NAMES])
 
 
@@ -100,14 +102,14 @@ def _metrics_in_place(pairs: DataFrame, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by).agg(*[c.alias(name) for name, c in scores.items()])
 
 
-def _metrics_ranged(pairs: DataFrame, by: list[str], limit: int) -> DataFrame:
+def _metrics_ranged(pairs: DataFrame, by: list[str], total: int, groups: int, limit: int) -> DataFrame:
     keyed = pairs if by else pairs.withColumn("_g", F.lit(0))
     keys = by or ["_g"]
-    total = keyed.count()
     base = keyed.groupBy(*keys).agg(*[c.alias(name) for name, c in _scores(F.col("_y"), F.col("_p")).items()])
-    quartiles = exact_quantiles(keyed, "_y", [0.25, 0.75], by=keys, limit=limit).select(*keys, "quantiles")
-    rank_y = rank_table(keyed, "_y", keys, total, limit).withColumnRenamed("_rank", "_ry")
-    rank_p = rank_table(keyed, "_p", keys, total, limit).withColumnRenamed("_rank", "_rp")
+    ranges_y, ranges_p = value_ranges(keyed, ["_y", "_p"], total, limit)
+    quartiles = ranged_quantiles(keyed.drop("_p"), "_y", keys, [0.25, 0.75], groups, ranges_y).select(*keys, "quantiles")
+    rank_y = rank_table(keyed, "_y", keys, ranges_y).withColumnRenamed("_rank", "_ry")
+    rank_p = rank_table(keyed, "_p", keys, ranges_p).withColumnRenamed("_rank", "_rp")
     # Equal pairs travel once; both joins have one row per distinct value on the right.
     rows = keyed.groupBy(*keys, "_y", "_p").agg(F.count(F.lit(1)).alias("_w"))
     rows = _null_safe(_null_safe(rows, rank_y, [*keys, "_y"], "inner"), rank_p, [*keys, "_p"], "inner")

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from agropanel.functions.order_stats import exact_quantiles, largest_group, quantile_values, rank_table
+from agropanel.functions.order_stats import exact_quantiles, quantile_values, rank_table, size_summary, value_ranges
 from agropanel.functions.pairwise import pairwise_correlation
 from agropanel.operators.metrics import METRIC_NAMES, metrics
 
@@ -52,16 +52,16 @@ def test_no_value_is_an_error(spark):
         quantile_values(df, "v", [0.5])
 
 
-def test_largest_group(skewed):
+def test_size_summary(skewed):
     _, df = skewed
-    assert largest_group(df, ["g"]) == 2002
-    assert largest_group(df, []) == 2012
-    assert largest_group(df.filter("false"), ["g"]) == 0
+    assert size_summary(df, ["g"]) == (2002, 2012, 3)
+    assert size_summary(df, []) == (2012, 2012, 1)
+    assert size_summary(df.filter("false"), ["g"]) == (0, 0, 0)
 
 
 def test_rank_table(skewed):
     pdf, df = skewed
-    got = rank_table(df, "v", ["g"], 2012, 20).toPandas().set_index(["g", "v"])["_rank"]
+    got = rank_table(df, "v", ["g"], value_ranges(df, ["v"], 2012, 20)[0]).toPandas().set_index(["g", "v"])["_rank"]
     pdf = pdf.assign(rank=pdf.groupby("g")["v"].rank())
     want = pdf.drop_duplicates().set_index(["g", "v"])["rank"]
     pd.testing.assert_series_equal(got.sort_index(), want.sort_index(), check_names=False)
@@ -104,6 +104,6 @@ def test_pairwise_correlation_of_columns_never_present_together(spark):
 
 def test_hot_value_is_counted_before_it_is_ordered(skewed):
     _, df = skewed
-    plan = rank_table(df, "v", ["g"], 2012, 20)._jdf.queryExecution().executedPlan().toString()
+    plan = rank_table(df, "v", ["g"], value_ranges(df, ["v"], 2012, 20)[0])._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "CartesianProduct" not in plan
     assert df.agg(F.count("v")).first()[0] == 2012
