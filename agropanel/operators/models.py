@@ -23,7 +23,8 @@ from agropanel.operators.splits import Fold, labelled, temporal_leaveout
 from agropanel.runtime import checkpoint_folder
 
 LINEAR_KINDS = ("linear", "elasticnet")
-KINDS = (*LINEAR_KINDS, "random_forest", "gbrt", "xgboost")
+BOOSTED_KINDS = ("gbrt", "xgboost")
+KINDS = (*LINEAR_KINDS, "random_forest", *BOOSTED_KINDS)
 
 # Settings used where a run gives none.
 DEFAULTS = {
@@ -94,9 +95,13 @@ def fit(
     log_transform: bool = False,
     log_offset: float = 1.0,
     derive: Mapping | None = None,
+    val: DataFrame | None = None,
     **params,
 ) -> YieldModel:
-    """Fit one of ``KINDS`` on annual rows; ``derive`` are the settings of ``derive_features``."""
+    """Fit one of ``KINDS`` on annual rows; ``derive`` are the settings of ``derive_features``.
+
+    With ``val`` the boosted kinds stop once its error no longer falls.
+    """
     if kind not in KINDS:
         raise ValueError(f"unknown model {kind!r}; known: {', '.join(KINDS)}")
     settings = {**DEFAULTS[kind], **params}
@@ -106,7 +111,8 @@ def fit(
     label = F.col(target).cast("double")
     label = log_target(label, log_offset) if log_transform else label
     vector = feature_vector(train.columns, features, derive)
-    ready = train.select(label.alias("_label"), vector.alias("_raw" if kind in LINEAR_KINDS else "_x"))
+    columns = [label.alias("_label"), vector.alias("_raw" if kind in LINEAR_KINDS else "_x")]
+    ready = train.select(*columns)
     size = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("sigma")).first()
     if not size["n"]:
         raise ValueError("no training row left")
@@ -119,7 +125,14 @@ def fit(
             StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True),
             ElementwiseProduct(inputCol="_std", outputCol="_x", scalingVec=Vectors.dense([factor] * len(features))),
         ]
-    stages.append(_estimator(kind, settings, size["sigma"] or 1.0, size["n"]))
+    estimator = _estimator(kind, settings, size["sigma"] or 1.0, size["n"])
+    if val is not None:
+        if kind not in BOOSTED_KINDS:
+            raise ValueError(f"{kind!r} takes no validation rows")
+        held_out = val.select(*columns, F.lit(True).alias("_held_out"))
+        ready = ready.withColumn("_held_out", F.lit(False)).unionByName(held_out)
+        estimator = estimator.setParams(validationIndicatorCol="_held_out", validationTol=1e-6)
+    stages.append(estimator)
     return YieldModel(Pipeline(stages=stages).fit(ready), kind, features, target, log_transform, log_offset, derive)
 
 

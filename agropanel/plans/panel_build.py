@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from agropanel.functions.climate import convert_units, null_sentinels
 from agropanel.operators.assemble import rule_a, widen, with_static
-from agropanel.operators.grid import GridSpec, fill_3x3, kept_pixels
+from agropanel.operators.grid import GridSpec, fill_3x3, is_filled, kept_pixels
 from agropanel.vocabulary import DYNAMIC_FEATURES, PANEL_KEYS, target_column
 
 LAYER = ["dataset", "year", "month"]
@@ -31,6 +31,17 @@ def yearly_features(sources: DataFrame, features: Sequence[str], by: Sequence[st
     return null_sentinels(sources, ["value"]).groupBy(*by).agg(*columns)
 
 
+def static_features(sources: DataFrame, features: Sequence[str], grid: GridSpec, passes: int = 2) -> DataFrame:
+    """Static cells (pixel_id, feature, value) to one column per feature; gaps are filled where the policy allows."""
+    filled = [f for f in features if is_filled(f)]
+    cells = null_sentinels(sources, ["value"]).select("feature", "pixel_id", "value")
+    kept = cells.filter(~F.col("feature").isin(*filled)) if filled else cells
+    if filled:
+        open_cells = cells.filter(F.col("feature").isin(*filled))
+        kept = kept.unionByName(fill_3x3(open_cells, grid, ["feature"], passes))
+    return yearly_features(kept, features, ["pixel_id"])
+
+
 def build_panel(
     layers: DataFrame,
     yields: DataFrame,

@@ -16,7 +16,7 @@ from agropanel.operators import clean as C
 from agropanel.operators import composite as M
 from agropanel.operators import normalise as N
 from agropanel.operators.grid import GridSpec
-from agropanel.plans.panel_build import build_panel, yearly_features
+from agropanel.plans.panel_build import build_panel, static_features, yearly_features
 
 PIXEL = "pixel_id long, year int, month int"
 
@@ -140,6 +140,13 @@ def test_yearly_features(frame):
     assert tuple(yearly_features(src, ["fert_a", "fert_b", "fert_c"]).first()) == (1, 2000, 1.0, None, None)
 
 
+def test_static_features_follow_the_fill_policy(frame):
+    rows = [("fert_s", 0, 1.0), ("fert_s", 1, -9999.0), ("static_s", 0, 4.0), ("static_s", 1, None)]
+    src = frame(rows, "feature string, pixel_id long, value double")
+    got = static_features(src, ["fert_s", "static_s"], GridSpec(0, 0, 1, 1, 2, 1)).orderBy("pixel_id").collect()
+    assert [tuple(r) for r in got] == [(0, 1.0, 4.0), (1, None, 4.0)]
+
+
 def test_roles():
     cols = ["pixel_id", "fert_n", "static_a", "modis_ndvi", "era5_vpd", "x_fert_"]
     roles = C.select_columns(cols)

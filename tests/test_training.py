@@ -305,6 +305,15 @@ def test_trees_learn(law, kind, params):
     assert scores["r2"] > 0.6
 
 
+def test_boosting_stops_on_validation_rows(law):
+    _, df = law
+    train, val = df.filter("year < 2004"), df.filter("year = 2004")
+    model = L.fit("gbrt", train, FEATURES, "y", val=val, n_estimators=60, learning_rate=1.0)
+    assert model.pipeline.stages[-1].getNumTrees < 60
+    with pytest.raises(ValueError):
+        L.fit("linear", train, FEATURES, "y", val=val)
+
+
 def test_log_model_and_saving(law, tmp_path, spark):
     _, df = law
     model = L.fit("linear", df, FEATURES, "y", log_transform=True, derive={"log1p_features": ["fert_"]})
