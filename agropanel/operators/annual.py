@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -72,22 +72,29 @@ def aggregate_yearly(
     return table.withColumns(earlier) if earlier else table
 
 
+def quoted(column: str) -> str:
+    return f"`{column}`"
+
+
 def derived_columns(
-    columns: Sequence[str], add_fertilizer_interactions: bool = False, log1p_features: Sequence[str] = ()
+    columns: Sequence[str],
+    add_fertilizer_interactions: bool = False,
+    log1p_features: Sequence[str] = (),
+    place: Callable[[str], str] = quoted,
 ) -> dict[str, str]:
     """New and changed columns as SQL expressions over the raw ones.
 
     Products of every two fertilizers, then log(1 + c), negative values as 0, for
     columns that start with a listed prefix. Kept as expressions so that a changed
-    fertilizer level flows through them.
+    fertilizer level flows through them. ``place`` tells where a raw column is found.
     """
     derived: dict[str, str] = {}
     if add_fertilizer_interactions:
         ferts = [c for c in columns if c.startswith("fert_")]
-        derived = {f"{a}_x_{b}": f"`{a}` * `{b}`" for i, a in enumerate(ferts) for b in ferts[i + 1:]}
+        derived = {f"{a}_x_{b}": f"{place(a)} * {place(b)}" for i, a in enumerate(ferts) for b in ferts[i + 1:]}
     for c in [*columns, *derived]:
         if any(c.startswith(p) for p in log1p_features):
-            value = derived.get(c, f"`{c}`")
+            value = derived.get(c, place(c))
             derived[c] = f"log1p(if({value} < 0, 0, {value}))"
     return derived
 
@@ -116,8 +123,10 @@ def model_features(columns: Sequence[str], target: str, derive: Mapping) -> list
     return feature_columns(list(dict.fromkeys([*columns, *derived_columns(columns, **derive)])), target)
 
 
-def feature_vector(columns: Sequence[str], features: Sequence[str], derive: Mapping) -> Column:
+def feature_vector(
+    columns: Sequence[str], features: Sequence[str], derive: Mapping, place: Callable[[str], str] = quoted
+) -> Column:
     """Features of a row as one vector: float precision, 0 where missing."""
-    derived = derived_columns(columns, **derive)
-    values = [f"double(float(coalesce({derived.get(c, f'`{c}`')}, 0)))" for c in features]
+    derived = derived_columns(columns, **derive, place=place)
+    values = [f"double(float(coalesce({derived.get(c) or place(c)}, 0)))" for c in features]
     return array_to_vector(F.expr(f"array({', '.join(values)})"))

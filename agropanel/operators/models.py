@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agropanel.functions.targets import exp_target, log_target
-from agropanel.operators.annual import feature_vector
+from agropanel.operators.annual import feature_vector, quoted
 from agropanel.operators.metrics import METRIC_NAMES, metrics
 from agropanel.operators.splits import Fold, labelled, temporal_leaveout
 from agropanel.runtime import checkpoint_folder
@@ -136,10 +136,20 @@ def fit(
     return YieldModel(Pipeline(stages=stages).fit(ready), kind, features, target, log_transform, log_offset, derive)
 
 
-def score(model: YieldModel, df: DataFrame, out: str = "y_pred") -> DataFrame:
-    """Add the prediction in target units, leaving the columns of ``df`` as they are."""
+def score(
+    model: YieldModel,
+    df: DataFrame,
+    out: str = "y_pred",
+    columns: Sequence[str] | None = None,
+    place: Callable[[str], str] = quoted,
+) -> DataFrame:
+    """Add the prediction in target units, leaving the columns of ``df`` as they are.
+
+    ``columns`` and ``place`` name the raw annual columns and where they are, if not at the top.
+    """
     inner = "_raw" if model.kind in LINEAR_KINDS else "_x"
-    z = model.pipeline.transform(df.withColumn(inner, feature_vector(df.columns, model.features, model.derive)))
+    vector = feature_vector(columns or df.columns, model.features, model.derive, place)
+    z = model.pipeline.transform(df.withColumn(inner, vector))
     pred = exp_target(F.col("_z"), model.log_offset) if model.log_transform else F.col("_z")
     return z.select(*df.columns, pred.alias(out))
 

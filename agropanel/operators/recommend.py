@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agropanel.functions.order_stats import exact_quantiles
@@ -54,42 +54,48 @@ def recommend(
     short and a lost executor cheap.
     """
     grid = candidates(bounds, levels)
-    ferts = [c for c in grid if c in annual.columns]
-    best = score(model, annual, "pred_base").withColumn("pred_opt", F.col("pred_base"))
-    best = best.withColumns({f"_best_{c}": F.lit(None).cast("double") for c in ferts})
-    best = cut_lineage(best)
+    columns = annual.columns
+    ferts = [c for c in grid if c in columns]
+
+    def place(c: str) -> str:
+        return f"`{c}`" if c in grid else f"_row.`{c}`"
+
+    def scored(df: DataFrame, out: str) -> DataFrame:
+        return score(model, df, out, columns, place)
+
+    # Only the searched columns change; all others travel as one.
+    start = annual.select(*PIXEL_YEAR, *ferts, F.struct(*[c for c in columns if c not in grid]).alias("_row"))
+    best = scored(start, "pred_base").withColumn("pred_opt", F.col("pred_base"))
+    best = cut_lineage(best.withColumns({f"_best_{c}": F.lit(None).cast("double") for c in ferts}))
     for _ in range(passes):
         step = best.repartition(*PIXEL_YEAR)
         for c in ferts:
-            step = _try_levels(model, step, c, grid[c])
+            step = _try_levels(scored, step, c, grid[c])
         best = cut_lineage(step)
     return best.select(*PIXEL_YEAR, "pred_base", "pred_opt", *[F.col(f"_best_{c}").alias(c) for c in ferts])
 
 
-def _try_levels(model: YieldModel, best: DataFrame, column: str, levels: Sequence[float]) -> DataFrame:
+def _try_levels(
+    scored: Callable[[DataFrame, str], DataFrame], best: DataFrame, column: str, levels: Sequence[float]
+) -> DataFrame:
     kind = best.schema[column].dataType
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(v)).alias("v")) for i, v in enumerate(levels)])
     state = [c for c in best.columns if c not in PIXEL_YEAR]
     trials = (
         best.withColumn("_t", F.explode(steps))
-        # The wide row travels with its first trial only.
+        # The state of the row travels with its first trial only.
         .withColumn("_now", F.when(F.col("_t.i") == 0, F.struct(*state)))
         .withColumn(column, F.col("_t.v").cast(kind))
     )
-    tried = score(model, trials, "_p").select(*PIXEL_YEAR, "_now", "_t", "_p")
+    tried = scored(trials, "_p").select(*PIXEL_YEAR, "_now", "_t", "_p")
     # The highest prediction wins; among equals the lowest level, which is tried first.
     winner = F.max(F.struct(F.col("_p").alias("p"), (-F.col("_t.i")).alias("i"), F.col("_t.v").alias("v")))
     folded = tried.groupBy(*PIXEL_YEAR).agg(winner.alias("_w"), F.first("_now", ignorenulls=True).alias("_now"))
     better = F.col("_w.p") > F.col("_now.pred_opt")
+    changed = {column: F.col("_w.v").cast(kind), f"_best_{column}": F.col("_w.v"), "pred_opt": F.col("_w.p")}
 
-    def kept(c: str):
+    def kept(c: str) -> Column:
         now = F.col(f"_now.{c}")
-        if c == column:
-            return F.when(better, F.col("_w.v").cast(kind)).otherwise(now).alias(c)
-        if c == f"_best_{column}":
-            return F.when(better, F.col("_w.v")).otherwise(now).alias(c)
-        if c == "pred_opt":
-            return F.when(better, F.col("_w.p")).otherwise(now).alias(c)
-        return now.alias(c)
+        return (F.when(better, changed[c]).otherwise(now) if c in changed else now).alias(c)
 
     return folded.select(*PIXEL_YEAR, *[kept(c) for c in state])
