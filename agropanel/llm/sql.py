@@ -7,4 +7,13 @@ SQL = {
                doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm)
     """,
+    "op10_wacz": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             d AS (SELECT page_id, octet_length(encode(html)) AS n, sha256(html) AS digest FROM p),
+             g AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to
+        FROM g
+    """,
 }

@@ -6,24 +6,47 @@ columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agropanel.llm import exact_dedup, minhash_dedup
+from agropanel.llm import byte_bpe, decontam, exact_dedup, minhash_dedup, quality_gam
 from agropanel.runtime import cut_lineage
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def keep_good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_gam.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.kept_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash_dedup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    return _without(docs, minhash_dedup.near_duplicates(docs).where("not kept").select("doc_id"))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    leaks = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, leaks.select("doc_id").distinct())
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, the ids of every text and the digest of the bytes they decode to."""
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    decoded = byte_bpe.decode(byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN), vocabulary)
+    return decoded.selectExpr("doc_id", "ids", "cast(size(ids) as long) AS n_tokens", "sha2(bytes, 256) AS decoded_sha256")
 
 
 STAGES = [
+    ("quality classifier", keep_good_texts),
     ("exact dedup", drop_exact_copies),
     ("near dedup", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("byte-level BPE", encode_texts),
 ]
 
 #: The stages include a fitted classifier and tokenizer ids, which SQL cannot express; tests hold them against brute force.
