@@ -49,7 +49,7 @@ def text_features(column: pa.Array) -> np.ndarray:
         lines = [x for x in data.tobytes().split(b"\n") if x.strip()]
         out[row, 6:9] = kinds[2] / letters, kinds[3] / chars, kinds[6] / chars
         out[row, 9] = kinds[5]
-        out[row, 10:13] = len(lines), kinds[7], 1 - len(set(lines)) / max(1, len(lines))
+        out[row, 10:13] = len(lines), kinds[7], 1 - len(set(lines)) / len(lines) if lines else 0.0
         out[row, 1] = kinds[1] + kinds[2] + kinds[3]
     for row, words in batch_words(column):
         n = len(words)

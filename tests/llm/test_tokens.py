@@ -77,7 +77,7 @@ def test_token_files(spark, data):
 def test_token_files_are_delta_encoded_with_page_indexes(spark, tmp_path):
     import pyarrow.parquet as pq
 
-    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('some words here ', 30) AS text").coalesce(1)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 40), i -> md5(cast(id * 41 + i AS string))), ' ') AS text").coalesce(1)
     token_files.write(docs, str(tmp_path / "t"), WORDS, 2, row_group_bytes=64 << 10, page_bytes=4 << 10)
     files = sorted((tmp_path / "t").glob("*.parquet"))
     meta = pq.ParquetFile(files[0]).metadata
