@@ -29,6 +29,7 @@ STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every state partition reserves megabytes of disk
 }
 
 
@@ -90,15 +91,19 @@ def digest_state(rows: DataFrame, max_bytes_per_trigger: int) -> DataFrame:
         return cut_lineage(state.select("key.digest", "value.min.doc_id", "value.min.file", "value.min.at", F.col("value.count").alias("n")))
 
 
-def decisions(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest_hex: int = 64, max_bytes_per_trigger: int = 64 << 30,
+def decisions(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, keep_id, group_size, kept, text_sha256, file, at`` for every row; options as in ``decide``."""
+    return decide(located(docs), **options)
+
+
+def decide(
+    rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest_hex: int = 64, max_bytes_per_trigger: int = 64 << 30,
 ) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256, file, at`` for every row.
+    """The decisions on ``located(...)`` rows.
 
     ``digest_hex`` is the number of hex digits of the SHA-256 that key the state;
     fewer make collisions, which the byte comparison resolves.
     """
-    rows = located(docs)
     text = normalised(F.col(f"row.`{text_col}`"))
     texts = rows.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), text.alias("norm"), "file", "at").withColumn("text_sha256", F.sha2("norm", 256)).withColumn(
         "digest", F.substring("text_sha256", 1, digest_hex)
@@ -146,5 +151,5 @@ def _collisions(texts: DataFrame, groups: DataFrame, total: int) -> DataFrame:
 def kept_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
     rows = located(docs)
-    gone = decisions(docs, **options).where("not kept").select("file", "at")
+    gone = decide(rows, **options).where("not kept").select("file", "at")
     return rows.join(gone, ["file", "at"], "left_anti").select("row.*")
