@@ -1,45 +1,24 @@
 """Exact quantiles and average ranks that no single task has to hold.
 
-``percentile`` and an ordered window are exact, but keep a whole group in one
-task. They are used for groups up to ``limit`` rows. Larger groups are cut into
-value ranges of about equal size first: ranges are counted, the wanted position
-is located in one of them, and only that range is ordered.
+There is one way for every size. Distinct values are counted per group, so a value
+that fills a third of the table is one row. The counts are dealt to ascending
+ranges of (group, value) and written once; Spark samples the bounds of the ranges.
+Sums of the counts per range give the place of a range's first row, a running sum
+within the range the place of each value, and quantiles and ranks are read off the
+same written table. NaN comes after all numbers, as ``percentile`` orders it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows one task may hold for a single group, and where many groups may meet in a task.
-GROUP_LIMIT = 1_000_000
-GROUPED_LIMIT = 100_000
-MAX_RANGES = 100_000
-BROADCAST_ROWS = 1_000_000
+from agropanel.runtime import cut_lineage
 
 
-def group_limit(by: Sequence[str], limit: int | None = None) -> int:
-    if limit is not None:
-        return limit
-    return GROUPED_LIMIT if by else GROUP_LIMIT
-
-
-def group_sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-
-
-def size_summary(df: DataFrame, by: Sequence[str]) -> tuple[int, int, int]:
-    """Rows of the largest group, rows, groups; one pass that shuffles one count per group and task."""
-    n = F.col("_n")
-    row = group_sizes(df, by).agg(F.max(n), F.sum(n), F.count(n)).first()
-    return row[0] or 0, row[1] or 0, row[2]
-
-
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join that also matches NULL keys, keeping the left copy of the keys."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     condition = F.lit(True)
@@ -48,154 +27,69 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def value_ranges(df: DataFrame, values: Sequence[str], rows: int, limit: int) -> list[Bucketizer]:
-    """Per column, cut points giving ranges of at most about ``limit`` rows (equal values stay together).
+def placed_values(rows: DataFrame, value: str, by: Sequence[str], weight: str | None = None) -> DataFrame:
+    """``by, value, _c, _first, n``: each distinct value, its rows, the place of the first of them, the group's rows.
 
-    One pass serves all columns; only the cut points reach the driver.
+    ``rows`` has present values only; ``weight`` is a column that says how many rows a row stands for.
     """
-    wanted = min(MAX_RANGES, max(2, math.ceil(4 * rows / max(limit, 1))))
-    probs = [i / wanted for i in range(1, wanted)]
-    found = df.approxQuantile(list(values), probs, 1.0 / (4 * wanted))
-
-    def ranges(value: str, cuts: list[float]) -> Bucketizer:
-        inner = sorted(set(cuts)) or [0.0]
-        return Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol=value, outputCol="_range")
-
-    return [ranges(value, cuts) for value, cuts in zip(values, found)]
-
-
-def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    limit: int | None = None,
-) -> DataFrame:
-    """One row per group: ``by`` columns, ``n`` (present values), ``quantiles`` (array).
-
-    Linear interpolation between neighbours. Groups without any present value
-    keep a row with NULL quantiles only if they are small; callers drop missing
-    values first.
-    """
-    by, limit = list(by), group_limit(by, limit)
-    rows = df.select(*by, F.col(value).cast("double").alias("_v"))
-    array = F.array(*[F.lit(float(p)) for p in probs])
-
-    def plain(part: DataFrame) -> DataFrame:
-        return part.groupBy(*by).agg(F.count("_v").alias("n"), F.percentile("_v", array).alias("quantiles"))
-
-    if not by:
-        total = rows.count()
-        if total <= limit:
-            return plain(rows)
-        return _ranged_quantiles(rows.withColumn("_g", F.lit(0)), ["_g"], probs, total, 1, limit).drop("_g")
-
-    hot_keys = group_sizes(rows, by).filter(F.col("_n") > limit)
-    hot_rows, hot_groups = hot_keys.agg(F.sum("_n"), F.count(F.lit(1))).first()
-    if not hot_groups:
-        return plain(rows)
-    keys = _small(hot_keys.select(*by), hot_groups)
-    hot = _null_safe(rows, keys, by, "left_semi")
-    rest = _null_safe(rows, keys, by, "left_anti")
-    return plain(rest).unionByName(_ranged_quantiles(hot, by, probs, hot_rows, hot_groups, limit))
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table whose row count is known to be small; otherwise leave the choice to Spark."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def _ranged_quantiles(
-    rows: DataFrame, by: list[str], probs: Sequence[float], total: int, groups: int, limit: int
-) -> DataFrame:
-    present = rows.filter(F.col("_v").isNotNull())
-    return ranged_quantiles(present, "_v", by, probs, groups, value_ranges(present, ["_v"], total, limit)[0])
-
-
-def ranged_quantiles(
-    present: DataFrame, value: str, by: list[str], probs: Sequence[float], groups: int, ranges: Bucketizer
-) -> DataFrame:
-    """Exact quantiles of ``groups`` groups whose values are cut by ``ranges``."""
-    ranged = ranges.transform(present).withColumnRenamed(value, "_v")
-
-    # How many rows lie below each range, per group: at most MAX_RANGES rows a group.
-    counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*by).orderBy("_range")
-    whole = Window.partitionBy(*by)
-    counts = counts.select(
-        *by, "_range",
-        (F.sum("_c").over(upto) - F.col("_c")).alias("_below"),
-        F.sum("_c").over(upto).alias("_upto"),
-        F.sum("_c").over(whole).alias("n"),
-    )
+    by = list(by)
+    many = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = rows.groupBy(*by, value).agg(many.alias("_c"))
+    # The number of the range is read once and written, so all that follows sees the same ranges.
+    ranged = cut_lineage(counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(*by, "_range").agg(F.sum("_c").alias("_rows"))
+    before, whole = Window.partitionBy(*by).orderBy("_range"), Window.partitionBy(*by)
+    offsets = sums.select(*by, "_range", (F.sum("_rows").over(before) - F.col("_rows")).alias("_below"), F.sum("_rows").over(whole).alias("n"))
+    inside = Window.partitionBy(*by, "_range").orderBy(value)
+    ordered = ranged.withColumn("_upto", F.sum("_c").over(inside))
+    placed = null_safe_join(ordered, offsets, [*by, "_range"], "inner")
+    return placed.select(*by, value, "_c", (F.col("_below") + F.col("_upto") - F.col("_c")).alias("_first"), "n")
+
+
+def quantiles_of(placed: DataFrame, value: str, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """``by, n, quantiles`` of ``placed_values``, with linear interpolation between neighbours."""
+    by = list(by)
 
-    # Wanted positions: for every probability the two neighbours to interpolate.
-    def neighbours(i: int, p: float) -> list[Column]:
+    def wanted(i: int, p: float) -> list[Column]:
         at = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(at), F.ceil(at)
-        part = at - lo
+        low = F.floor(at)
         return [
-            F.struct(F.lit(i).alias("i"), lo.cast("long").alias("pos"), (1 - part).alias("w")),
-            F.struct(F.lit(i).alias("i"), hi.cast("long").alias("pos"), part.alias("w")),
+            F.struct(F.lit(i).alias("i"), low.cast("long").alias("place"), (1 - (at - low)).alias("w")),
+            F.struct(F.lit(i).alias("i"), (low + 1).cast("long").alias("place"), (at - low).alias("w")),
         ]
 
-    wanted = F.array(*[s for i, p in enumerate(probs) for s in neighbours(i, p)])
-
-    def inside(first: str, after: str):
-        return lambda s: (s["pos"] >= F.col(first)) & (s["pos"] < F.col(after))
-
-    located = (
-        counts.withColumn("_want", F.filter(wanted, inside("_below", "_upto")))
-        .filter(F.size("_want") > 0)
-        .select(*by, "_range", "_below", "n", "_want")
-    )
-
-    # Order only the ranges that hold a wanted position, equal values counted once.
-    keys = [*by, "_range"]
-    located = _small(located, 2 * len(probs) * groups)
-    values = (
-        _null_safe(ranged, located, keys, "left_semi")
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    in_range = Window.partitionBy(*keys).orderBy("_v")
-    values = values.withColumn("_end", F.sum("_c").over(in_range))
-    hits = (
-        _null_safe(values, located, keys, "inner")
-        .withColumn("_first", F.col("_below") + F.col("_end") - F.col("_c"))
-        .withColumn("_after", F.col("_below") + F.col("_end"))
-        .select(*by, "n", "_v", F.explode(F.filter("_want", inside("_first", "_after"))).alias("_s"))
+    # A neighbour without weight is left out: infinity times nothing would be NaN.
+    here = F.filter(
+        F.array(*[s for i, p in enumerate(probs) for s in wanted(i, p)]),
+        lambda s: (s["w"] > 0) & (s["place"] >= F.col("_first")) & (s["place"] < F.col("_first") + F.col("_c")),
     )
-    return hits.groupBy(*by).agg(
-        F.first("n").alias("n"),
-        F.array(
-            *[F.sum(F.when(F.col("_s.i") == i, F.col("_v") * F.col("_s.w"))) for i in range(len(probs))]
-        ).alias("quantiles"),
+    hits = placed.select(*by, "n", F.col(value).alias("_v"), here.alias("_here")).filter(F.size("_here") > 0)
+    # One value on both sides of the place is that value itself, without a sum.
+    parts = hits.select(*by, "n", "_v", F.explode("_here").alias("_s")).groupBy(*by, "n", F.col("_s.i").alias("_i"), "_v").agg(F.sum("_s.w").alias("_w"))
+    term = F.when(F.col("_w") > 1 - 1e-12, F.col("_v")).otherwise(F.col("_v") * F.col("_w"))
+    return parts.groupBy(*by).agg(
+        F.first("n").alias("n"), F.array(*[F.sum(F.when(F.col("_i") == i, term)) for i in range(len(probs))]).alias("quantiles")
     )
 
 
-def quantile_values(df: DataFrame, value: str, probs: Sequence[float], limit: int | None = None) -> list[float]:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """One row per group with a present value: ``by`` columns, ``n`` (present values), ``quantiles`` (array)."""
+    by = list(by)
+    rows = df.select(*by, F.col(value).cast("double").alias("_q")).filter(F.col("_q").isNotNull())
+    keys = by or ["_all"]
+    rows = rows if by else rows.withColumn("_all", F.lit(0))
+    found = quantiles_of(placed_values(rows, "_q", keys), "_q", probs, keys)
+    return found if by else found.drop("_all")
+
+
+def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[float]:
     """Quantiles of a whole column as plain numbers (NULL values are left out)."""
-    present = df.select(value).filter(F.col(value).isNotNull())
-    row = exact_quantiles(present, value, probs, limit=limit).first()
-    if row is None or row["quantiles"] is None:
+    row = exact_quantiles(df, value, probs).first()
+    if row is None:
         raise ValueError(f"no present value in {value!r}")
     return [float(q) for q in row["quantiles"]]
 
 
-def rank_table(df: DataFrame, value: str, by: Sequence[str], ranges: Bucketizer) -> DataFrame:
-    """``by``, ``value`` and its average rank (ties share it), over value ranges.
-
-    Each distinct value appears once, so a value that fills a third of the table
-    costs one row here. The rows below a range are summed from the same counts.
-    """
-    by = list(by)
-    ranged = ranges.transform(df.select(*by, value))
-    counts = ranged.groupBy(*by, "_range", value).agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*by).orderBy("_range")
-    offsets = counts.groupBy(*by, "_range").agg(F.sum("_c").alias("_rc"))
-    offsets = offsets.select(*by, "_range", (F.sum("_rc").over(before) - F.col("_rc")).alias("_below"))
-    in_range = Window.partitionBy(*by, "_range").orderBy(value)
-    ranked = _null_safe(counts, offsets, [*by, "_range"], "inner")
-    end = F.col("_below") + F.sum("_c").over(in_range)
-    return ranked.select(*by, value, (end - (F.col("_c") - 1) / 2).alias("_rank"))
+def ranks_of(placed: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """``by``, ``value`` and its average rank (ties share it) of ``placed_values``."""
+    return placed.select(*by, value, (F.col("_first") + (F.col("_c") + 1) / 2).alias("_rank"))

@@ -25,9 +25,12 @@ def _task_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype("float64") for c in batch.columns])
         there = ~np.isnan(rows)
         if shift is None:
-            # Sums are taken about a value of the column, so that none of them cancels.
-            first = there.argmax(axis=0)
-            shift = np.nan_to_num(rows[first, np.arange(rows.shape[1])])
+            shift, known = np.zeros(rows.shape[1]), np.zeros(rows.shape[1], bool)
+        # Sums are taken about a column's first present value, so that none of them cancels.
+        # Until a column has one, its sums are zero and its shift may still be set.
+        new = there.any(axis=0) & ~known
+        shift[new] = rows[there.argmax(axis=0), np.arange(rows.shape[1])][new]
+        known |= new
         moved = np.where(there, rows - shift, 0.0)
         mask = there.astype("float64")
         sums = np.stack([mask.T @ mask, moved.T @ mask, (moved * moved).T @ mask, moved.T @ moved])

@@ -24,7 +24,7 @@ def month_bounds(df: DataFrame) -> DataFrame:
 
 
 def composite(
-    df: DataFrame, keys: Sequence[str], agg: str = "mean", value: str = "value", ts: str = "ts", limit: int | None = None
+    df: DataFrame, keys: Sequence[str], agg: str = "mean", value: str = "value", ts: str = "ts"
 ) -> DataFrame:
     """``sum``, ``median`` or (any other name) ``mean`` per key and month, missing values left out."""
     by = [*keys, "year", "month"]
@@ -32,7 +32,7 @@ def composite(
     agg = agg.lower()
     if agg == "median":
         present = rows.filter(F.col(value).isNotNull())
-        middle = exact_quantiles(present, value, [0.5], by, limit)
+        middle = exact_quantiles(present, value, [0.5], by)
         return middle.select(*by, F.col("quantiles")[0].alias(value))
     reduced = F.sum(value) if agg == "sum" else F.avg(value)
     return rows.groupBy(*by).agg(reduced.alias(value))
@@ -41,17 +41,25 @@ def composite(
 def composite_datasets(
     df: DataFrame, keys: Sequence[str], datasets: Mapping[str, Dataset] = DATASETS, value: str = "value"
 ) -> DataFrame:
-    """All summed and averaged datasets of one observation table in a single aggregation."""
-    summed = [k for k, d in datasets.items() if d.agg == "sum"]
-    averaged = [k for k, d in datasets.items() if d.agg == "mean"]
+    """All datasets of one observation table: sums and means in one aggregation, medians beside it.
+
+    A dataset whose reduction is neither ``sum`` nor ``median`` is averaged; datasets that are not listed are left out.
+    """
+    named = {kind: [k for k, d in datasets.items() if d.agg.lower() == kind] for kind in ("sum", "median")}
+    other = [k for k in datasets if k not in named["sum"] + named["median"]]
     by = ["dataset", *keys, "year", "month"]
-    rows = with_month(df.filter(F.col("dataset").isin(*summed, *averaged)))
-    chosen = F.when(F.col("dataset").isin(*summed), F.col("_sum")).otherwise(F.col("_mean"))
-    return (
-        rows.groupBy(*by)
+    rows = with_month(df)
+    chosen = F.when(F.col("dataset").isin(*named["sum"]), F.col("_sum")).otherwise(F.col("_mean"))
+    out = (
+        rows.filter(F.col("dataset").isin(*named["sum"], *other))
+        .groupBy(*by)
         .agg(F.sum(value).alias("_sum"), F.avg(value).alias("_mean"))
         .select(*by, chosen.alias(value))
     )
+    if named["median"]:
+        middle = exact_quantiles(rows.filter(F.col("dataset").isin(*named["median"])), value, [0.5], by)
+        out = out.unionByName(middle.select(*by, F.col("quantiles")[0].alias(value)))
+    return out
 
 
 def vpd(df: DataFrame, keys: Sequence[str], t: str = "t2m", td: str = "td2m") -> DataFrame:

@@ -174,12 +174,12 @@ def q09_missing_by_month(panel: DataFrame, cols: Sequence[str] = DYNAMIC_FEATURE
     return wide.unpivot("month", cols, "feature", "fraction_missing").orderBy("month", "feature")
 
 
-def q10_target_stats(panel: DataFrame, target: str, limit: int | None = None) -> DataFrame:
+def q10_target_stats(panel: DataFrame, target: str) -> DataFrame:
     present = panel.select(F.col(target).cast("double").alias("t"))
     moments = present.agg(
         F.avg("t").alias("mean"), F.min("t").alias("min"), F.max("t").alias("max"), F.stddev_pop("t").alias("std")
     )
-    middle = exact_quantiles(present.filter(F.col("t").isNotNull()), "t", [0.5], limit=limit)
+    middle = exact_quantiles(present.filter(F.col("t").isNotNull()), "t", [0.5])
     median = middle.select(F.col("quantiles")[0]).scalar()
     return moments.select("mean", median.alias("median"), "min", "max", "std")
 
@@ -337,9 +337,9 @@ def q20_calendar(panel: DataFrame) -> DataFrame:
     return parts.select("e.*").distinct().orderBy("part", "value")
 
 
-def q21_rows_per_pixel(panel: DataFrame, limit: int | None = None) -> DataFrame:
+def q21_rows_per_pixel(panel: DataFrame) -> DataFrame:
     per_pixel = panel.groupBy("pixel_id").agg(F.count(F.lit(1)).alias("n"))
-    q = exact_quantiles(per_pixel, "n", [0.0, 0.25, 0.5, 0.75, 1.0], limit=limit)
+    q = exact_quantiles(per_pixel, "n", [0.0, 0.25, 0.5, 0.75, 1.0])
     names = ["min", "q25", "median", "q75", "max"]
     return q.select(*[F.col("quantiles")[i].alias(name) for i, name in enumerate(names)])
 

@@ -4,19 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agropanel.functions.order_stats import (
-    _null_safe,
-    exact_quantiles,
-    group_limit,
-    quantile_values,
-    rank_table,
-    ranged_quantiles,
-    size_summary,
-    value_ranges,
-)
+from agropanel.functions.order_stats import exact_quantiles, null_safe_join, placed_values, quantile_values, quantiles_of, ranks_of
+from agropanel.runtime import cut_lineage
 
 # Names and order of the scores.
 METRIC_NAMES = [
@@ -62,57 +54,32 @@ def _by_iqr(rmse: Column, quartiles: Column) -> Column:
     return rmse / F.greatest(quartiles[1] - quartiles[0], F.lit(1e-8))
 
 
-def metrics(
-    df: DataFrame, y: str, p: str, by: Sequence[str] = (), limit: int | None = None
-) -> DataFrame:
+def metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """One row of scores per key; a key without any pair gives no row.
 
-    Groups up to ``limit`` rows rank and take quartiles in place. Larger ones
-    go through the range-wise ranks and quantiles, so no task holds a group.
+    Equal pairs are counted and written once; quartiles and ranks come from the
+    counts, see ``functions/order_stats.py``, so no task holds a group.
     """
-    by, limit = list(by), group_limit(by, limit)
+    by = list(by)
     pairs = df.select(
         *by, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p")
     ).filter(F.col("_y").isNotNull() & F.col("_p").isNotNull())
-    largest, rows, groups = size_summary(pairs, by)
-    if largest <= limit:
-        out = _metrics_in_place(pairs, by)
-    else:
-        out = _metrics_ranged(pairs, by, rows, groups, limit)
-    return out.filter(F.col("n") > 0).select(*by, *[F.col(f"`{m}`") for m in METRIC_NAMES])
-
-
-def _spearman(rank_y: Column, rank_p: Column, count: Column) -> Column:
-    return F.when(count < 2, 0.0).otherwise(correlation(rank_y, rank_p))
-
-
-def _metrics_in_place(pairs: DataFrame, by: list[str]) -> DataFrame:
-    def average_rank(c: str) -> Column:
-        # The mean of the first and the last place that equal values take.
-        first = Window.partitionBy(*by).orderBy(c)
-        last = first.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        return (F.rank().over(first) + F.count(F.lit(1)).over(last)) / 2
-
-    ranked = pairs.withColumns({"_ry": average_rank("_y"), "_rp": average_rank("_p")})
-    y, p = F.col("_y"), F.col("_p")
-    scores = _scores(y, p)
-    quartiles = F.percentile(y, F.array(F.lit(0.25), F.lit(0.75)))
-    scores["nrmse_iqr"] = _by_iqr(scores["rmse"], quartiles)
-    scores["spearman_rho"] = _spearman(F.col("_ry"), F.col("_rp"), scores["n"])
-    return ranked.groupBy(*by).agg(*[c.alias(name) for name, c in scores.items()])
-
-
-def _metrics_ranged(pairs: DataFrame, by: list[str], total: int, groups: int, limit: int) -> DataFrame:
-    keyed = pairs if by else pairs.withColumn("_g", F.lit(0))
-    keys = by or ["_g"]
+    keyed = pairs if by else pairs.withColumn("_all", F.lit(0))
+    keys = by or ["_all"]
     base = keyed.groupBy(*keys).agg(*[c.alias(name) for name, c in _scores(F.col("_y"), F.col("_p")).items()])
-    ranges_y, ranges_p = value_ranges(keyed, ["_y", "_p"], total, limit)
-    quartiles = ranged_quantiles(keyed.drop("_p"), "_y", keys, [0.25, 0.75], groups, ranges_y).select(*keys, "quantiles")
-    rank_y = rank_table(keyed, "_y", keys, ranges_y).withColumnRenamed("_rank", "_ry")
-    rank_p = rank_table(keyed, "_p", keys, ranges_p).withColumnRenamed("_rank", "_rp")
-    # Equal pairs travel once; both joins have one row per distinct value on the right.
-    rows = keyed.groupBy(*keys, "_y", "_p").agg(F.count(F.lit(1)).alias("_w"))
-    rows = _null_safe(_null_safe(rows, rank_y, [*keys, "_y"], "inner"), rank_p, [*keys, "_p"], "inner")
+    rows = cut_lineage(keyed.groupBy(*keys, "_y", "_p").agg(F.count(F.lit(1)).alias("_w")))
+    placed_y, placed_p = placed_values(rows, "_y", keys, "_w"), placed_values(rows, "_p", keys, "_w")
+    quartiles = quantiles_of(placed_y, "_y", [0.25, 0.75], keys).select(*keys, "quantiles")
+    spearman = _spearman(rows, ranks_of(placed_y, "_y", keys), ranks_of(placed_p, "_p", keys), keys)
+    out = null_safe_join(null_safe_join(base, quartiles, keys, "left"), spearman, keys, "left")
+    out = out.withColumn("nrmse_iqr", _by_iqr(F.col("rmse"), F.col("quantiles")))
+    return out.select(*by, *[F.col(f"`{m}`") for m in METRIC_NAMES])
+
+
+def _spearman(rows: DataFrame, rank_y: DataFrame, rank_p: DataFrame, keys: list[str]) -> DataFrame:
+    """Rank correlation per key of weighted pairs; the ranks have one row per distinct value."""
+    rows = null_safe_join(rows, rank_y.withColumnRenamed("_rank", "_ry"), [*keys, "_y"], "inner")
+    rows = null_safe_join(rows, rank_p.withColumnRenamed("_rank", "_rp"), [*keys, "_p"], "inner")
     # Ranks of n rows always average (n + 1) / 2, so plain sums of products are enough.
     ry, rp, w = F.col("_ry"), F.col("_rp"), F.col("_w")
     n = F.sum(w)
@@ -121,21 +88,15 @@ def _metrics_ranged(pairs: DataFrame, by: list[str], total: int, groups: int, li
         F.sum(w * ry * rp) - centre, F.sqrt(F.sum(w * ry * ry) - centre) * F.sqrt(F.sum(w * rp * rp) - centre)
     )
     flat = (F.min("_y") == F.max("_y")) | (F.min("_p") == F.max("_p"))
-    spearman = rows.groupBy(*keys).agg(
-        F.when(n < 2, 0.0).when(flat, F.lit(None)).otherwise(rho).alias("spearman_rho")
-    )
-    out = _null_safe(_null_safe(base, quartiles, keys, "left"), spearman, keys, "left")
-    return out.withColumn("nrmse_iqr", _by_iqr(F.col("rmse"), F.col("quantiles"))).drop("quantiles")
+    return rows.groupBy(*keys).agg(F.when(n < 2, 0.0).when(flat, F.lit(None)).otherwise(rho).alias("spearman_rho"))
 
 
-def metrics_by_year(df: DataFrame, y: str, p: str, year: str = "year", limit: int | None = None) -> DataFrame:
+def metrics_by_year(df: DataFrame, y: str, p: str, year: str = "year") -> DataFrame:
     """Scores per year, best first."""
-    return metrics(df, y, p, [year], limit).orderBy("rmse", year)
+    return metrics(df, y, p, [year]).orderBy("rmse", year)
 
 
-def residuals(
-    df: DataFrame, y: str, p: str, by: Sequence[str] = ("year",), limit: int | None = None
-) -> DataFrame:
+def residuals(df: DataFrame, y: str, p: str, by: Sequence[str] = ("year",)) -> DataFrame:
     """Mean, median, sample deviation and count of prediction minus truth per key."""
     rows = df.select(*by, (F.col(p).cast("double") - F.col(y).cast("double")).alias("res"))
     rows = rows.filter(F.col("res").isNotNull())
@@ -144,21 +105,21 @@ def residuals(
         F.when(F.count("res") > 1, F.stddev_samp("res")).alias("std"),
         F.count("res").alias("count"),
     )
-    middle = exact_quantiles(rows, "res", [0.5], by, limit).select(*by, F.col("quantiles")[0].alias("median"))
-    return _null_safe(moments, middle, by, "inner").select(*by, "mean", "median", "std", "count")
+    middle = exact_quantiles(rows, "res", [0.5], by).select(*by, F.col("quantiles")[0].alias("median"))
+    return null_safe_join(moments, middle, by, "inner").select(*by, "mean", "median", "std", "count")
 
 
-def parity_range(df: DataFrame, y: str, p: str, limit: int | None = None) -> DataFrame:
+def parity_range(df: DataFrame, y: str, p: str) -> DataFrame:
     """1st and 99th percentile of truth and prediction pooled."""
     pooled = df.select(F.explode(F.array(F.col(y).cast("double"), F.col(p).cast("double"))).alias("value"))
     pooled = pooled.filter(F.col("value").isNotNull() & ~F.isnan("value"))
     low, high = F.col("quantiles")[0], F.col("quantiles")[1]
-    return exact_quantiles(pooled, "value", [0.01, 0.99], limit=limit).select(low.alias("lo"), high.alias("hi"))
+    return exact_quantiles(pooled, "value", [0.01, 0.99]).select(low.alias("lo"), high.alias("hi"))
 
 
-def parity_bounds(df: DataFrame, y: str, p: str, limit: int | None = None) -> tuple[float, float]:
+def parity_bounds(df: DataFrame, y: str, p: str) -> tuple[float, float]:
     pooled = df.select(F.explode(F.array(F.col(y).cast("double"), F.col(p).cast("double"))).alias("value"))
-    low, high = quantile_values(pooled, "value", [0.01, 0.99], limit)
+    low, high = quantile_values(pooled, "value", [0.01, 0.99])
     return low, high
 
 

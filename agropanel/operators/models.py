@@ -104,6 +104,9 @@ def fit(
     """
     if kind not in KINDS:
         raise ValueError(f"unknown model {kind!r}; known: {', '.join(KINDS)}")
+    unknown = sorted(params.keys() - DEFAULTS[kind].keys())
+    if unknown:
+        raise ValueError(f"{kind!r} has no setting {', '.join(unknown)}; known: {', '.join(DEFAULTS[kind])}")
     settings = {**DEFAULTS[kind], **params}
     derive = dict(derive or {})
     features = list(features)

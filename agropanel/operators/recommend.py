@@ -16,17 +16,17 @@ Bounds = dict[str, tuple[float, float]]
 
 
 def response_bounds_frame(
-    df: DataFrame, ferts: Sequence[str], lo: float = 0.01, hi: float = 0.99, limit: int | None = None
+    df: DataFrame, ferts: Sequence[str], lo: float = 0.01, hi: float = 0.99
 ) -> DataFrame:
     """``feature, lo, hi``: low and high quantile of each column over all rows."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in ferts]).unpivot([], list(ferts), "feature", "value")
     present = long.filter(F.col("value").isNotNull())
-    q = exact_quantiles(present, "value", [lo, hi], ["feature"], limit)
+    q = exact_quantiles(present, "value", [lo, hi], ["feature"])
     return q.select("feature", F.col("quantiles")[0].alias("lo"), F.col("quantiles")[1].alias("hi"))
 
 
-def response_bounds(df: DataFrame, ferts: Sequence[str], limit: int | None = None) -> Bounds:
-    rows = response_bounds_frame(df, ferts, limit=limit).collect()
+def response_bounds(df: DataFrame, ferts: Sequence[str]) -> Bounds:
+    rows = response_bounds_frame(df, ferts).collect()
     return {r["feature"]: (r["lo"], r["hi"]) for r in rows}
 
 
@@ -47,15 +47,16 @@ def recommend(
     """``pixel_id, year, pred_base, pred_opt`` and the chosen level per column (NULL where none helped).
 
     One column after the other, each row tries all levels and takes the best one
-    if it beats what the row has so far. Levels are in the units of ``annual`` and
-    flow through the derived features. Rows stay where they are: the table is
-    partitioned by its key once, the trials of a row are unfolded beside it and
-    folded back in the same partition. Each pass is written, which keeps the plan
-    short and a lost executor cheap.
+    if it beats what the row has so far; among equal predictions the lowest level
+    wins. Levels are in the units of ``annual`` and flow through the derived
+    features. All trials of a row are columns beside it, so nothing is shuffled;
+    each pass is written, which keeps the plan short and a lost executor cheap.
     """
     grid = candidates(bounds, levels)
     columns = annual.columns
-    ferts = [c for c in grid if c in columns]
+    absent = sorted(grid.keys() - set(columns))
+    if absent:
+        raise ValueError(f"bounds for columns that the table lacks: {', '.join(absent)}")
 
     def place(c: str) -> str:
         return f"`{c}`" if c in grid else f"_row.`{c}`"
@@ -64,38 +65,30 @@ def recommend(
         return score(model, df, out, columns, place)
 
     # Only the searched columns change; all others travel as one.
-    start = annual.select(*PIXEL_YEAR, *ferts, F.struct(*[c for c in columns if c not in grid]).alias("_row"))
+    start = annual.select(*PIXEL_YEAR, *grid, F.struct(*[c for c in columns if c not in grid]).alias("_row"))
     best = scored(start, "pred_base").withColumn("pred_opt", F.col("pred_base"))
-    best = cut_lineage(best.withColumns({f"_best_{c}": F.lit(None).cast("double") for c in ferts}))
+    best = cut_lineage(best.withColumns({f"_best_{c}": F.lit(None).cast("double") for c in grid}))
     for _ in range(passes):
-        step = best.repartition(*PIXEL_YEAR)
-        for c in ferts:
+        step = best
+        for c in grid:
             step = _try_levels(scored, step, c, grid[c])
         best = cut_lineage(step)
-    return best.select(*PIXEL_YEAR, "pred_base", "pred_opt", *[F.col(f"_best_{c}").alias(c) for c in ferts])
+    return best.select(*PIXEL_YEAR, "pred_base", "pred_opt", *[F.col(f"_best_{c}").alias(c) for c in grid])
 
 
 def _try_levels(
     scored: Callable[[DataFrame, str], DataFrame], best: DataFrame, column: str, levels: Sequence[float]
 ) -> DataFrame:
-    kind = best.schema[column].dataType
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(v)).alias("v")) for i, v in enumerate(levels)])
-    state = [c for c in best.columns if c not in PIXEL_YEAR]
-    trials = (
-        best.withColumn("_t", F.explode(steps))
-        # The state of the row travels with its first trial only.
-        .withColumn("_now", F.when(F.col("_t.i") == 0, F.struct(*state)))
-        .withColumn(column, F.col("_t.v").cast(kind))
-    )
-    tried = scored(trials, "_p").select(*PIXEL_YEAR, "_now", "_t", "_p")
-    # The highest prediction wins; among equals the lowest level, which is tried first.
-    winner = F.max(F.struct(F.col("_p").alias("p"), (-F.col("_t.i")).alias("i"), F.col("_t.v").alias("v")))
-    folded = tried.groupBy(*PIXEL_YEAR).agg(winner.alias("_w"), F.first("_now", ignorenulls=True).alias("_now"))
-    better = F.col("_w.p") > F.col("_now.pred_opt")
+    kind, columns = best.schema[column].dataType, best.columns
+    tried = best.withColumn("_now", F.col(column))
+    for i, level in enumerate(levels):
+        tried = scored(tried.withColumn(column, F.lit(float(level)).cast(kind)), f"_p{i}")
+    # Of equal predictions the greatest struct has the greatest -i: the lowest level.
+    trials = F.array(*[F.struct(F.col(f"_p{i}").alias("p"), F.lit(-i).alias("i"), F.lit(float(v)).alias("v")) for i, v in enumerate(levels)])
+    tried = tried.withColumn("_w", F.array_max(trials))
+    better = F.coalesce(F.col("_w.p") > F.col("pred_opt"), F.lit(False))
     changed = {column: F.col("_w.v").cast(kind), f"_best_{column}": F.col("_w.v"), "pred_opt": F.col("_w.p")}
-
-    def kept(c: str) -> Column:
-        now = F.col(f"_now.{c}")
-        return (F.when(better, changed[c]).otherwise(now) if c in changed else now).alias(c)
-
-    return folded.select(*PIXEL_YEAR, *[kept(c) for c in state])
+    before = {column: F.col("_now")}
+    return tried.select(*[
+        F.when(better, changed[c]).otherwise(before.get(c, F.col(c))).alias(c) if c in changed else F.col(c) for c in columns
+    ])

@@ -11,20 +11,17 @@ from agropanel.operators.assemble import keep_keys
 from agropanel.vocabulary import PIXEL_YEAR
 
 BINS = 10
-SHARES = 64
 
 
-def _first_by_order(df: DataFrame, group: list[str], take: Column, order: Column) -> DataFrame:
-    """The first ``take`` rows of each group.
+def _first_by_order(df: DataFrame, group: list[str], take: Column, most: int, order: Column) -> DataFrame:
+    """The first ``take`` rows of each group; no group takes more than ``most``.
 
-    Every group is cut into ``SHARES`` parts that each offer their first rows,
-    so the final pick looks at ``SHARES * take`` rows and never at a whole group.
+    The literal bound lets Spark keep only ``most`` rows of a group in each task
+    before the shuffle, so no task sorts a whole group.
     """
-    df = df.withColumns({"_o": order, "_t": take, "_share": F.pmod(F.xxhash64("pixel_id", "year"), F.lit(SHARES))})
-    within = Window.partitionBy(*group, "_share").orderBy("_o", *PIXEL_YEAR)
-    overall = Window.partitionBy(*group).orderBy("_o", *PIXEL_YEAR)
-    offered = df.withColumn("_r", F.row_number().over(within)).filter(F.col("_r") <= F.col("_t"))
-    return offered.withColumn("_r", F.row_number().over(overall)).filter(F.col("_r") <= F.col("_t"))
+    df = df.withColumns({"_o": order, "_t": take})
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("_o", *PIXEL_YEAR))
+    return df.withColumn("_r", place).filter((F.col("_r") <= F.lit(most)) & (F.col("_r") <= F.col("_t")))
 
 
 def downsample_keys(
@@ -33,7 +30,6 @@ def downsample_keys(
     per_year_max: int,
     stratify: str = "yield_decile",
     seed: int = 1337,
-    limit: int | None = None,
 ) -> DataFrame:
     """Kept (pixel, year) keys.
 
@@ -51,16 +47,16 @@ def downsample_keys(
     whole = sized.filter(F.col("_size") <= per_year_max).select(*PIXEL_YEAR)
     large = sized.filter(F.col("_size") > per_year_max)
     if stratify == "random":
-        picked = _first_by_order(large, ["year"], F.lit(per_year_max), order)
+        picked = _first_by_order(large, ["year"], F.lit(per_year_max), per_year_max, order)
     else:
         edges = exact_quantiles(
-            large.filter(F.col("_y").isNotNull()), "_y", [i / BINS for i in range(BINS + 1)], ["year"], limit
+            large.filter(F.col("_y").isNotNull()), "_y", [i / BINS for i in range(BINS + 1)], ["year"]
         ).select("year", F.array_distinct("quantiles").alias("_edges"))
         below = F.size(F.filter("_edges", lambda e: e < F.col("_y")))
         bins = F.greatest(F.size("_edges") - 1, F.lit(1))
         per_bin = F.greatest(F.floor(F.lit(per_year_max) / bins), F.lit(1)).cast("int")
         binned = large.join(F.broadcast(edges), "year").withColumn("_bin", F.greatest(below - 1, F.lit(0)))
-        picked = _first_by_order(binned.filter(F.col("_y").isNotNull()), ["year", "_bin"], per_bin, order)
+        picked = _first_by_order(binned.filter(F.col("_y").isNotNull()), ["year", "_bin"], per_bin, max(1, per_year_max), order)
     return whole.unionByName(picked.select(*PIXEL_YEAR)).distinct()
 
 
@@ -70,7 +66,6 @@ def downsample(
     per_year_max: int,
     stratify: str = "yield_decile",
     seed: int = 1337,
-    limit: int | None = None,
 ) -> DataFrame:
     """Training rows whose (pixel, year) was kept."""
-    return keep_keys(train, downsample_keys(train, target, per_year_max, stratify, seed, limit))
+    return keep_keys(train, downsample_keys(train, target, per_year_max, stratify, seed))

@@ -143,7 +143,6 @@ def quantile_trim(
     lo: float | None,
     hi: float | None,
     sequential: bool = True,
-    limit: int | None = None,
 ) -> Split:
     """Drop rows outside training quantiles from every part.
 
@@ -154,12 +153,12 @@ def quantile_trim(
     use_lo, use_hi = bool(lo) and lo > 0, bool(hi) and hi < 1
     y = F.col(target)
     if not sequential and use_lo and use_hi:
-        low, high = quantile_values(split.train, target, [lo, hi], limit)
+        low, high = quantile_values(split.train, target, [lo, hi])
         return Split(*[part.filter((y >= low) & (y <= high)) for part in split])
     if use_lo:
-        low = quantile_values(split.train, target, [lo], limit)[0]
+        low = quantile_values(split.train, target, [lo])[0]
         split = Split(*[part.filter(y >= low) for part in split])
     if use_hi:
-        high = quantile_values(split.train, target, [hi], limit)[0]
+        high = quantile_values(split.train, target, [hi])[0]
         split = Split(*[part.filter(y <= high) for part in split])
     return split

@@ -48,3 +48,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this package wrote, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def replace_folder(spark: SparkSession, new: str, old: str) -> None:
+    """Put the folder ``new`` in the place of ``old``, which stays aside until that is done."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    where, aside = path(old).getFileSystem(spark._jsc.hadoopConfiguration()), f"{old.rstrip('/')}-old-{uuid.uuid4().hex}"
+    held = where.exists(path(old))
+    if held and not where.rename(path(old), path(aside)):
+        raise OSError(f"cannot move {old}")
+    if not where.rename(path(new), path(old)):
+        if held:
+            where.rename(path(aside), path(old))
+        raise OSError(f"cannot move {new} to {old}")
+    if held:
+        where.delete(path(aside), True)
+    spark.catalog.refreshByPath(old)

@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agropanel.operators.metrics import METRIC_NAMES
+from agropanel.runtime import remove_folder, replace_folder
 
 
 def write_panel(df: DataFrame, path: str, mode: str = "overwrite") -> int:
-    """Snappy parquet, one folder per year; a panel without rows is an error. Returns the rows there.
-
-    The rebalance hint lets adaptive execution split large years over many files
-    and put small ones together. With ``mode="overwrite"`` and the session set to
-    dynamic partition overwrite, only the written years are replaced.
+    """Snappy parquet, one folder per year; a panel without rows is an error. Returns the rows written.
+
+    The panel is written to a sibling folder and counted there first, so an empty or
+    failed one leaves what was at ``path`` as it was; a plain overwrite then puts the
+    new folder in the old one's place. The rebalance hint lets adaptive execution
+    split large years over many files and put small ones together. With
+    ``mode="overwrite"`` and the session set to dynamic partition overwrite, only the
+    written years are replaced.
     """
-    df.hint("rebalance", "year").write.mode(mode).option("compression", "snappy").partitionBy("year").parquet(path)
-    # Answered from the file footers.
-    rows = df.sparkSession.read.schema(df.schema).parquet(path).count()
-    if not rows:
-        raise ValueError("the panel has no rows: check mask, sources, year range and missing-data rule")
+    spark = df.sparkSession
+    draft = f"{path.rstrip('/')}-draft-{uuid.uuid4().hex}"
+    try:
+        df.hint("rebalance", "year").write.option("compression", "snappy").partitionBy("year").parquet(draft)
+        written = spark.read.schema(df.schema).parquet(draft)
+        rows = written.count()  # from the file footers
+        if not rows:
+            raise ValueError("the panel has no rows: check mask, sources, year range and missing-data rule")
+        if mode == "overwrite" and spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static":
+            replace_folder(spark, draft, path)
+        else:
+            written.hint("rebalance", "year").write.mode(mode).option("compression", "snappy").partitionBy("year").parquet(path)
+    finally:
+        remove_folder(spark, draft)
     return rows
 
 

@@ -1,11 +1,11 @@
-"""Range-wise quantiles and ranks against plain numpy, with limits that force the large-group way."""
+"""Range-wise quantiles and ranks against plain numpy."""
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from agropanel.functions.order_stats import exact_quantiles, quantile_values, rank_table, size_summary, value_ranges
+from agropanel.functions.order_stats import exact_quantiles, placed_values, quantile_values, ranks_of
 from agropanel.functions.pairwise import pairwise_correlation
 from agropanel.operators.metrics import METRIC_NAMES, metrics
 
@@ -24,25 +24,23 @@ def skewed(spark):
     return pdf, spark.createDataFrame(pdf).repartition(5).cache()
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 50, 10])
-def test_grouped_quantiles(skewed, limit):
+def test_grouped_quantiles(skewed):
     pdf, df = skewed
-    got = {r["g"]: r for r in exact_quantiles(df, "v", PROBS, ["g"], limit).collect()}
+    got = {r["g"]: r for r in exact_quantiles(df, "v", PROBS, ["g"]).collect()}
     assert set(got) == {"hot", "cold", "one"}
     for g, part in pdf.groupby("g"):
         assert got[g]["n"] == len(part)
         np.testing.assert_allclose(got[g]["quantiles"], np.quantile(part["v"], PROBS), rtol=1e-9)
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 40])
-def test_whole_column(skewed, limit):
+def test_whole_column(skewed):
     pdf, df = skewed
-    np.testing.assert_allclose(quantile_values(df, "v", PROBS, limit), np.quantile(pdf["v"], PROBS), rtol=1e-9)
+    np.testing.assert_allclose(quantile_values(df, "v", PROBS), np.quantile(pdf["v"], PROBS), rtol=1e-9)
 
 
 def test_constant_column_and_missing_group_key(spark):
     df = spark.createDataFrame([(None, 2.0)] * 30 + [("a", 2.0)] * 5, "g string, v double")
-    got = {r["g"]: r["quantiles"] for r in exact_quantiles(df, "v", [0.0, 0.5, 1.0], ["g"], 10).collect()}
+    got = {r["g"]: r["quantiles"] for r in exact_quantiles(df, "v", [0.0, 0.5, 1.0], ["g"]).collect()}
     assert got == {None: [2.0, 2.0, 2.0], "a": [2.0, 2.0, 2.0]}
 
 
@@ -52,34 +50,43 @@ def test_no_value_is_an_error(spark):
         quantile_values(df, "v", [0.5])
 
 
-def test_size_summary(skewed):
-    _, df = skewed
-    assert size_summary(df, ["g"]) == (2002, 2012, 3)
-    assert size_summary(df, []) == (2012, 2012, 1)
-    assert size_summary(df.filter("false"), ["g"]) == (0, 0, 0)
+def test_nan_and_infinity_as_percentile_has_them(spark):
+    """The same answers as the built-in aggregate, whatever the rows."""
+    values = [float("-inf"), 1.0, 2.0, 2.0, 3.0, float("inf"), float("nan"), -0.0, 0.0]
+    for part in (values, values[:6], values[1:5], values[6:], [float("nan")] * 3, values[5:6]):
+        df = spark.createDataFrame([(v,) for v in part], "v double").repartition(3)
+        array = F.array(*[F.lit(p) for p in PROBS])
+        want = df.agg(F.percentile("v", array)).first()[0]
+        np.testing.assert_allclose(exact_quantiles(df, "v", PROBS).first()["quantiles"], want, rtol=1e-12)
 
 
 def test_rank_table(skewed):
     pdf, df = skewed
-    got = rank_table(df, "v", ["g"], value_ranges(df, ["v"], 2012, 20)[0]).toPandas().set_index(["g", "v"])["_rank"]
+    got = ranks_of(placed_values(df, "v", ["g"]), "v", ["g"]).toPandas().set_index(["g", "v"])["_rank"]
     pdf = pdf.assign(rank=pdf.groupby("g")["v"].rank())
     want = pdf.drop_duplicates().set_index(["g", "v"])["rank"]
     pd.testing.assert_series_equal(got.sort_index(), want.sort_index(), check_names=False)
 
 
-def test_metrics_agree_in_place_and_by_ranges(spark):
+def test_metrics_of_a_hot_group(spark):
     rng = np.random.default_rng(3)
     y = np.round(rng.normal(50, 10, 900), 1)
     pdf = pd.DataFrame({"k": ["a"] * 800 + ["b"] * 100, "y": y, "p": np.round(y + rng.normal(1, 5, 900), 1)})
-    df = spark.createDataFrame(pdf)
-    for by in ([], ["k"]):
-        plain = metrics(df, "y", "p", by).toPandas()
-        ranged = metrics(df, "y", "p", by, limit=30).toPandas()
-        if by:
-            plain, ranged = plain.sort_values("k"), ranged.sort_values("k")
-        np.testing.assert_allclose(ranged[METRIC_NAMES], plain[METRIC_NAMES], rtol=1e-9)
-    want = pdf["y"].rank().corr(pdf["p"].rank())
-    assert metrics(df, "y", "p", limit=30).first()["spearman_rho"] == pytest.approx(want)
+    df = spark.createDataFrame(pdf).repartition(6)
+    got = metrics(df, "y", "p", ["k"]).toPandas().set_index("k")
+    for k, part in pdf.groupby("k"):
+        assert got.spearman_rho[k] == pytest.approx(part["y"].rank().corr(part["p"].rank()))
+        q = np.quantile(part["y"], [0.25, 0.75])
+        assert got.nrmse_iqr[k] == pytest.approx(got.rmse[k] / (q[1] - q[0]))
+    assert metrics(df, "y", "p").first()["spearman_rho"] == pytest.approx(pdf["y"].rank().corr(pdf["p"].rank()))
+    assert list(got.reset_index().columns) == ["k", *METRIC_NAMES]
+
+
+def test_no_task_has_all_rows(spark):
+    """Neither quantiles nor ranks deal rows to a single partition."""
+    df = spark.range(5000).selectExpr("id % 1000 * 1.5 AS y", "id % 700 * 1.1 AS p")
+    plan = metrics(df, "y", "p")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 8 and "CartesianProduct" not in plan
 
 
 def test_pairwise_correlation_matches_pandas(spark):
@@ -102,8 +109,16 @@ def test_pairwise_correlation_of_columns_never_present_together(spark):
     assert got[("a", "b")] is None and got[("a", "a")] == pytest.approx(1.0)
 
 
-def test_hot_value_is_counted_before_it_is_ordered(skewed):
+def test_hot_value_is_one_row(skewed):
     _, df = skewed
-    plan = rank_table(df, "v", ["g"], value_ranges(df, ["v"], 2012, 20)[0])._jdf.queryExecution().executedPlan().toString()
-    assert "partial_count" in plan and "CartesianProduct" not in plan
-    assert df.agg(F.count("v")).first()[0] == 2012
+    placed = placed_values(df, "v", ["g"])
+    assert placed.filter("g = 'hot' AND v = 5.0").count() == 1
+    assert placed.agg(F.sum("_c")).first()[0] == 2012
+
+
+def test_a_column_missing_from_the_first_rows_keeps_its_precision(spark):
+    rows = [(float(i), None if i < 12_000 else 1e9 + i % 7) for i in range(12_500)]
+    df = spark.createDataFrame(rows, "a double, b double").coalesce(1)
+    got = {(r[0], r[1]): r[2] for r in pairwise_correlation(df, ["a", "b"]).collect()}
+    late = np.array(rows[12_000:], float)
+    assert got[("a", "b")] == pytest.approx(np.corrcoef(late.T)[0, 1], abs=1e-7)

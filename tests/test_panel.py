@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from dataclasses import replace
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -17,6 +18,7 @@ from agropanel.operators import composite as M
 from agropanel.operators import normalise as N
 from agropanel.operators.grid import GridSpec
 from agropanel.plans.panel_build import build_panel, static_features, yearly_features
+from agropanel.vocabulary import DATASETS
 
 PIXEL = "pixel_id long, year int, month int"
 
@@ -32,18 +34,21 @@ def test_month_edges(frame):
 
 
 @pytest.mark.parametrize("agg, want", [("sum", 16.0), ("mean", 4.0), ("median", 3.0), ("odd name", 4.0)])
-@pytest.mark.parametrize("limit", [1000, 2])
-def test_composite(frame, agg, want, limit):
+def test_composite(frame, agg, want):
     values = [1.0, 2.0, 4.0, 9.0, None]
     df = frame([(1, dt.datetime(2000, 5, 1 + i), v) for i, v in enumerate(values)], "cell long, ts timestamp_ntz, value double")
-    assert [r["value"] for r in M.composite(df, ["cell"], agg, limit=limit).collect()] == [want]
+    assert [r["value"] for r in M.composite(df, ["cell"], agg).collect()] == [want]
 
 
 def test_composite_datasets_uses_the_reduction_of_each(frame):
-    rows = [(d, 1, dt.datetime(2000, 1, i), float(i)) for d in ("chirps_precip", "modis_evi", "other") for i in (1, 3)]
+    rows = [(d, 1, dt.datetime(2000, 1, i), float(i)) for d in ("chirps_precip", "modis_evi", "other", "mid", "odd") for i in (1, 3, 8)]
     df = frame(rows, "dataset string, cell long, ts timestamp_ntz, value double")
     got = {r["dataset"]: r["value"] for r in M.composite_datasets(df, ["cell"]).collect()}
-    assert got == {"chirps_precip": 4.0, "modis_evi": 2.0}
+    assert got == {"chirps_precip": 12.0, "modis_evi": 4.0}
+    kinds = {"mid": "median", "odd": "some other name"}
+    listed = {k: replace(next(iter(DATASETS.values())), agg=a) for k, a in kinds.items()}
+    got = {r["dataset"]: r["value"] for r in M.composite_datasets(df, ["cell"], listed).collect()}
+    assert got == {"mid": 3.0, "odd": 4.0}
 
 
 def test_vpd(frame):
@@ -158,11 +163,6 @@ def test_roles():
         C.feature_set("none", cols)
 
 
-@pytest.mark.parametrize("x, want", [(3, 3.0), ("1,000.5", 1000.5), (" 2 ", 2.0), ("x", None), (None, None), ([], None)])
-def test_as_number(x, want):
-    assert C.as_number(x) == want
-
-
 def test_clean(frame):
     rows = [(1, None, 1.0, 1.0), (2, 0.0, 1.0, 1.0), (3, 5.0, None, None), (4, 5.0, -1.0, 1.0), (5, 5.0, None, 2.0), (6, 4.0, 1.0, 0.0)]
     df = frame(rows, "pixel_id int, y double, fert_a double, fert_b double")
@@ -170,8 +170,11 @@ def test_clean(frame):
     assert ids(C.clean(df, "y")) == [2, 3, 4, 5, 6]
     assert ids(C.clean(df, "y", drop_missing=False)) == [1, 2, 3, 4, 5, 6]
     assert ids(C.clean(df, "y", min_yield=4)) == [3, 4, 5]
-    assert ids(C.clean(df, "y", ["fert_a", "fert_b"], min_yield="1e-6", any_fertilizer=True)) == [5, 6]
+    assert ids(C.clean(df, "y", ["fert_a", "fert_b"], min_yield=1e-6, any_fertilizer=True)) == [5, 6]
     assert tuple(C.clean_report(df, "y", min_yield=4).first()) == (6, 3)
+    for wrong in ("much", -1.0):
+        with pytest.raises(ValueError):
+            C.clean(df, "y", min_yield=wrong)
 
 
 def yearly_table(frame, **kw):

@@ -106,6 +106,14 @@ def test_write_panel(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(year" in pruned._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
         write_panel(df.filter("v < 0"), str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        write_panel(df.filter("v < 0"), path)
+    with pytest.raises(Exception, match="no such yield"):
+        write_panel(df.withColumn("v", F.expr("float(raise_error('no such yield'))")), path)
+    assert spark.read.parquet(path).count() == 30  # neither touched the panel
+    assert write_panel(df.filter("v < 5"), path) == 5 and spark.read.parquet(path).count() == 5
+    assert write_panel(df.filter("v < 2"), path, "append") == 2 and spark.read.parquet(path).count() == 7
+    assert [p.name for p in tmp_path.iterdir()] == ["panel"]
 
 
 def test_layers_are_pruned_by_partition(spark, tmp_path):
