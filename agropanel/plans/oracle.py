@@ -264,7 +264,7 @@ def zscore(by_month: bool) -> str:
 
 
 def real(expr: str, name: str) -> str:
-    return f"round(CAST(CAST(coalesce({expr}, 0) AS FLOAT) AS DOUBLE), 2) AS {name}"
+    return f"round(CAST(CAST(coalesce({expr}, 0) AS FLOAT) AS DOUBLE), 6) AS {name}"
 
 
 STEPS = [
@@ -275,7 +275,7 @@ STEPS = [
     "sq AS (SELECT pixel_id, year, max(n) AS n, max(yield_wheat) AS y FROM st GROUP BY pixel_id, year)",
 ]
 SEQ_COLUMNS = f"{real('chirps_precip', 'chirps_precip')}, {real('modis_ndvi', 'modis_ndvi')}, {real('fert_n', 'fert_n')}"
-Y = "round(CAST(CAST(y AS FLOAT) AS DOUBLE), 2) AS y"
+Y = "round(CAST(CAST(y AS FLOAT) AS DOUBLE), 6) AS y"
 
 SEQUENCES = more(*STEPS) + f"""SELECT t.pixel_id, t.year, CAST(i AS INT) AS step, CAST(month - 1 AS INT) AS month_idx,
   {Y}, {SEQ_COLUMNS} FROM st t JOIN sq USING (pixel_id, year) WHERE t.n >= 11"""
@@ -328,6 +328,10 @@ def tetens(t: str) -> str:
 
 ALL_COLUMNS = ["pixel_id", "year", "month", *VALUES]
 
+def project(*columns: str) -> str:
+    return BASE + f"SELECT {KEYS}, {rr([*columns, 'yield_wheat'])} FROM panel"
+
+
 SQL: dict[str, str] = {
     "q01_overview": BASE + """SELECT count(*) AS row_count, count(DISTINCT pixel_id) AS unique_pixels,
   count(DISTINCT year) AS unique_years, min(year) AS year_min, max(year) AS year_max FROM panel""",
@@ -370,13 +374,17 @@ FROM panel GROUP BY month""",
         f"SELECT '{c}' AS name, {str(c.startswith('fert_')).upper()} AS is_fert, count({c}) AS present FROM panel"
         for c in ALL_COLUMNS
     ),
-    "q13_crop_summary": BASE_SEQ + """SELECT 'wheat' AS crop, (SELECT count(*) FROM panel) AS rows,
+    "q13_crop_summary": more(
+        "maize AS (SELECT pixel_id, year, month, yield_wheat / 4 + month AS yield_maize FROM panel WHERE year >= 1997)",
+        "seq_maize AS (SELECT pixel_id, year, count(*) AS n_months FROM maize GROUP BY pixel_id, year)",
+        "seq_wheat AS (SELECT pixel_id, year, count(*) AS n_months FROM panel GROUP BY pixel_id, year)",
+    ) + union(f"""SELECT '{crop}' AS crop, (SELECT count(*) FROM {panel}) AS rows,
   count(*) AS pixel_year_sequences, count(DISTINCT pixel_id) AS unique_pixels,
   min(year) || '–' || max(year) || ' (' || count(DISTINCT year) || ' yrs)' AS years,
   min(n_months) AS min_months, max(n_months) AS max_months,
   round(nullif(avg(CASE WHEN n_months = 12 THEN 1.0 ELSE 0.0 END), 0), 6) AS full_sequence_fraction,
-  round((SELECT avg(yield_wheat) FROM panel), 6) AS yield_mean,
-  round((SELECT stddev_pop(yield_wheat) FROM panel), 6) AS yield_std FROM seq""",
+  round((SELECT avg(yield_{crop}) FROM {panel}), 6) AS yield_mean,
+  round((SELECT stddev_pop(yield_{crop}) FROM {panel}), 6) AS yield_std FROM seq_{crop}""" for crop, panel in (("wheat", "panel"), ("maize", "maize"))),
     "q14_seasonality": more("long AS (" + union(
         f"SELECT month, '{c}' AS feature, avg({c}) AS value FROM panel GROUP BY month" for c in DYN
     ) + ")") + """SELECT month, feature, round(value, 6) AS value,
@@ -428,6 +436,10 @@ FROM preds GROUP BY year ORDER BY 2 LIMIT 1""",
         f"""SELECT '{c}' AS dataset, year, month, count({c}) AS cells, round(sum(CAST(CAST({c} AS FLOAT) AS DOUBLE)), 6) AS total
 FROM panel GROUP BY year, month""" for c in ("chirps_precip", "modis_ndvi")
     ),
+    "layers_listed": BASE + union(
+        f"SELECT '{c}' AS dataset, year, count(DISTINCT month) AS months FROM panel GROUP BY year" for c in DYN
+    ),
+    "predictions_csv": ctes(PREDS) + "SELECT year, count(*) AS rows, round(sum(y), 2) AS y, round(sum(p), 2) AS p FROM preds GROUP BY year",
     "parse_names": ctes(ITEMS) + r"""SELECT name,
   'fert_' || lower(trim(regexp_replace(regexp_replace(regexp_replace(name, '\.[^.]*$', ''), '(19|20)\d{2}', '', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '_')) AS feature,
   CAST(nullif(regexp_extract(name, '(19|20)\d{2}', 0), '') AS INT) AS year
@@ -470,7 +482,8 @@ FROM supplier, (SELECT unnest(range(1996, 2001)) AS y)""",
     "composite_daily": composite("avg", "events", "user_id", "ts", "value"),
     "composite_datasets": ctes(ITEMS) + """SELECT 'chirps_precip' AS dataset, pixel_id AS cell, year, month, round(sum(l_quantity), 6) AS value
 FROM items GROUP BY 2, 3, 4
-UNION ALL SELECT 'era5_temp2m', pixel_id, year, month, round(avg(l_discount + 273.15), 6) FROM items GROUP BY 2, 3, 4""",
+UNION ALL SELECT 'era5_temp2m', pixel_id, year, month, round(avg(l_discount + 273.15), 6) FROM items GROUP BY 2, 3, 4
+UNION ALL SELECT 'modis_ndvi', pixel_id, year, month, round(median(l_extendedprice), 6) FROM items GROUP BY 2, 3, 4""",
     "vpd_month": f"""SELECT cell, year, month,
   round(CASE WHEN {tetens('t')} - {tetens('td')} < 0 THEN 0 ELSE {tetens('t')} - {tetens('td')} END, 6) AS vpd
 FROM (SELECT l_suppkey AS cell, CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month,
@@ -504,12 +517,18 @@ FROM panel GROUP BY year, month""",
 WHERE yield_wheat IS NOT NULL AND fert_n IS NOT NULL AND fert_p IS NOT NULL""",
     "history_window": BASE + f"SELECT {KEYS}, round(chirps_precip, 6) AS chirps_precip FROM panel WHERE year IN (1999, 2000)",
     "sequence_of": BASE + f"SELECT {KEYS}, {rr(VALUES)} FROM panel WHERE pixel_id = 1 AND year = 1998",
-    "project_weather": BASE + f"""SELECT {KEYS},
-  {rr(['chirps_precip', 'era5_temp2m', 'era5_soil_moisture', 'era5_vpd', 'yield_wheat'])} FROM panel""",
+    "project_weather": project("chirps_precip", "era5_temp2m", "era5_soil_moisture", "era5_vpd"),
+    "project_all": project(*DYN, "fert_n", "fert_p"),
+    "project_vegetation": project("modis_ndvi", "modis_evi", "modis_lst_day", "modis_lst_night"),
+    "project_no_fertilizer": project(*DYN),
+    "project_fertilizer": project("fert_n", "fert_p"),
     "clean_basic": BASE + f"SELECT {KEYS}, round(yield_wheat, 6) AS yield_wheat FROM panel WHERE yield_wheat > 40000",
     "clean_report": BASE + """SELECT count(*) AS rows_before,
   count(*) FILTER (yield_wheat > 40000 AND coalesce(fert_n, 0) + coalesce(fert_p, 0) > 0) AS rows_after FROM panel""",
-    "require_fert": BASE + f"""SELECT {KEYS}, round(fert_n, 6) AS fert_n, round(fert_p, 6) AS fert_p FROM panel
+    "require_fert": more("""holes AS (SELECT pixel_id, year, month,
+    CASE (pixel_id + 2 * year) % 5 WHEN 0 THEN 0.0 WHEN 1 THEN NULL ELSE fert_n END AS fert_n,
+    CASE (pixel_id + year) % 3 WHEN 0 THEN 0.0 WHEN 1 THEN NULL ELSE fert_p END AS fert_p FROM panel)""")
+    + f"""SELECT {KEYS}, round(fert_n, 6) AS fert_n, round(fert_p, 6) AS fert_p FROM holes
 WHERE coalesce(fert_n, 0) + coalesce(fert_p, 0) > 0""",
     "split_threshold": split_rows(("train", "year <= 1999"), ("val", "year = 1999"), ("test", "year >= 2000")),
     "split_leaveout": split_rows(("train", "year NOT IN (1997, 1998)"), ("val", "year = 1997"), ("test", "year = 1998")),
@@ -529,15 +548,15 @@ WHERE coalesce(fert_n, 0) + coalesce(fert_p, 0) > 0""",
 FROM panel, (SELECT unnest(range(1995, 2001)) AS v) GROUP BY 1, 2""",
     "trim_sequential": more(
         "src AS (SELECT * FROM panel WHERE yield_wheat IS NOT NULL)",
-        "lo AS (SELECT quantile_cont(yield_wheat, 0.05) AS q FROM src WHERE year <= 1998)",
+        "lo AS (SELECT quantile_cont(yield_wheat, 0.2) AS q FROM src WHERE year <= 1998)",
         "low AS (SELECT * FROM src WHERE yield_wheat >= (SELECT q FROM lo))",
-        "hi AS (SELECT quantile_cont(yield_wheat, 0.95) AS q FROM low WHERE year <= 1998)",
+        "hi AS (SELECT quantile_cont(yield_wheat, 0.8) AS q FROM low WHERE year <= 1998)",
         THRESHOLD_SPLIT,
     ) + f"""SELECT split, {KEYS}, round(yield_wheat, 6) AS yield_wheat FROM parts
 WHERE yield_wheat >= (SELECT q FROM lo) AND yield_wheat <= (SELECT q FROM hi)""",
     "trim_joint": more(
         "src AS (SELECT * FROM panel WHERE yield_wheat IS NOT NULL)",
-        "q AS (SELECT quantile_cont(yield_wheat, 0.05) AS lo, quantile_cont(yield_wheat, 0.95) AS hi FROM src WHERE year <= 1998)",
+        "q AS (SELECT quantile_cont(yield_wheat, 0.2) AS lo, quantile_cont(yield_wheat, 0.8) AS hi FROM src WHERE year <= 1998)",
         THRESHOLD_SPLIT,
     ) + f"""SELECT split, {KEYS}, round(yield_wheat, 6) AS yield_wheat FROM parts
 WHERE yield_wheat BETWEEN (SELECT lo FROM q) AND (SELECT hi FROM q)""",
@@ -574,7 +593,7 @@ FROM yearly WHERE yield_wheat IS NOT NULL""",
     "sequences_padded": padded(),
     "sequences_history2": HISTORY,
     "sequences_prev_year": padded(
-        ", round(CAST(CAST(CASE WHEN t.month IS NULL THEN 0 ELSE coalesce(b.y, 0) END AS FLOAT) AS DOUBLE), 2) AS prev",
+        ", round(CAST(CAST(CASE WHEN t.month IS NULL THEN 0 ELSE coalesce(b.y, 0) END AS FLOAT) AS DOUBLE), 6) AS prev",
         "LEFT JOIN sq b ON b.pixel_id = q.pixel_id AND b.year = q.year - 1",
     ),
     "sequences_static": BASE + """SELECT pixel_id, year, 12 AS steps, CAST(max(s_nationkey) AS DOUBLE) AS static_zone

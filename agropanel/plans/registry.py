@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ from agropanel.sources import inventory as I
 from agropanel.sources import names as names_
 from agropanel.sources import sinks
 from agropanel.sources import tables
-from agropanel.vocabulary import DYNAMIC_FEATURES, PANEL_KEYS, PIXEL_YEAR
+from agropanel.vocabulary import DATASETS, DYNAMIC_FEATURES, PANEL_KEYS, PIXEL_YEAR
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,6 +112,24 @@ def yearly_static_groups(spark: SparkSession, folder: str) -> DataFrame:
     return counted(yearly, "yearly").unionByName(counted(static, "static"))
 
 
+def layers_listed(spark: SparkSession, folder: str) -> DataFrame:
+    """The months that written layers have, from the listing of their files."""
+    root = _scratch(spark, "layers")
+    sinks.write_layers(V.layers(spark, folder), root)
+    path = tables.list_sources(spark, root, "*.parquet").select("path")
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]+)/", 1)
+    found = path.select(part("dataset").alias("dataset"), part("year").cast("int").alias("year"), part("month").alias("month")).distinct()
+    return found.groupBy("dataset", "year").agg(F.count(F.lit(1)).alias("months"))
+
+
+def predictions_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Prediction pairs written as CSV and read back."""
+    path = _scratch(spark, "preds")
+    sinks.write_csv(V.preds(spark, folder), path)
+    back = spark.read.csv(path, header=True, schema="year INT, y DOUBLE, p DOUBLE")
+    return rounded(back.groupBy("year").agg(F.count(F.lit(1)).alias("rows"), F.sum("y").alias("y"), F.sum("p").alias("p")), 2)
+
+
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
     return I.source_inventory(V.inventory(spark, folder), ["A", "N", "R"], *YEARS)
 
@@ -201,13 +220,14 @@ def composite_daily(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def composite_datasets(spark: SparkSession, folder: str) -> DataFrame:
-    """Quantity as daily precipitation, discount as temperature: two reductions in one pass."""
+    """Quantity as daily precipitation, discount as temperature, price as vegetation: a sum, a mean and a median."""
     lineitem = V.table(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("cell"), F.col("l_shipdate").alias("ts"),
         F.col("l_quantity").alias("chirps_precip"), (F.col("l_discount") + 273.15).alias("era5_temp2m"),
+        F.col("l_extendedprice").alias("modis_ndvi"),
     )
-    long = lineitem.unpivot(["cell", "ts"], ["chirps_precip", "era5_temp2m"], "dataset", "value")
-    return rounded(M.composite_datasets(long, ["cell"]))
+    long = lineitem.unpivot(["cell", "ts"], ["chirps_precip", "era5_temp2m", "modis_ndvi"], "dataset", "value")
+    return rounded(M.composite_datasets(long, ["cell"], {**DATASETS, "modis_ndvi": replace(DATASETS["modis_ndvi"], agg="median")}))
 
 
 def layer_export(spark: SparkSession, folder: str) -> DataFrame:
@@ -277,6 +297,15 @@ def keep_keys(spark: SparkSession, folder: str) -> DataFrame:
 # --- cleaning, splits, sampling ----------------------------------------------
 
 
+def _some_unfertilised(panel: DataFrame) -> DataFrame:
+    """The panel with zero or missing fertilizer in some pixel-years, in one kind or both."""
+    kind, other = (F.col("pixel_id") + 2 * F.col("year")) % 5, (F.col("pixel_id") + F.col("year")) % 3
+    return panel.withColumns({
+        "fert_n": F.when(kind == 0, 0.0).when(kind == 1, None).otherwise(F.col("fert_n")),
+        "fert_p": F.when(other == 0, 0.0).when(other == 1, None).otherwise(F.col("fert_p")),
+    })
+
+
 def _tagged(rules_of: Callable[[DataFrame], dict]) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         panel = V.panel(spark, folder).select(*PANEL_KEYS, V.TARGET)
@@ -300,7 +329,7 @@ def _trim(sequential: bool) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         panel = cut_lineage(V.panel(spark, folder).select(*PANEL_KEYS, V.TARGET))
         split = P.temporal_split(C.clean(panel, V.TARGET), **SPLIT)
-        split = P.quantile_trim(split, V.TARGET, 0.05, 0.95, sequential)
+        split = P.quantile_trim(split, V.TARGET, 0.2, 0.8, sequential)
         return rounded(P.labelled(split))
 
     return query
@@ -375,7 +404,7 @@ def _sequences(extra: list[str] | None = None, **settings) -> Query:
         seq = S.build_sequences(
             panel, SEQUENCE_FEATURES, ["fert_n"], V.TARGET, unique_months=True, **settings
         )
-        return rounded(S.steps_of(seq, [*SEQUENCE_FEATURES, "fert_n", *(extra or [])]), 2)
+        return rounded(S.steps_of(seq, [*SEQUENCE_FEATURES, "fert_n", *(extra or [])]))
 
     return query
 
@@ -432,9 +461,11 @@ def response_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def recommend(spark: SparkSession, folder: str) -> DataFrame:
+    """All pixel-years of the first test year, untrimmed, as the command does it."""
     panel = V.panel(spark, folder)
     done = run(panel, _settings("linear", {"alpha": 10.0}))
-    return rounded(R.recommend(done.model, done.split.test, R.response_bounds(panel, V.FERTS)), 4)
+    rows = done.annual.filter(F.col("year") == SPLIT["test_year_min"])
+    return rounded(R.recommend(done.model, rows, R.response_bounds(panel, V.FERTS)), 4)
 
 
 def sweep(spark: SparkSession, folder: str) -> DataFrame:
@@ -446,6 +477,7 @@ def sweep(spark: SparkSession, folder: str) -> DataFrame:
     scores = L.sweep(
         table, features, V.TARGET, "elasticnet", grid, folds,
         log_transform=True, derive=settings.derive, max_iter=200,
+        prepare_split=lambda split: P.quantile_trim(split, V.TARGET, *settings.trim),
     )
     return rounded(scores, 4)
 
@@ -456,11 +488,20 @@ def best_run(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(E.best_run(rounds, "run", "year"))
 
 
+def _maize(panel: DataFrame) -> DataFrame:
+    """A second crop: grown in later years only, with yields of its own."""
+    return panel.filter(F.col("year") >= 1997).select(*PANEL_KEYS, (F.col(V.TARGET) / 4 + F.col("month")).alias("yield_maize"))
+
+
 def metrics_by_split(spark: SparkSession, folder: str) -> DataFrame:
     tagged = P.tag_parts(V.preds(spark, folder), P.threshold_rules(**SPLIT))
     return rounded(E.metrics(tagged, "y", "p", ["split"]))
 
 
+def _projected(name: str) -> Query:
+    return _over_panel(lambda p: C.project(p, C.feature_set(name, p.columns), V.TARGET))
+
+
 QUERIES: dict[str, Query] = {
     # diagnostics
     "q01_overview": _over_panel(Q.q01_overview),
@@ -479,7 +520,7 @@ QUERIES: dict[str, Query] = {
     "q10_target_stats": _over_panel(lambda p: Q.q10_target_stats(p, V.TARGET)),
     "q11_first_key": _over_panel(Q.q11_first_key),
     "q12_columns": _over_panel(Q.q12_columns),
-    "q13_crop_summary": _over_panel(lambda p: Q.q13_crop_summary({"wheat": (p, V.TARGET)})),
+    "q13_crop_summary": _over_panel(lambda p: Q.q13_crop_summary({"wheat": (p, V.TARGET), "maize": (_maize(p), "yield_maize")})),
     "q14_seasonality": _over_panel(Q.q14_seasonality),
     "q15_histogram_yield": _over_panel(lambda p: Q.q15_histogram(p, V.TARGET, 40)),
     "q15_histogram_fert_n": _over_panel(lambda p: Q.q15_histogram(p, "fert_n", 50)),
@@ -504,6 +545,8 @@ QUERIES: dict[str, Query] = {
     "panel_sql": panel_sql,
     "panel_roundtrip": panel_roundtrip,
     "layers_roundtrip": layers_roundtrip,
+    "layers_listed": layers_listed,
+    "predictions_csv": predictions_csv,
     "parse_names": parse_names,
     "yearly_static_groups": yearly_static_groups,
     "inventory": inventory,
@@ -541,10 +584,14 @@ QUERIES: dict[str, Query] = {
     "history_window": _over_panel(lambda p: J.history_window(p, 2000, 2).select(*PANEL_KEYS, "chirps_precip")),
     "sequence_of": _over_panel(lambda p: J.sequence_of(p, 1, 1998)),
     # cleaning
-    "project_weather": _over_panel(lambda p: C.project(p, C.feature_set("weather_only", p.columns), V.TARGET)),
-    "clean_basic": _over_panel(lambda p: C.clean(p, V.TARGET, V.FERTS, True, "40,000").select(*PANEL_KEYS, V.TARGET)),
-    "clean_report": _over_panel(lambda p: C.clean_report(p, V.TARGET, V.FERTS, True, "40,000", True)),
-    "require_fert": _over_panel(lambda p: C.clean(p, V.TARGET, V.FERTS, False, 0.0, True).select(*PANEL_KEYS, *V.FERTS)),
+    "project_weather": _projected("weather_only"),
+    "project_all": _projected("all"),
+    "project_vegetation": _projected("veg_lst_only"),
+    "project_no_fertilizer": _projected("no_fertilizer"),
+    "project_fertilizer": _projected("fertilizer_only"),
+    "clean_basic": _over_panel(lambda p: C.clean(p, V.TARGET, V.FERTS, True, 40_000).select(*PANEL_KEYS, V.TARGET)),
+    "clean_report": _over_panel(lambda p: C.clean_report(p, V.TARGET, V.FERTS, True, 40_000, True)),
+    "require_fert": _over_panel(lambda p: C.clean(_some_unfertilised(p), V.TARGET, V.FERTS, False, 0.0, True).select(*PANEL_KEYS, *V.FERTS)),
     # splits and sampling
     "split_threshold": _tagged(lambda p: P.threshold_rules(1999, 1999, 2000)),
     "split_leaveout": _tagged(lambda p: P.leaveout_rules(1997, 1998)),

@@ -40,7 +40,7 @@ class RunSettings:
     split: Mapping = field(default_factory=lambda: {
         "kind": "temporal", "train_max_year": 2012, "val_year": 2013, "test_year_min": 2014,
     })
-    min_yield: object = 1e-6
+    min_yield: float | None = 1e-6
     any_fertilizer: bool = False
     trim: tuple[float | None, float | None] = (0.005, 0.995)
     annual: Mapping = field(default_factory=dict)
