@@ -9,7 +9,7 @@ without touching an id.
 
 A word's ids do not depend on its neighbours: the tokenizer drops white space and no
 pre-token reaches across it. Ids are therefore looked up per white-space separated
-word in a bounded cache, and only unseen words go through the tokenizer.
+word in a bounded cache, and only unseen words are encoded.
 
 A null text counts as empty and has the end id only. A null ``doc_id`` comes first.
 Rows that repeat a ``doc_id`` stand in the order of their texts. Only the two named
@@ -18,6 +18,7 @@ columns are read.
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -32,6 +33,8 @@ from ..runtime import checkpoint_folder
 from .text_hash import text_bytes
 
 CACHE_WORDS = 300_000
+#: Fixed value: the pattern that cuts words into pre-tokens in the vocabulary file.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 ROWS_OUT = 500
@@ -46,38 +49,66 @@ def _tokenizer(vocabulary: str):
     return found
 
 
-class WordIds(dict):
-    """Ids of a white-space separated word; cleared when full, so memory is bounded."""
+class _Bounded(dict):
+    """A cache of at most twice ``CACHE_WORDS`` entries: a full one becomes the old one."""
+
+    def __init__(self, make: Callable):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < 100:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class WordIds:
+    """Ids of white-space separated words (UTF-8 bytes).
+
+    Words of characters below U+0250 are lower-cased and cut into pre-tokens here, by
+    the tokenizer's own pattern, and a pre-token goes to the tokenizer's model once.
+    All other words go through the whole tokenizer.
+    """
 
     def __init__(self, vocabulary: str):
-        self.encode = _tokenizer(vocabulary).encode
-        self.cores: dict[bytes, list[int]] = {}
+        import regex
+
+        self.whole = _tokenizer(vocabulary)
+        tokenize, byte_chars, same = self.whole.model.tokenize, _byte_chars(), list(range(self.whole.get_vocab_size()))
+        self.cut = regex.compile(PRE_TOKEN).findall
+        self.pieces = _Bounded(lambda p: [same[x.id] for x in tokenize("".join(map(byte_chars.__getitem__, p.encode())))])
+        self.words = _Bounded(self._ids)
 
     def _ids(self, word: bytes) -> list[int]:
-        return self.encode(word.decode("utf-8"), add_special_tokens=False).ids
-
-    def __missing__(self, word: bytes) -> list[int]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if len(self.cores) >= CACHE_WORDS:
-            self.cores.clear()
-        low = word.lower() if word.isascii() else word
-        ids = self.cores.get(low)
-        if ids is None:
-            # A lone full stop or comma behind an ASCII letter or digit is a pre-token of its own.
-            if len(low) > 1 and low[-1:] in b".," and low[-2:-1].isalnum():
-                ids = self[low[:-1]] + self[low[-1:]]
-            else:
-                ids = self._ids(low)
-            self.cores[low] = ids
-        if len(word) < 200:
-            self[word] = ids
-        return ids
+        text = word.decode("utf-8")
+        if text.isascii() or (max(text) < "\u0250" and "\u0130" not in text and "\x85" not in text and "\xa0" not in text and unicodedata.is_normalized("NFC", text)):
+            if text.isprintable():
+                parts = self.cut(text.lower())
+                return self.pieces[parts[0]] if len(parts) == 1 else [i for p in parts for i in self.pieces[p]]
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+
+def _byte_chars() -> list[str]:
+    """The character that stands for each byte: itself where it can be seen, else one from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(rest)) for b in range(256)]
+
+
+@lru_cache(maxsize=1)
+def _words_of(vocabulary: str) -> _Bounded:
+    """One cache per worker process, kept from task to task."""
+    return WordIds(vocabulary).words
 
 
 def _encode(vocabulary: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(vocabulary)
+        known = _words_of(vocabulary)
         for batch in batches:
             for at in range(0, len(batch), ROWS_OUT):
                 part, flat, ends = batch.slice(at, ROWS_OUT), [], [0]
