@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut_lineage
-from .tables import HOT_SHARE, components, lookup
+from .tables import HOT_SHARE, components, lookup, mark_place, marked, marks
 from .text_hash import batch_words, mix, shingles
 
 BLOCK_MEMBERS = 2048
@@ -78,17 +78,23 @@ def _digest(s: np.ndarray) -> bytes:
     return np.array([a, b ^ np.uint64(len(s))], np.uint64).tobytes()
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``(doc_id, set)``: the sorted 64-bit shingle hashes of each text as bytes."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``(doc_id, set)`` of the documents in ``wanted(doc_id)``: the sorted 64-bit shingle hashes as bytes.
+
+    Texts are hashed where they are read; what the marks let through is then joined.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(marks(wanted, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(marked(bits.value, np.asarray(batch.column(2)))))
             found = [b""] * len(batch)
             for row, w in batch_words(batch.column(1)):
                 found[row] = shingles(w, words).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "set"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, set binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    return rows.withColumn("place", mark_place("doc_id")).mapInArrow(run, "doc_id long, set binary").join(wanted, "doc_id", "left_semi")
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, width: int, collection: int) -> DataFrame:
@@ -229,8 +235,9 @@ def near_duplicates(
         named.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "lanes")).alias("first"), F.count(F.lit(1)).alias("copies"))
         .select("digest", "copies", F.col("first.doc_id").alias("node"), F.col("first.n").alias("n"), F.col("first.lanes").alias("lanes"))
     )
-    keys = cut_lineage(classes.select("node", "lanes").mapInArrow(_emit_keys(width, collection), "key long, node long"))
-    buckets = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    # Made again for each use: the lanes are a fraction of the size of the keys made from them.
+    keys = classes.select("node", "lanes").mapInArrow(_emit_keys(width, collection), "key long, node long")
+    buckets = cut_lineage(keys.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1"))
     rows = buckets.agg(F.sum("members")).first()[0] or 0
     pairs = cut_lineage(
         lookup(keys, buckets, "key", rows, "members", "inner").where("node <> centre").select("centre", "node").distinct()
@@ -252,8 +259,8 @@ def near_duplicates(
 def _links(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, percent: int, width: int, collection: int) -> DataFrame:
     """Edges ``(a, b)`` that connect exactly what the links between members of each centre's group connect."""
     nodes = pairs.select("node").union(pairs.select("centre")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    sets = cut_lineage(shingle_sets(texts, "doc_id", "text", words).where("length(set) > 0").withColumn("n", (F.length("set") / 8).cast("long")))
+    found = shingle_sets(docs, nodes.withColumnRenamed("node", "doc_id"), id_col, text_col, words)
+    sets = cut_lineage(found.where("length(set) > 0").withColumn("n", (F.length("set") / 8).cast("long")))
     sizes = cut_lineage(
         pairs.join(sets.select(F.col("doc_id").alias("node"), "n"), "node")
         .groupBy("centre").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))

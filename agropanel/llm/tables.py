@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,33 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, total: int, count: str,
     return first.unionByName(rest)
 
 
+MARK_BITS = 1 << 26
+
+
+def marks(keys: DataFrame, key: str) -> np.ndarray:
+    """A bitmap of ``MARK_BITS`` bits (8 MB) with a bit set for the hash of each key.
+
+    Whatever the number of keys, that is all that reaches the driver and goes into a
+    broadcast. A row whose bit is not set has no partner in ``keys``, so a wide table
+    can be thinned where it is read, before the join that decides.
+    """
+    place = mark_place(key) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros((MARK_BITS >> 15, 1 << 12), np.uint8)
+    for row in rows.collect():
+        out[row["part"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def marked(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether the bits at ``place``, from ``mark_place``, are set."""
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def mark_place(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node in ``edges(a, b)``; the component is its smallest node.
 
