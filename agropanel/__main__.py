@@ -28,6 +28,11 @@ def _grid(text: str) -> GridSpec:
     return GridSpec(float(west), float(north), float(xres), float(yres), int(width), int(height))
 
 
+def _box(text: str) -> tuple[float, ...]:
+    west, south, east, north = map(float, text.split(","))
+    return west, south, east, north
+
+
 def _settings(a: argparse.Namespace) -> RunSettings:
     split = {"kind": "temporal", "train_max_year": a.train_max_year, "val_year": a.val_year, "test_year_min": a.test_year_min}
     return RunSettings(
@@ -42,7 +47,8 @@ def layers(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.overwrite:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     made = monthly_layers(
-        spark.read.parquet(a.obs), grid, a.start_year, a.end_year, a.datasets, existing, a.overwrite, a.resampling
+        spark.read.parquet(a.obs), grid, a.start_year, a.end_year, a.datasets, existing, a.overwrite, a.resampling,
+        a.box, spark.read.parquet(a.area) if a.area else None, a.country,
     )
     write_layers(made, a.out, "overwrite" if a.overwrite else "append")
 
@@ -124,6 +130,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--existing")
     c.add_argument("--overwrite", action="store_true")
     c.add_argument("--resampling", default="average")
+    c.add_argument("--box", type=_box, help="west,south,east,north")
+    c.add_argument("--area", help="table of pixel_id and country on the target grid")
+    c.add_argument("--country")
     c = command(mask, "water", "out", crop=False)
     c.add_argument("--threshold", type=float, default=50)
     c = command(build, "layers", "yields", "fertilizers", "out", years=True, grid=True)

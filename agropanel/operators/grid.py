@@ -46,14 +46,14 @@ class GridSpec:
         return row.between(0, self.height - 1) & col.between(0, self.width - 1)
 
 
-def grid_frame(cells: DataFrame) -> DataFrame:
-    """Grid of a coordinate table as one row; any file order gives the same grid.
+def grid_frame(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Grid of a coordinate table as one row per ``by``; any file order gives the same grid.
 
     The mean step of sorted distinct coordinates is their span over their
     number less one, so nothing needs sorting.
     """
     lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
-    seen = cells.agg(
+    seen = cells.groupBy(*by).agg(
         F.min(lon).alias("x0"), F.max(lon).alias("x1"), F.count_distinct(lon).alias("nx"),
         F.min(lat).alias("y0"), F.max(lat).alias("y1"), F.count_distinct(lat).alias("ny"),
     )
@@ -62,6 +62,7 @@ def grid_frame(cells: DataFrame) -> DataFrame:
         return F.coalesce(F.try_divide(F.col(last) - F.col(first), F.col(n) - 1), F.lit(SINGLE_STEP))
 
     return seen.withColumns({"xres": step("x0", "x1", "nx"), "yres": step("y0", "y1", "ny")}).select(
+        *by,
         (F.col("x0") - F.col("xres") / 2).alias("west"),
         (F.col("y1") + F.col("yres") / 2).alias("north"),
         "xres", "yres",
@@ -236,17 +237,16 @@ def fill_3x3(
 
     The table is shuffled once, by layer and square tile, with a rim of
     ``passes`` cells copied to the tiles next to it. All passes then aggregate
-    inside that partitioning, and no tile holds more than (TILE + 2 passes)^2
+    inside that partitioning, and no tile holds more than (side + 2 passes)^2
     cells, whatever the layers look like.
     """
     layer = list(layer)
     passes = max(1, int(passes))
-    if passes > TILE:
-        raise ValueError(f"at most {TILE} passes")
+    side = max(TILE, passes)  # no rim reaches beyond the next tile
 
     def tiles(axis: str) -> Column:
-        low = F.floor((F.col(axis) - passes) / TILE)
-        high = F.floor((F.col(axis) + passes) / TILE)
+        low = F.floor((F.col(axis) - passes) / side)
+        high = F.floor((F.col(axis) + passes) / side)
         return F.sequence(low, high)
 
     tile = [*layer, "_tr", "_tc"]
@@ -263,8 +263,8 @@ def fill_3x3(
     itself = F.array(F.struct(F.lit(0).alias("dr"), F.lit(0).alias("dc")))
 
     def in_tile(axis: str, tile_axis: str) -> Column:
-        start = F.col(tile_axis) * TILE
-        return F.col(axis).between(start - passes, start + TILE - 1 + passes)
+        start = F.col(tile_axis) * side
+        return F.col(axis).between(start - passes, start + side - 1 + passes)
 
     for _ in range(passes):
         own = (F.col("_s.dr") == 0) & (F.col("_s.dc") == 0)
@@ -281,7 +281,7 @@ def fill_3x3(
             .groupBy(*tile, "row", "col")
             .agg(F.coalesce(F.max("_own"), F.avg("_near")).alias("_v"))
         )
-    home = (F.floor(F.col("row") / TILE) == F.col("_tr")) & (F.floor(F.col("col") / TILE) == F.col("_tc"))
+    home = (F.floor(F.col("row") / side) == F.col("_tr")) & (F.floor(F.col("col") / side) == F.col("_tc"))
     return cells.filter(home).select(
         *layer, grid.pixel(F.col("row"), F.col("col")).alias("pixel_id"), F.col("_v").alias(value)
     )

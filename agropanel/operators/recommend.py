@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agropanel.functions.order_stats import exact_quantiles
@@ -49,8 +52,8 @@ def recommend(
     One column after the other, each row tries all levels and takes the best one
     if it beats what the row has so far; among equal predictions the lowest level
     wins. Levels are in the units of ``annual`` and flow through the derived
-    features. All trials of a row are columns beside it, so nothing is shuffled;
-    each pass is written, which keeps the plan short and a lost executor cheap.
+    features. All trials of a row are unfolded beside it and folded back in the same
+    task, so nothing is shuffled; each pass is written, which keeps the plan short and a lost executor cheap.
     """
     grid = candidates(bounds, levels)
     columns = annual.columns
@@ -80,15 +83,38 @@ def _try_levels(
     scored: Callable[[DataFrame, str], DataFrame], best: DataFrame, column: str, levels: Sequence[float]
 ) -> DataFrame:
     kind, columns = best.schema[column].dataType, best.columns
-    tried = best.withColumn("_now", F.col(column))
-    for i, level in enumerate(levels):
-        tried = scored(tried.withColumn(column, F.lit(float(level)).cast(kind)), f"_p{i}")
-    # Of equal predictions the greatest struct has the greatest -i: the lowest level.
-    trials = F.array(*[F.struct(F.col(f"_p{i}").alias("p"), F.lit(-i).alias("i"), F.lit(float(v)).alias("v")) for i, v in enumerate(levels)])
-    tried = tried.withColumn("_w", F.array_max(trials))
-    better = F.coalesce(F.col("_w.p") > F.col("pred_opt"), F.lit(False))
-    changed = {column: F.col("_w.v").cast(kind), f"_best_{column}": F.col("_w.v"), "pred_opt": F.col("_w.p")}
-    before = {column: F.col("_now")}
-    return tried.select(*[
-        F.when(better, changed[c]).otherwise(before.get(c, F.col(c))).alias(c) if c in changed else F.col(c) for c in columns
-    ])
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(v)).alias("v")) for i, v in enumerate(levels)])
+    trials = (
+        best.withColumn("_t", F.explode(steps))
+        # The row itself travels with its first trial only.
+        .withColumn("_now", F.when(F.col("_t.i") == 0, F.struct(*columns)))
+        .withColumn(column, F.col("_t.v").cast(kind))
+    )
+    tried = scored(trials, "_p").select("_now", F.col("_t.v").alias("_v"), F.col("_p").cast("double").alias("_p"))
+    return tried.mapInArrow(_fold(column, len(levels)), best.schema)
+
+
+def _fold(column: str, levels: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each row's best trial: the trials of a row follow one another, as many as there are levels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            rows = held.num_rows // levels
+            if not rows:
+                continue
+            whole, held = held.slice(0, rows * levels), held.slice(rows * levels)
+            now = whole.column(0).take(pa.array(np.arange(rows) * levels))
+            p = whole.column(2).to_numpy(zero_copy_only=False).reshape(rows, levels)
+            p = np.where(np.isnan(p), -np.inf, p)
+            winner = p.argmax(axis=1)  # of equal predictions the lowest level
+            place = np.arange(rows)
+            v = whole.column(1).to_numpy(zero_copy_only=False).reshape(rows, levels)[place, winner]
+            fields = dict(zip([f.name for f in now.type], now.flatten()))
+            better = pa.array(p[place, winner] > fields["pred_opt"].to_numpy(zero_copy_only=False))
+            for name, values in ((column, v), (f"_best_{column}", v), ("pred_opt", p[place, winner])):
+                fields[name] = pc.if_else(better, pa.array(values).cast(fields[name].type), fields[name])
+            yield pa.RecordBatch.from_arrays(list(fields.values()), names=list(fields))
+
+    return run

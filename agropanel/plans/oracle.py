@@ -328,6 +328,17 @@ def tetens(t: str) -> str:
 
 ALL_COLUMNS = ["pixel_id", "year", "month", *VALUES]
 
+def exported(where: str = "") -> str:
+    return ctes(ITEMS, f"""cells AS (
+  SELECT pixel_id, year, month, sum(l_quantity) AS q, avg(l_quantity + 273.15) AS t,
+    avg(l_quantity + 273.15 - l_discount * 10) AS td FROM items {where} GROUP BY 1, 2, 3)""", f"""long AS (
+  SELECT 'chirps_precip' AS dataset, pixel_id, year, month, q AS v FROM cells
+  UNION ALL SELECT 'era5_temp2m', pixel_id, year, month, t FROM cells
+  UNION ALL SELECT 'era5_vpd', pixel_id, year, month, greatest({tetens('t')} - {tetens('td')}, 0) FROM cells)""") + """SELECT
+  dataset, year, month, (pixel_id // 10 // 2) * 5 + pixel_id % 10 // 2 AS pixel_id, round(avg(v), 6) AS value
+FROM long GROUP BY 1, 2, 3, 4"""
+
+
 def project(*columns: str) -> str:
     return BASE + f"SELECT {KEYS}, {rr([*columns, 'yield_wheat'])} FROM panel"
 
@@ -488,14 +499,11 @@ UNION ALL SELECT 'modis_ndvi', pixel_id, year, month, round(median(l_extendedpri
   round(CASE WHEN {tetens('t')} - {tetens('td')} < 0 THEN 0 ELSE {tetens('t')} - {tetens('td')} END, 6) AS vpd
 FROM (SELECT l_suppkey AS cell, CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month,
   avg(273.15 + l_quantity) AS t, avg(273.15 + l_quantity * (1 - l_discount)) AS td FROM lineitem GROUP BY 1, 2, 3)""",
-    "layer_export": ctes(ITEMS, """cells AS (
-  SELECT pixel_id, year, month, sum(l_quantity) AS q, avg(l_quantity + 273.15) AS t,
-    avg(l_quantity + 273.15 - l_discount * 10) AS td FROM items GROUP BY 1, 2, 3)""", f"""long AS (
-  SELECT 'chirps_precip' AS dataset, pixel_id, year, month, q AS v FROM cells
-  UNION ALL SELECT 'era5_temp2m', pixel_id, year, month, t FROM cells
-  UNION ALL SELECT 'era5_vpd', pixel_id, year, month, greatest({tetens('t')} - {tetens('td')}, 0) FROM cells)""")
-    + """SELECT dataset, year, month, (pixel_id // 10 // 2) * 5 + pixel_id % 10 // 2 AS pixel_id, round(avg(v), 6) AS value
-FROM long GROUP BY 1, 2, 3, 4""",
+    "layer_export": exported(),
+    "layer_export_country": f"""SELECT * FROM ({exported()}
+) WHERE pixel_id IN (
+  SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_1')""",
+    "layer_export_box": exported("WHERE pixel_id % 10 BETWEEN 2 AND 5 AND pixel_id // 10 BETWEEN 2 AND 5"),
     "units": BASE + union(
         f"SELECT '{c}' AS dataset, count({c}) AS cells, round(avg({physical(c)}), 6) AS mean FROM panel" for c in DYN
     ),

@@ -230,7 +230,7 @@ def composite_datasets(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(M.composite_datasets(long, ["cell"], {**DATASETS, "modis_ndvi": replace(DATASETS["modis_ndvi"], agg="median")}))
 
 
-def layer_export(spark: SparkSession, folder: str) -> DataFrame:
+def _layers_of_lineitem(spark: SparkSession, folder: str, **options) -> DataFrame:
     """Daily amounts and two temperatures per supplier cell to monthly layers on a grid twice as coarse."""
     grid = V.panel_grid(spark, folder)
     key = F.col("l_suppkey")
@@ -241,7 +241,21 @@ def layer_export(spark: SparkSession, folder: str) -> DataFrame:
         (kelvin - F.col("l_discount") * 10).alias("era5_dewpoint2m"),
     ).unpivot(["lon", "lat", "ts"], ["chirps_precip", "era5_temp2m", "era5_dewpoint2m"], "dataset", "value")
     target = G.GridSpec(0.0, 0.0, 2.0, 2.0, 5, -(-grid.height // 2))
-    return rounded(monthly_layers(obs, target, *YEARS, "chirps_precip,era5_temp2m,era5_vpd"))
+    return rounded(monthly_layers(obs, target, *YEARS, "chirps_precip,era5_temp2m,era5_vpd", **options))
+
+
+def layer_export(spark: SparkSession, folder: str) -> DataFrame:
+    return _layers_of_lineitem(spark, folder)
+
+
+def layer_export_country(spark: SparkSession, folder: str) -> DataFrame:
+    """The same layers for the pixels of one country."""
+    return _layers_of_lineitem(spark, folder, area=V.countries(spark, folder), country="NATION_1")
+
+
+def layer_export_box(spark: SparkSession, folder: str) -> DataFrame:
+    """The same layers from the observations within a box of four by four cells, whose grid is that of the box."""
+    return _layers_of_lineitem(spark, folder, box=(2.0, -6.0, 6.0, -2.0))
 
 
 def vpd_month(spark: SparkSession, folder: str) -> DataFrame:
@@ -572,6 +586,8 @@ QUERIES: dict[str, Query] = {
     "composite_datasets": composite_datasets,
     "vpd_month": vpd_month,
     "layer_export": layer_export,
+    "layer_export_country": layer_export_country,
+    "layer_export_box": layer_export_box,
     "units": units,
     "sentinels": sentinels,
     # assembly
