@@ -1,4 +1,4 @@
-"""Command line: layers, mask, panel, diagnostics, training, recommendations, run scores.
+"""Command line: layers, mask, panel, diagnostics, sequences, training, recommendations, run scores.
 
     spark-submit --py-files ... agropanel build --crop wheat --layers ... --out ...
 """
@@ -17,6 +17,7 @@ from agropanel.operators.models import DEFAULTS, KINDS, load_model
 from agropanel.operators.recommend import recommend, response_bounds
 from agropanel.plans.layer_export import monthly_layers
 from agropanel.plans.panel_build import build_panel
+from agropanel.plans.sequence_run import SequenceSettings, run_sequences, write_sequences
 from agropanel.plans.tabular_run import ENHANCED, ENHANCED_DERIVED, RunSettings, annual_table, run
 from agropanel.sources.sinks import aggregate_runs, write_csv, write_layers, write_panel
 from agropanel.sources.tables import read_layers, read_panel
@@ -28,16 +29,25 @@ def _grid(text: str) -> GridSpec:
     return GridSpec(float(west), float(north), float(xres), float(yres), int(width), int(height))
 
 
+def _pair(text: str) -> tuple[float, float]:
+    low, high = map(float, text.split(","))
+    return low, high
+
+
 def _box(text: str) -> tuple[float, ...]:
     west, south, east, north = map(float, text.split(","))
     return west, south, east, north
 
 
 def _settings(a: argparse.Namespace) -> RunSettings:
-    split = {"kind": "temporal", "train_max_year": a.train_max_year, "val_year": a.val_year, "test_year_min": a.test_year_min}
+    split = {
+        "threshold": {"kind": "temporal", "train_max_year": a.train_max_year, "val_year": a.val_year, "test_year_min": a.test_year_min},
+        "leaveout": {"kind": "temporal", "strategy": "leaveout", "val_year": a.val_year, "test_year": a.test_year_min},
+        "spatial": {"kind": "spatial"},
+    }[a.split]
     return RunSettings(
         target=target_column(a.crop), kind=a.model, features=a.featureset, split=split, annual=ENHANCED,
-        derive=ENHANCED_DERIVED, log_transform=a.log, model=json.loads(a.params),
+        derive=ENHANCED_DERIVED, log_transform=a.log, model=json.loads(a.params), trim=a.trim,
     )
 
 
@@ -86,6 +96,15 @@ def train(spark: SparkSession, a: argparse.Namespace) -> None:
     done.write(a.out, a.crop)
 
 
+def sequences(spark: SparkSession, a: argparse.Namespace) -> None:
+    split = _settings(a).split
+    settings = SequenceSettings(
+        target_column(a.crop), a.featureset, split=split, trim=a.trim, per_year_max=a.per_year_max, stratify=a.stratify, normalisation=a.normalisation,
+        sequences={"seq_len": a.seq_len, "history_years": a.history_years},
+    )
+    write_sequences(run_sequences(read_panel(spark, a.panel), settings), a.out)
+
+
 def suggest(spark: SparkSession, a: argparse.Namespace) -> None:
     panel = read_panel(spark, a.panel)
     model = load_model(spark, a.trained)
@@ -121,6 +140,8 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--featureset", choices=list(FEATURE_SETS), default="all")
             c.add_argument("--params", default="{}", help=f"JSON, defaults {DEFAULTS['elasticnet']}")
             c.add_argument("--log", action="store_true")
+            c.add_argument("--split", choices=("threshold", "leaveout", "spatial"), default="threshold")
+            c.add_argument("--trim", type=_pair, default=(0.005, 0.995), help="low,high quantile of the training target")
             c.add_argument("--train_max_year", type=int, default=2012)
             c.add_argument("--val_year", type=int, default=2013)
             c.add_argument("--test_year_min", type=int, default=2014)
@@ -140,6 +161,12 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--static")
     command(diagnose, "panel")
     command(train, "panel", "out", model=True)
+    c = command(sequences, "panel", "out", model=True)
+    c.add_argument("--per_year_max", type=int)
+    c.add_argument("--stratify", default="yield_decile")
+    c.add_argument("--normalisation", default="zscore_global")
+    c.add_argument("--seq_len", type=int, default=12)
+    c.add_argument("--history_years", type=int, default=1)
     command(suggest, "panel", "trained", "out", model=True)
     c = command(scores, "runs", crop=False)
     c.add_argument("--metric", default="acc@20%")

@@ -328,6 +328,28 @@ def tetens(t: str) -> str:
 
 ALL_COLUMNS = ["pixel_id", "year", "month", *VALUES]
 
+_Z = ", ".join(
+    f"CAST(CAST(CASE WHEN {c}_s = 0 THEN 0 ELSE greatest(least(({c} - {c}_m) / {c}_s, 5), -5) END AS FLOAT) AS DOUBLE) AS {n}"
+    for c, n in (("chirps_precip", "precip"), ("era5_temp2m", "temp"))
+)
+SEQUENCE_RUN = more(
+    "src AS (SELECT * FROM panel WHERE yield_wheat IS NOT NULL)",
+    "q AS (SELECT quantile_cont(yield_wheat, 0.05) AS lo, quantile_cont(yield_wheat, 0.95) AS hi FROM src WHERE year <= 1998)",
+    "trimmed AS (SELECT * FROM src WHERE yield_wheat BETWEEN (SELECT lo FROM q) AND (SELECT hi FROM q))",
+    "keys AS (SELECT DISTINCT pixel_id, year FROM trimmed WHERE year <= 1998)",
+    "sized AS (SELECT *, count(*) OVER (PARTITION BY year) AS size FROM keys)",
+    f"picked AS ({RANDOM_PICK})",
+    "kept AS (SELECT pixel_id, year FROM sized WHERE size <= 40 UNION SELECT pixel_id, year FROM picked)",
+    """samples AS (
+  SELECT 'train' AS split, * FROM trimmed SEMI JOIN kept USING (pixel_id, year)
+  UNION ALL SELECT 'val', * FROM trimmed WHERE year = 1999 UNION ALL SELECT 'test', * FROM trimmed WHERE year >= 2000)""",
+    "s AS (SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in ("chirps_precip", "era5_temp2m")) + " FROM samples WHERE split = 'train')",
+    f"z AS (SELECT split, pixel_id, year, yield_wheat, {_Z} FROM samples, s)",
+) + """SELECT split, pixel_id, year, 12 AS steps, CAST(count(*) AS INT) AS months,
+  round(CAST(CAST(max(yield_wheat) AS FLOAT) AS DOUBLE), 2) AS y, round(sum(precip), 2) AS precip, round(sum(temp), 2) AS temp
+FROM z GROUP BY split, pixel_id, year HAVING count(*) >= 9"""
+
+
 def exported(where: str = "") -> str:
     return ctes(ITEMS, f"""cells AS (
   SELECT pixel_id, year, month, sum(l_quantity) AS q, avg(l_quantity + 273.15) AS t,
@@ -609,6 +631,7 @@ FROM panel LEFT JOIN supplier ON s_suppkey = pixel_id GROUP BY pixel_id, year HA
     "sequence_context": CONTEXT,
     "sequence_summary": BASE_SEQ + """SELECT count(*) AS samples, 12 AS steps, 11 AS features, 0 AS static_features
 FROM seq WHERE n_months >= 9""",
+    "sequence_run": SEQUENCE_RUN,
     "response_bounds": BASE + union(
         f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.01), 6) AS lo, round(quantile_cont({c}, 0.99), 6) AS hi FROM panel"
         for c in ("fert_n", "fert_p")

@@ -28,6 +28,7 @@ from agropanel.operators import splits as P
 from agropanel.plans import views as V
 from agropanel.plans.layer_export import monthly_layers
 from agropanel.plans.panel_build import build_panel
+from agropanel.plans.sequence_run import SequenceSettings, run_sequences
 from agropanel.plans.tabular_run import ENHANCED, ENHANCED_DERIVED, RunSettings, annual_table, run
 from agropanel.runtime import checkpoint_folder, cut_lineage
 from agropanel.sources import inventory as I
@@ -442,6 +443,20 @@ def sequence_summary(spark: SparkSession, folder: str) -> DataFrame:
     return S.sequence_summary(S.build_sequences(panel, DYNAMIC_FEATURES, V.FERTS, V.TARGET, add_prev_year_yield=True))
 
 
+def sequence_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole sequence preparation, one row per sample with the sums of its standardised steps."""
+    settings = SequenceSettings(
+        V.TARGET, "weather_only", ["chirps_precip", "era5_temp2m"], {"kind": "temporal", **SPLIT}, 0.0,
+        trim=(0.05, 0.95), per_year_max=40, stratify="random", sequences={"unique_months": True},
+    )
+    total = lambda i: F.aggregate("x", F.lit(0.0), lambda a, f: a + f[i].cast("double"))
+    rows = P.labelled(run_sequences(V.panel(spark, folder), settings))
+    return rounded(rows.select(
+        "split", *PIXEL_YEAR, F.size("x").alias("steps"), F.size(F.filter("month_idx", lambda m: m >= 0)).alias("months"),
+        F.col("y").cast("double").alias("y"), total(0).alias("precip"), total(1).alias("temp"),
+    ), 2)
+
+
 # --- models ------------------------------------------------------------------
 
 
@@ -640,6 +655,7 @@ QUERIES: dict[str, Query] = {
     "sequences_static": sequences_static,
     "sequence_context": sequence_context,
     "sequence_summary": sequence_summary,
+    "sequence_run": sequence_run,
     # models
     "model_ridge": _model("linear", alpha=10.0),
     "model_elasticnet": _model("elasticnet", alpha=0.15, l1_ratio=0.35, max_iter=500, tol=5e-5),
