@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from .text_hash import batch_words, shingles
 
 INDEX_BYTES = 32 << 20
+WORDS_AT_ONCE = 200_000
 BLOCK_ITEMS = 16
 GRAM = 4
 K1, B = 1.2, 0.75
@@ -52,6 +53,26 @@ def split_item(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, "")
 
 
+@dataclass
+class Postings:
+    """For each word of the vocabulary, places (items or blocks) and weights, one word after another."""
+
+    ends: np.ndarray
+    place: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, size: int, words: np.ndarray, place: np.ndarray, weight: np.ndarray) -> "Postings":
+        order = np.lexsort((place, words))
+        return cls(np.searchsorted(words[order], np.arange(size + 1)), place[order], weight[order])
+
+    def lists(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The postings of ``words``: for each the number of the word in the list, and its number here."""
+        begin, many = self.ends[words], self.ends[words + 1] - self.ends[words]
+        owner = np.repeat(np.arange(len(words)), many)
+        return owner, np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + begin[owner]
+
+
 @dataclass
 class Level:
     """Items of one length class: weights as shares of each item's own score."""
@@ -59,8 +80,8 @@ class Level:
     width: int
     items: np.ndarray
     top: np.ndarray
-    block_top: np.ndarray
-    weights: np.ndarray
+    blocks: Postings
+    postings: Postings
 
 
 @dataclass
@@ -81,7 +102,7 @@ def build(texts: list[str]) -> Index:
     """The index of items given as texts; item numbers are places in the list."""
     words = _words(texts)
     vocabulary, df = np.unique(np.concatenate([np.unique(w) for w in words] or [np.zeros(0, np.uint64)]), return_counts=True)
-    lengths = np.array([len(w) for w in words])
+    lengths = np.array([len(w) for w in words], int)
     idf = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5))
     mean = max(1.0, lengths.mean()) if len(lengths) else 1.0
     levels = []
@@ -99,11 +120,10 @@ def build(texts: list[str]) -> Index:
         rows, cols, values = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
         top = np.zeros(len(vocabulary))
         np.maximum.at(top, rows, values)
-        block_top = np.zeros((len(vocabulary), -(-len(items) // BLOCK_ITEMS)), np.float32)
-        np.maximum.at(block_top, (rows, cols // BLOCK_ITEMS), values)
-        order = np.lexsort((cols, rows))
-        posting = np.rec.fromarrays([rows[order], cols[order], values[order]], names="word,place,weight")
-        levels.append(Level(1 << int(c), items, top, block_top * np.float32(1.000001), posting))
+        pair, place = np.unique(np.stack([rows, cols // BLOCK_ITEMS]), axis=1, return_inverse=True)
+        highest = np.zeros(pair.shape[1])
+        np.maximum.at(highest, place.reshape(-1), values)
+        levels.append(Level(1 << int(c), items, top, Postings.of(len(vocabulary), *pair, highest), Postings.of(len(vocabulary), rows, cols, values)))
     parts = []
     for text, w in zip(texts, words):
         parts.append([(shingles(x, GRAM), min(GRAM, len(x))) for x in (*_words(list(split_item(text))), w)])
@@ -115,44 +135,91 @@ def _share(part: np.ndarray, width: int, grams: dict[int, np.ndarray]) -> float:
     return float(np.isin(part, grams[width]).mean()) if width else 1.0
 
 
-def search(index: Index, words: np.ndarray, threshold: float, question: float, answer: float, whole: float) -> Iterator[tuple[int, float, float, float]]:
-    """``(item, score, question share, answer share)`` of each verified item of one text, with its best window."""
-    if not len(index.words) or not len(words):
+def retrieve(index: Index, texts: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int, float, np.ndarray]]:
+    """``(text, item, score, words of the window)`` of every window and item that reach the threshold.
+
+    A window is two stretches of ``width`` words, one after the other; a text that
+    is shorter is one window. Sums count each word of a window once: those of the
+    first stretch, and of the second what the first does not have.
+    """
+    lengths = np.array([len(w) for w in texts], int)
+    flat = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+    if not len(index.words) or not len(flat):
         return
-    best: dict[int, tuple[float, float, float]] = {}
-    at = np.searchsorted(index.words, words)
-    at[at == len(index.words)] = 0
-    places = np.flatnonzero(index.words[at] == words)
-    terms_at = at[places]
+    least, size = threshold - 1e-9, len(index.words)
+    at = np.searchsorted(index.words, flat)
+    at[at == size] = 0
+    known = np.flatnonzero(index.words[at] == flat)
+    text_at = np.repeat(np.arange(len(texts)), lengths)
+    begins = np.cumsum(lengths) - lengths
+    terms, owner = at[known], text_at[known]
+    inside = known - begins[owner]
     for level in index.levels:
-        sums = np.concatenate([[0.0], np.cumsum(level.top[terms_at])])
-        if sums[-1] < threshold - 1e-9:
+        many = np.maximum(1, -(-lengths // level.width))
+        first = np.cumsum(many) - many  # a text's first stretch
+        opens = np.zeros(int(many.sum()) + 1, bool)
+        opens[first] = True
+        # The last of several stretches opens no window of its own, nor does what lies behind all.
+        closed = np.append((first + many - 1)[many > 1], len(opens) - 1)
+
+        def both(own: np.ndarray, second: np.ndarray) -> np.ndarray:
+            """Windows' sums from those of their two stretches."""
+            total = own + np.append(np.where(opens, 0.0, second)[1:], 0.0)
+            total[closed] = 0
+            return total
+
+        # First with repeated words, which needs no sort, then without.
+        stretch = first[owner] + inside // level.width
+        rough = np.bincount(stretch, level.top[terms], len(opens))
+        near = both(rough, rough) >= least
+        near[1:] |= near[:-1] & ~opens[1:]
+        near = near[stretch]
+        key = np.unique(stretch[near] * size + terms[near])
+        if not len(key):
             continue
-        begins = np.arange(0, max(1, len(words) - level.width), level.width)
-        ends = np.minimum(begins + 2 * level.width, len(words))
-        lo, hi = np.searchsorted(places, begins), np.searchsorted(places, ends)
-        for w in np.flatnonzero(sums[hi] - sums[lo] >= threshold - 1e-9):
-            terms = np.unique(terms_at[lo[w] : hi[w]])
-            open_blocks = np.flatnonzero(level.block_top[terms].sum(0) >= threshold - 1e-6)
-            if not len(open_blocks):
-                continue
-            p = level.weights
-            lows, highs = np.searchsorted(p.word, terms, "left"), np.searchsorted(p.word, terms, "right")
-            held = np.concatenate([np.arange(a, b) for a, b in zip(lows, highs)])
-            held = held[np.isin(p.place[held] // BLOCK_ITEMS, open_blocks)]
-            scores = np.bincount(p.place[held], p.weight[held], len(level.items))
-            grams = None
-            for n in np.flatnonzero(scores >= threshold):
-                if grams is None:
-                    grams = {k: shingles(words[begins[w] : ends[w]], k) for k in range(1, GRAM + 1)}
-                item = int(level.items[n])
-                shares = [_share(part, size, grams) for part, size in index.parts[item]]
-                if (shares[0] >= question and shares[1] >= answer) or shares[2] >= whole:
-                    found = (float(scores[n]), shares[0], shares[1])
-                    if found > best.get(item, (-1.0, 0.0, 0.0)):
-                        best[item] = found
-    for item, found in sorted(best.items()):
-        yield item, *found
+        stretch, word = np.divmod(key, size)
+        before = np.searchsorted(key, key - size)
+        new = opens[stretch] | (key[np.minimum(before, len(key) - 1)] != key - size)
+        bound = both(np.bincount(stretch, level.top[word], len(opens)), np.bincount(stretch[new], level.top[word[new]], len(opens)))
+        windows = np.flatnonzero(bound >= least)
+        if not len(windows):
+            continue
+        number = np.full(len(opens), -1)
+        number[windows] = np.arange(len(windows))
+        follows = new & ~opens[stretch]
+        window = np.concatenate([number[stretch], np.where(follows, number[stretch - 1], -1)])
+        term = np.concatenate([word, word])[window >= 0]
+        window = window[window >= 0]
+
+        blocks = -(-len(level.items) // BLOCK_ITEMS)
+        owner_of, entry = level.blocks.lists(term)
+        cell, place = np.unique(window[owner_of] * blocks + level.blocks.place[entry], return_inverse=True)
+        open_cells = cell[np.bincount(place, level.blocks.weight[entry], len(cell)) >= least]
+        keep = np.isin(window, open_cells // blocks)
+        window, term = window[keep], term[keep]
+        if not len(term):
+            continue
+        owner_of, entry = level.postings.lists(term)
+        item = level.postings.place[entry]
+        keep = np.isin(window[owner_of] * blocks + item // BLOCK_ITEMS, open_cells)
+        cell, place = np.unique(window[owner_of][keep] * len(level.items) + item[keep], return_inverse=True)
+        score = np.bincount(place, level.postings.weight[entry][keep], len(cell))
+        for c, s in zip(cell[score >= least], score[score >= least]):
+            w, n = divmod(int(c), len(level.items))
+            text = int(np.searchsorted(first, windows[w], "right")) - 1
+            begin = (windows[w] - first[text]) * level.width
+            yield text, int(level.items[n]), float(s), texts[text][begin : begin + 2 * level.width]
+
+
+def verified(index: Index, texts: list[np.ndarray], threshold: float, question: float, answer: float, whole: float) -> list[tuple[int, int, float, float, float]]:
+    """``(text, item, score, question share, answer share)`` of each verified pair, with its best window."""
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for text, item, score, window in retrieve(index, texts, threshold):
+        grams = {k: shingles(window, k) for k in {size for _, size in index.parts[item] if size}}
+        shares = [_share(part, size, grams) for part, size in index.parts[item]]
+        if (shares[0] >= question and shares[1] >= answer) or shares[2] >= whole:
+            best[text, item] = max(best.get((text, item), (-1.0, 0.0, 0.0)), (score, shares[0], shares[1]))
+    return [(*pair, *found) for pair, found in sorted(best.items())]
 
 
 def contaminated(
@@ -180,8 +247,15 @@ def _scan(index, threshold: float, question: float, answer: float, whole: float)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
-            for row, words in batch_words(plain(batch.column(1))):
-                out += [(ids[row], *x) for x in search(index.value, words, threshold, question, answer, whole)]
+            held, rows, size = [], [], 0
+            for row, words in (*batch_words(plain(batch.column(1))), (None, np.zeros(0, np.uint64))):
+                if held and (row is None or size + len(words) > WORDS_AT_ONCE):
+                    found = verified(index.value, held, threshold, question, answer, whole)
+                    out += [(ids[rows[text]], *x) for text, *x in found]
+                    held, rows, size = [], [], 0
+                held.append(words)
+                rows.append(row)
+                size += len(words)
             columns = list(zip(*out)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "place", "score", "question_share", "answer_share"])

@@ -27,16 +27,21 @@ def test_decontamination_finds_every_passage_and_nothing_else(spark, data):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items, index_bytes=2000).collect()} == expected
 
 
-def brute_scores(index, texts, words):
-    """BM25 of every window and item as a share of the item's own score, without any skipping."""
+def brute_scores(items, words, k1=1.2, b=0.75):
+    """Plain BM25 of every window and item, as a share of the item's own score."""
+    sets = [plain_words(t) for t in items]
+    mean = np.mean([len(w) for w in sets])
+    df = {w: sum(w in s for s in sets) for s in sets for w in s}
     out = {}
-    for level in index.levels:
-        weight = np.zeros((len(index.words), len(level.items)))
-        weight[level.weights.word, level.weights.place] = level.weights.weight
-        for begin in range(0, max(1, len(words) - level.width), level.width):
-            at = np.flatnonzero(np.isin(index.words, words[begin : begin + 2 * level.width]))
-            for item, s in zip(level.items, weight[at].sum(0)):
-                out[int(item)] = max(out.get(int(item), 0), s)
+    for n, item in enumerate(sets):
+        weight = {
+            w: np.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * item.count(w) * (k1 + 1) / (item.count(w) + k1 * (1 - b + b * len(item) / mean))
+            for w in set(item)
+        }
+        width = 1 << int(np.ceil(np.log2(len(item))))
+        for begin in range(0, max(1, len(words) - width), width):
+            window = set(words[begin : begin + 2 * width])
+            out[n] = max(out.get(n, 0), sum(x for w, x in weight.items() if w in window) / sum(weight.values()))
     return out
 
 
@@ -45,11 +50,12 @@ def test_skipping_loses_no_window_above_the_threshold():
     word = [f"w{i}" for i in range(80)]
     items = [" ".join(rng.choice(word, rng.integers(3, 40))) for _ in range(70)]
     index = decontam.build(items)
-    for _ in range(20):
-        text = " ".join(rng.choice(word, 150)) + " " + items[rng.integers(70)]
-        words = decontam._words([text])[0]
-        expected = {i for i, s in brute_scores(index, items, words).items() if s >= 0.5}
-        assert {i for i, *_ in decontam.search(index, words, 0.5, 0, 0, 0)} == expected
+    texts = ["", *(" ".join(rng.choice(word, rng.integers(1, 300))) + " " + items[rng.integers(70)] + " " + "z " * rng.integers(0, 60) for _ in range(25))]
+    found = {}
+    for text, item, score, _ in decontam.retrieve(index, decontam._words(texts), 0.5):
+        found[text, item] = max(found.get((text, item), 0), score)
+    expected = {(t, i): s for t, text in enumerate(texts) if text for i, s in brute_scores(items, plain_words(text)).items() if s >= 0.5}
+    assert found.keys() == expected.keys() and all(found[k] == pytest.approx(s) for k, s in expected.items())
 
 
 def test_decontamination_of_odd_rows(spark, odd_docs, no_docs):
@@ -66,8 +72,8 @@ def test_question_and_answer():
     words = lambda t: decontam._words([t])[0]
     item = "What is the name of the longest river that crosses the old town? It is the river Lethe of old"
     index = decontam.build([item, "something else entirely that is long enough to count here"])
-    assert list(decontam.search(index, words("before " + item + " after"), 0.5, 0.6, 0.5, 0.8))
-    assert not list(decontam.search(index, words("the name of the old river is It and the longest town crosses What that"), 0.1, 0.6, 0.5, 0.8))
+    assert decontam.verified(index, [words("before " + item + " after")], 0.5, 0.6, 0.5, 0.8)
+    assert not decontam.verified(index, [words("the name of the old river is It and the longest town crosses What that")], 0.1, 0.6, 0.5, 0.8)
 
 
 def brute_canonical(text):
