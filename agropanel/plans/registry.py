@@ -472,6 +472,44 @@ def _model(kind: str, **model) -> Query:
     return lambda spark, folder: rounded(run(V.panel(spark, folder), _settings(kind, model)).metrics_by_split(), 4)
 
 
+def _model_facts(kind: str, beats_mean: bool = True, in_range: bool = False, **model) -> Query:
+    """What must hold of a model's predictions whatever it learnt: rows per split, the residual's definition,
+    a training error below that of the mean, and (forests) no prediction outside the training targets."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        scored = run(V.panel(spark, folder), _settings(kind, model)).scored
+        y, p = F.col(V.TARGET).cast("double"), F.col("y_pred")
+        of = scored.filter("split = 'train'").agg(F.struct(F.min(y).alias("low"), F.max(y).alias("high"), F.stddev_pop(y).alias("dev"))).scalar()
+        train = F.col("split") == "train"
+        return scored.withColumn("_of", of).groupBy("split").agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.every(F.abs(F.col("residual") - (p - y)) < 1e-6).alias("residual_is_error"),
+            F.when(F.first(train) & F.lit(beats_mean), F.sqrt(F.avg((p - y) * (p - y))) < F.first("_of.dev")).alias("beats_mean"),
+            F.when(F.lit(in_range), F.every(p.between(F.col("_of.low") - 1e-6, F.col("_of.high") + 1e-6))).alias("in_range"),
+        )
+
+    return query
+
+
+def _near(column: str) -> Callable:
+    return lambda v: F.abs(v - F.col(column)) < 1e-9
+
+
+def recommend_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of every recommendation: never worse, a level of the grid, and a level only where it gains."""
+    panel = V.panel(spark, folder)
+    done = run(panel, _settings("linear", {"alpha": 10.0}))
+    bounds = R.response_bounds(panel, V.FERTS)
+    found = R.recommend(done.model, done.annual.filter(F.col("year") == SPLIT["test_year_min"]), bounds)
+    levels = R.candidates(bounds)
+    on_grid = [F.col(c).isNull() | F.exists(F.array(*[F.lit(v) for v in levels[c]]), _near(c)) for c in V.FERTS]
+    chosen = F.coalesce(*V.FERTS).isNotNull()
+    return found.select(
+        *PIXEL_YEAR, (F.col("pred_opt") >= F.col("pred_base")).alias("not_worse"),
+        (on_grid[0] & on_grid[1]).alias("on_grid"), (chosen == (F.col("pred_opt") > F.col("pred_base"))).alias("level_iff_gain"),
+    )
+
+
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     done = run(V.panel(spark, folder), _settings("linear", {"alpha": 10.0}))
     return rounded(done.predictions().select(*sinks.prediction_columns(V.TARGET, PIXEL_YEAR)), 4)
@@ -658,10 +696,16 @@ QUERIES: dict[str, Query] = {
     "sequence_run": sequence_run,
     # models
     "model_ridge": _model("linear", alpha=10.0),
-    "model_elasticnet": _model("elasticnet", alpha=0.15, l1_ratio=0.35, max_iter=500, tol=5e-5),
+    "model_elasticnet": _model("elasticnet", alpha=0.15, l1_ratio=0.35, max_iter=8000, tol=5e-5),
     "model_forest": _model("random_forest", n_estimators=20, max_depth=8),
     "model_gbt": _model("gbrt", n_estimators=20),
     "model_boosted_deep": _model("xgboost", n_estimators=10),
+    "model_ridge_facts": _model_facts("linear", alpha=10.0),
+    "model_elasticnet_facts": _model_facts("elasticnet", False, alpha=0.15, l1_ratio=0.35, max_iter=8000, tol=5e-5),
+    "model_forest_facts": _model_facts("random_forest", in_range=True, n_estimators=20, max_depth=8),
+    "model_gbt_facts": _model_facts("gbrt", n_estimators=20),
+    "model_boosted_deep_facts": _model_facts("xgboost", n_estimators=10),
+    "recommend_facts": recommend_facts,
     "predictions": predictions,
     "response_bounds": response_bounds,
     "response_levels": response_levels,
