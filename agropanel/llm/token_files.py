@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from ..runtime import checkpoint_folder
 from .text_hash import text_bytes
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+MARKS = tuple(bytes([c]) for c in b".,;:!?")
 #: Fixed value: the pattern that cuts words into pre-tokens in the vocabulary file.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ROW_GROUP_BYTES = 32 << 20
@@ -49,49 +50,67 @@ def _tokenizer(vocabulary: str):
     return found
 
 
-class _Bounded(dict):
-    """A cache of at most twice ``CACHE_WORDS`` entries: a full one becomes the old one."""
-
-    def __init__(self, make: Callable):
-        self.make, self.old = make, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) < 100:
-            if len(self) >= CACHE_WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
-class WordIds:
-    """Ids of white-space separated words (UTF-8 bytes).
+class WordIds(dict):
+    """A number for each white-space separated word (UTF-8 bytes) seen, and its ids in one array.
 
     Words of characters below U+0250 are lower-cased and cut into pre-tokens here, by
-    the tokenizer's own pattern, and a pre-token goes to the tokenizer's model once.
-    All other words go through the whole tokenizer.
+    the tokenizer's own pattern, and a pre-token goes to the tokenizer's model. All
+    other words go through the whole tokenizer. Number 0 is the end of a text.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, end_id: int):
         import regex
 
-        self.whole = _tokenizer(vocabulary)
-        tokenize, byte_chars, same = self.whole.model.tokenize, _byte_chars(), list(range(self.whole.get_vocab_size()))
+        self.whole, self.end_id = _tokenizer(vocabulary), end_id
+        self.model, self.byte_chars = self.whole.model.tokenize, _byte_chars()
         self.cut = regex.compile(PRE_TOKEN).findall
-        self.pieces = _Bounded(lambda p: [same[x.id] for x in tokenize("".join(map(byte_chars.__getitem__, p.encode())))])
-        self.words = _Bounded(self._ids)
-
-    def _ids(self, word: bytes) -> list[int]:
+        self.pieces: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.pieces.clear()
+        self.ids, self.ends, self.size = [self.end_id], [1], 1
+        self.held, self.held_ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self.ids += self.of(word)
+        self.ends.append(self.held_ends[-1] + len(self.ids))
+        number = self[word] = self.size
+        self.size += 1
+        return number
+
+    def of(self, word: bytes) -> list[int]:
+        """The ids of a word."""
+        if word.isalpha():
+            return self._piece(word.lower().decode())
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return self._piece(word[:-1].lower().decode()) + self._piece(word[-1:].decode())
         text = word.decode("utf-8")
         if text.isascii() or (max(text) < "\u0250" and "\u0130" not in text and "\x85" not in text and "\xa0" not in text and unicodedata.is_normalized("NFC", text)):
             if text.isprintable():
-                parts = self.cut(text.lower())
-                return self.pieces[parts[0]] if len(parts) == 1 else [i for p in parts for i in self.pieces[p]]
+                return [i for p in self.cut(text.lower()) for i in self._piece(p)]
         return self.whole.encode(text, add_special_tokens=False).ids
 
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            seen = piece if piece.isascii() else "".join(map(self.byte_chars.__getitem__, piece.encode()))
+            ids = [x.id for x in self.model(seen)]
+            if len(piece) < 50:
+                self.pieces[piece] = ids
+        return ids
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words given by number, one after another, and how many each has."""
+        if self.ends:
+            self.held = np.concatenate([self.held, np.array(self.ids, np.int32)])
+            self.held_ends = np.concatenate([self.held_ends, np.array(self.ends, np.int64)])
+            self.ids, self.ends = [], []
+        many = self.held_ends[numbers + 1] - self.held_ends[numbers]
+        inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        return self.held[inside + np.repeat(self.held_ends[numbers], many)], many
+
 
 def _byte_chars() -> list[str]:
     """The character that stands for each byte: itself where it can be seen, else one from U+0100 on."""
@@ -101,26 +120,29 @@ def _byte_chars() -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def _words_of(vocabulary: str) -> _Bounded:
+def _words_of(vocabulary: str, end_id: int) -> WordIds:
     """One cache per worker process, kept from task to task."""
-    return WordIds(vocabulary).words
+    return WordIds(vocabulary, end_id)
 
 
 def _encode(vocabulary: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _words_of(vocabulary)
+        known = _words_of(vocabulary, end_id)
         for batch in batches:
             for at in range(0, len(batch), ROWS_OUT):
-                part, flat, ends = batch.slice(at, ROWS_OUT), [], [0]
+                if len(known) > CACHE_WORDS:
+                    known.forget()
+                part, numbers = batch.slice(at, ROWS_OUT), []
                 for data in text_bytes(part.column(1)):
-                    for word in data.tobytes().split():
-                        flat += known[word]
-                    flat.append(end_id)
-                    ends.append(len(flat))
-                ids = np.array(flat, np.int32)
+                    words = data.tobytes().split()
+                    numbers.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+                    numbers.append(np.zeros(1, np.int64))
+                ids, many = known.gather(np.concatenate(numbers))
+                lengths = np.array([len(w) + 1 for w in numbers[::2]])
+                ends = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(lengths)])]
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))],
+                    [part.column(0), pa.array(np.diff(ends)), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))],
                     names=["doc_id", "n_tokens", "crc", "ids"],
                 )
 
