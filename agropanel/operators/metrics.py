@@ -64,7 +64,8 @@ def metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     pairs = df.select(
         *by, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p")
     ).filter(F.col("_y").isNotNull() & F.col("_p").isNotNull())
-    keyed = pairs if by else pairs.withColumn("_all", F.lit(0))
+    # A key that is no literal: joins on a literal would lose their condition.
+    keyed = pairs if by else pairs.withColumn("_all", F.hash("_y").bitwiseAND(F.lit(0)))
     keys = by or ["_all"]
     base = keyed.groupBy(*keys).agg(*[c.alias(name) for name, c in _scores(F.col("_y"), F.col("_p")).items()])
     rows = cut_lineage(keyed.groupBy(*keys, "_y", "_p").agg(F.count(F.lit(1)).alias("_w")))

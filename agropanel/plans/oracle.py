@@ -537,7 +537,7 @@ FROM (SELECT l_suppkey AS cell, CAST(year(l_shipdate) AS INT) AS year, CAST(mont
     "layer_export_country": f"""SELECT * FROM ({exported()}
 ) WHERE pixel_id IN (
   SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_1')""",
-    "layer_export_box": exported("WHERE pixel_id % 10 BETWEEN 2 AND 5 AND pixel_id // 10 BETWEEN 2 AND 5"),
+    "layer_export_box": exported("WHERE pixel_id % 10 BETWEEN 2 AND 5 AND pixel_id // 10 BETWEEN 0 AND 5"),
     "units": BASE + union(
         f"SELECT '{c}' AS dataset, count({c}) AS cells, round(avg({physical(c)}), 6) AS mean FROM panel" for c in DYN
     ),

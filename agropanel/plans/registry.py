@@ -255,8 +255,8 @@ def layer_export_country(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def layer_export_box(spark: SparkSession, folder: str) -> DataFrame:
-    """The same layers from the observations within a box of four by four cells, whose grid is that of the box."""
-    return _layers_of_lineitem(spark, folder, box=(2.0, -6.0, 6.0, -2.0))
+    """The same layers from the observations within a box, whose grid is that of the box."""
+    return _layers_of_lineitem(spark, folder, box=(2.0, -6.0, 6.0, 0.0))
 
 
 def vpd_month(spark: SparkSession, folder: str) -> DataFrame:

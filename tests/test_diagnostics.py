@@ -96,9 +96,8 @@ def test_example_columns_and_sample(panel):
     assert rows(Q.q22_sample(panel, 5, 1)) != rows(Q.q22_sample(panel, 5, 2))
 
 
-@pytest.mark.parametrize("limit", [1000, 1])
-def test_rows_per_pixel(panel, limit):
-    assert rows(Q.q21_rows_per_pixel(panel, limit)) == [(2.0, 6.75, 11.5, 16.25, 21.0)]
+def test_rows_per_pixel(panel):
+    assert rows(Q.q21_rows_per_pixel(panel)) == [(2.0, 6.75, 11.5, 16.25, 21.0)]
 
 
 def test_source_coverage(spark):
