@@ -40,6 +40,7 @@ from .tables import lookup
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 READ_BYTES = 4 << 20
 ARCHIVE_BYTES = 1 << 30
+READ_TASKS = 20_000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -234,7 +235,8 @@ def _records(keep_payload: bool) -> Callable:
 
 def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to`` of the archives in ``path``."""
-    entries = archives.select("path").repartition("path").mapInArrow(_entries, "path string, at long, length long")
+    tasks = max(1, min(archives.count(), READ_TASKS))  # a number, else so few rows would be put into one task
+    entries = archives.select("path").repartition(tasks, "path").mapInArrow(_entries, "path string, at long, length long")
     return entries.mapInArrow(
         _records(payloads), "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )
