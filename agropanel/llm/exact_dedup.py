@@ -16,14 +16,13 @@ id, the first by file and row stays. Only the two named columns are read.
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import checkpoint_folder, cut_lineage
-from .tables import hot_keys, lookup
+from .tables import hot_keys, lookup, settings
 
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -33,18 +32,6 @@ STATE_SETTINGS = {
 }
 
 
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    old = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
@@ -77,7 +64,7 @@ def digest_state(rows: DataFrame, max_bytes_per_trigger: int) -> DataFrame:
     spark = rows.sparkSession
     folder = f"{checkpoint_folder(spark)}/dedup-{uuid.uuid4().hex}"
     rows.write.parquet(f"{folder}/landed")
-    with _settings(spark, STATE_SETTINGS):
+    with settings(spark, STATE_SETTINGS):
         stream = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", max_bytes_per_trigger).parquet(f"{folder}/landed")
         query = (
             stream.groupBy("digest").agg(F.min(_first()).alias("first"), F.count(F.lit(1)).alias("n"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut_lineage
-from .tables import HOT_SHARE, components, lookup, mark_place, marked, marks
+from .tables import HOT_SHARE, SMALL_BATCHES, components, lookup, mark_place, marked, marks, settings
 from .text_hash import batch_words, mix, shingles
 
 BLOCK_MEMBERS = 2048
@@ -97,6 +97,19 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
     return rows.withColumn("place", mark_place("doc_id")).mapInArrow(run, "doc_id long, set binary").join(wanted, "doc_id", "left_semi")
 
 
+def _parts(sets: dict[int, np.ndarray], most: int = 1 << 17) -> Iterator[list[int]]:
+    """The keys of ``sets`` in parts of about ``most`` shingles."""
+    part, size = [], 0
+    for row, s in sets.items():
+        part.append(row)
+        size += len(s)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, width: int, collection: int) -> DataFrame:
     """``(doc_id, n, digest, lanes)`` per row; ``digest`` and ``lanes`` are null for an empty set."""
 
@@ -107,9 +120,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, width: int
                 if len(w):
                     sets[row] = shingles(w, words)
             lanes = [None] * len(batch)
-            rows = list(sets)
-            for at in range(0, len(rows), 256):
-                part = rows[at : at + 256]
+            for part in _parts(sets):
                 for row, x in zip(part, minhashes([sets[r] for r in part], width, collection)):
                     lanes[row] = x.tobytes()
             yield pa.RecordBatch.from_arrays(
@@ -229,6 +240,11 @@ def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, width: int = 2, collection: int = 9,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        return _near_duplicates(docs, id_col, text_col, words, percent, width, collection)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, width: int, collection: int) -> DataFrame:
     sketch = cut_lineage(sketches(docs, id_col, text_col, words, width, collection))
     named = sketch.where("doc_id is not null and n > 0")
     classes = cut_lineage(

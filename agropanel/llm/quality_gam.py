@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut_lineage
+from .tables import SMALL_BATCHES, settings
 from .text_hash import batch_words, shingles, text_bytes
 
 FEATURES = (
@@ -172,7 +173,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(x.reshape(-1)))], names=["doc_id", "x"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cut_lineage(rows.mapInArrow(run, "doc_id long, x array<float>"))
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        return cut_lineage(rows.mapInArrow(run, "doc_id long, x array<float>"))
 
 
 def held_out(doc_id) -> F.col:
@@ -215,6 +217,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
 def _filter(model: Gam, text_at: int, least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.score(text_features(batch.column(text_at))) >= least))
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                yield part.filter(pa.array(model.score(text_features(part.column(text_at))) >= least))
 
     return run
