@@ -3,16 +3,18 @@
 The base spans come from four patterns over the whole text. The model is a
 bidirectional LSTM over character kinds with CRF transitions between tags (outside;
 begin and inside of each kind), trained in numpy on the base spans of a bounded
-sample (``max_windows`` windows, picked by a hash of the row). Every span of the four
-kinds holds a digit or an @, so only windows around those characters are decoded:
+sample (``max_windows`` windows, picked by a hash of the row). What it is to add are
+the forms that the patterns do not know, so windows with a base span are learnt
+``COPIES`` times more with their spans written in such a form (``rewritten``). Every span of the
+four kinds holds a digit or an @, so only windows around those characters are decoded:
 runs closer than ``MARGIN`` are one stretch, stretches longer than ``WINDOW`` are
 overlapping windows moved by half of it. Windows are decoded together by Viterbi,
 and reconciled over the whole text: every position takes its tag from the window
 whose middle is nearest, and spans are read off the joined tags.
 
-A model span is added where it meets no base span, no failed match of a base
-pattern, and has the digits its kind needs. Positions are code points, end
-exclusive. A null text counts as empty; rows without ``doc_id`` and rows that repeat
+A model span is added where it meets no base span, is no failed match of its own
+kind's pattern and no piece of a failed one of 13 digits or more, cuts no run of digits, and holds what its kind needs (digits; Luhn for
+cards; four numbers up to 255 for ip). Positions are code points, end exclusive. A null text counts as empty; rows without ``doc_id`` and rows that repeat
 one are scanned each. Without any base span to learn from there is no model and
 nothing is added. Only the two named columns are read.
 """
@@ -41,6 +43,8 @@ LOCAL_CHAR[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxy
 LOCAL_CHAR = LOCAL_CHAR.tolist()
 TRIGGER = re.compile(r"[0-9@]")
 MARGIN, WINDOW = 20, 64
+COPIES, STEPS, BATCH = 3, 600, 64
+LOOSE = re.compile(r"@|([0-9][^0-9A-Za-z\n]{0,3}){8}[0-9]|([0-9]+[^0-9A-Za-z\n]{0,2}\.[^0-9A-Za-z\n]{0,2}){3}[0-9]")
 TAGS = 1 + 2 * len(KINDS)
 _PLAIN = 15
 CHAR_KIND = np.full(128, _PLAIN, np.uint8)
@@ -81,8 +85,8 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
-def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """``(kind, start, end)`` of the matches that pass, by kind and start; and the places of those that fail."""
+def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """``(kind, start, end)`` of the matches that pass, by kind and start; and of those that fail."""
     found, failed = [], []
     for k, kind in enumerate(KINDS):
         spans = _emails(text) if kind == "email" else (m.span() for m in PATTERNS[kind].finditer(text))
@@ -90,7 +94,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
             if passes(kind, text[a:b]):
                 found.append((k, a, b))
             else:
-                failed.append((a, b))
+                failed.append((k, a, b))
     return found, failed
 
 
@@ -217,7 +221,7 @@ class Tagger:
         np.add.at(grads["embed"], x.T, de)
         return float(total.sum() - true) / rows, grads
 
-    def fit(self, x: np.ndarray, tags: np.ndarray, *, rounds: int = 5, batch: int = 64, rate: float = 0.02, seed: int = 5) -> "Tagger":
+    def fit(self, x: np.ndarray, tags: np.ndarray, *, rounds: int = 5, batch: int = BATCH, rate: float = 0.02, seed: int = 5) -> "Tagger":
         rng, first, second, n = np.random.default_rng(seed), {}, {}, 0
         for _ in range(rounds):
             for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
@@ -286,21 +290,26 @@ def reconcile(wins: list[tuple[int, int]], tags: np.ndarray) -> list[tuple[int,
 
 
 def plausible(kind: int, text: str) -> bool:
-    digits = sum(c in "0123456789" for c in text)
     if KINDS[kind] == "email":
         return "@" in text[1:-1]
+    numbers = re.findall(r"[0-9]+", text)
     if KINDS[kind] == "ip":
-        return text.count(".") == 3 and digits >= 4
-    return 13 <= digits <= 19 if KINDS[kind] == "card" else 9 <= digits <= 15
+        return text.count(".") == 3 and len(numbers) == 4 and passes("ip", ".".join(numbers))
+    return passes(KINDS[kind], text)
 
 
-def add_spans(base: list[tuple[int, int, int]], failed: list[tuple[int, int]], wins: list[tuple[int, int]], texts: list[str], tags: np.ndarray) -> list[tuple[int, int, int]]:
-    taken = [(a, b) for _, a, b in base] + failed
-    out = list(base)
+def add_spans(base: list[tuple[int, int, int]], failed: list[tuple[int, int, int]], wins: list[tuple[int, int]], texts: list[str], tags: np.ndarray) -> list[tuple[int, int, int]]:
+    out, refused = list(base), set(failed)
     for kind, a, b in reconcile(wins, tags):
-        if any(x < b and a < y for x, y in taken):
+        if (kind, a, b) in refused or any(x < b and a < y for _, x, y in base):
             continue
-        if plausible(kind, _cover(a, b, wins, texts)):
+        if any(x <= a and b <= y and b - a < y - x and sum(c in "0123456789" for c in _cover(x, y, wins, texts)) >= 13 for _, x, y in failed):
+            continue
+        around = _cover(a - 1, b + 1, wins, texts)
+        begin = _cover(a - 1, a, wins, texts)
+        inner = around[len(begin) : len(begin) + b - a]
+        cut = re.match("[0-9]{2}", begin + inner[:1]) or re.fullmatch("[0-9]{2}", inner[-1:] + around[len(begin) + b - a :])
+        if not cut and plausible(kind, inner):
             out.append((kind, a, b))
     return sorted(out)
 
@@ -319,13 +328,59 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
+def other_form(kind: int, match: str, rng: np.random.Generator) -> str:
+    """A base span as people write it where the patterns do not look."""
+    pick = lambda *x: x[rng.integers(len(x))]
+    if KINDS[kind] == "email":
+        local, host = match.split("@")
+        if rng.random() < 0.5:
+            names = re.findall(r"[A-Za-z]+", local) or [local]
+            local = pick(".", "_", "-").join(names) + pick("", str(rng.integers(1, 3000)))
+            labels = re.findall(r"[A-Za-z]+", host)[-int(rng.integers(2, 4)) :]
+            host = ".".join(labels[:-1] + [pick("com", "org", "net", "edu", "de", "info")])
+        return local + pick(" @ ", " @ ", "@ ", " @", "[@]", "(@)") + host
+    if KINDS[kind] == "ip":
+        return match.replace(".", pick(". ", " .", " . ", "[.]", "(.)"))
+    digits = re.sub(r"[^0-9]", "", match)
+    if KINDS[kind] == "card":
+        by = pick("_", ".", "/", " - ", "  ")
+        return by.join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    own, code, by = digits[-10:], str(rng.integers(1, 100)), pick(" ", ".", "-", "/")
+    area, rest = own[:3], own[3:]
+    cut = pick(0, *range(2, len(rest) - 1))
+    rest = f"{rest[:cut]}{by}{rest[cut:]}" if cut else rest
+    return pick(f"({area}) ", f"(0{area[1:]}) ", f"({code}) {area} ", f"{area}{by}", f"0{area[1:]}{by}", f"00{code}{by}{area}{by}", f"00 {code} {area} ") + rest
+
+
+def rewritten(text: str, spans: list[tuple[int, int, int]], rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """A window with its spans in other forms, and where they are now; no spans if they do not fit or the patterns find them.
+
+    Of spans that overlap the first kind is written anew. What grows beyond the window loses the end behind its last span.
+    """
+    free, out, found, at = [], "", [], 0
+    for span in spans:
+        if all(span[1] >= b or span[2] <= a for _, a, b in free):
+            free.append(span)
+    for kind, a, b in sorted(free, key=lambda x: x[1]):
+        form = other_form(kind, text[a:b], rng)
+        out += text[at:a]
+        found.append((kind, len(out), len(out) + len(form)))
+        out, at = out + form, b
+    out += text[at:]
+    new = {(kind, out[a:b]) for kind, a, b in found}
+    known = any(a < y and x < b for _, a, b in found for _, x, y in base_spans(out)[0])
+    if not new or known or found[-1][2] > WINDOW or not all(plausible(*x) for x in new):
+        return text, []
+    return out[:WINDOW], found
+
+
 _SPAN = "array<struct<kind:int,start:int,stop:int>>"
-_SCANNED = f"uid long, doc_id long, base {_SPAN}, failed array<struct<start:int,stop:int>>, wins array<struct<start:int,stop:int,text:string>>"
+_SCANNED = f"uid long, doc_id long, base {_SPAN}, failed {_SPAN}, wins array<struct<start:int,stop:int,text:string>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
-    place, win = pa.struct([("start", pa.int32()), ("stop", pa.int32())]), pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("text", pa.string())])
+    win = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("text", pa.string())])
     for batch in batches:
         for at in range(0, len(batch), 1000):
             part = batch.slice(at, 1000)
@@ -334,10 +389,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = text or ""
                 found, bad = base_spans(text)
                 base.append([dict(kind=k, start=a, stop=b) for k, a, b in found])
-                failed.append([dict(start=a, stop=b) for a, b in bad])
+                failed.append([dict(kind=k, start=a, stop=b) for k, a, b in bad])
                 wins.append([dict(start=a, stop=b, text=text[a:b]) for a, b in windows(text)])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(base, pa.list_(span)), pa.array(failed, pa.list_(place)), pa.array(wins, pa.list_(win))],
+                [part.column(0), part.column(1), pa.array(base, pa.list_(span)), pa.array(failed, pa.list_(span)), pa.array(wins, pa.list_(win))],
                 names=["uid", "doc_id", "base", "failed", "wins"],
             )
 
@@ -358,8 +413,21 @@ def train(table: DataFrame, max_windows: int = 3000) -> Tagger | None:
     half = F.when(F.col("labelled"), F.lit(count[True])).otherwise(F.lit(count.get(False, 1)))
     picked = F.pmod(F.xxhash64("uid", "place"), half) < max_windows // 2
     rows = wins.where(picked).select("uid", "place", "base", "win").orderBy("uid", "place").collect()
-    tags = np.stack([tags_of(r["win"]["start"], r["win"]["stop"], [tuple(s) for s in r["base"]]) for r in rows])
-    return Tagger().fit(char_kinds([r["win"]["text"] for r in rows]), tags)
+    # What no pattern finds may still be a span in another form: such windows are no examples of plain text.
+    rows = [r for r in rows if any(a < r["win"]["stop"] and r["win"]["start"] < b for _, a, b in r["base"]) or not LOOSE.search(r["win"]["text"])]
+    texts = [r["win"]["text"] for r in rows]
+    tags = [tags_of(r["win"]["start"], r["win"]["stop"], [tuple(s) for s in r["base"]]) for r in rows]
+    rng = np.random.default_rng(7)
+    for r in rows:
+        at = r["win"]["start"]
+        inside = [(k, a - at, b - at) for k, a, b in r["base"] if a >= at and b <= r["win"]["stop"]]
+        for _ in range(COPIES if inside else 0):
+            text, spans = rewritten(r["win"]["text"], inside, rng)
+            if spans:
+                texts.append(text)
+                tags.append(tags_of(0, len(text), spans))
+    rounds = min(15, max(5, -(-STEPS * BATCH // len(texts))))
+    return Tagger(hidden=28).fit(char_kinds(texts), np.stack(tags), rounds=rounds, rate=0.015)
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_windows: int = 3000) -> DataFrame:
@@ -379,7 +447,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max
             at, spans = 0, []
             for b, bad, row in zip(base, failed, wins):
                 places = [(w["start"], w["stop"]) for w in row]
-                found = add_spans(triples(b), [(f["start"], f["stop"]) for f in bad], places, [w["text"] for w in row], tags[at : at + len(row)])
+                found = add_spans(triples(b), triples(bad), places, [w["text"] for w in row], tags[at : at + len(row)])
                 at += len(row)
                 spans.append([dict(kind=k, start=a, stop=z) for k, a, z in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(span))], names=["doc_id", "base", "spans"])

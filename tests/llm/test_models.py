@@ -187,6 +187,37 @@ def test_personal_data_of_odd_rows(spark, odd_docs, no_docs):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for k, _, _ in base) for n in range(4)]
 
 
+def test_the_model_finds_what_the_patterns_miss(spark, data):
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(4)
+    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    said = []
+    for k in range(40):
+        for kind, span in (
+            ("phone", [f"({digits(3)}) {digits(3)}-{digits(4)}", f"00{digits(2)}.{digits(3)}.{digits(7)}", f"{digits(3)}.{digits(3)}.{digits(4)}"][k % 3]),
+            ("email", f"john.doe{k} " + ["@ mail.org", "@ uni.example.edu"][k % 2]), ("ip", ". ".join(map(str, rng.integers(1, 255, 4)))),
+        ):
+            text = ["please call ", "write to ", "see "][k % 3] + span + [" today", " before noon"][k % 2]
+            if not pii.base_spans(text)[0]:
+                said.append((kind, span, text))
+    plain = ["in 2019 we sold 120 of 345 units for 12,500", "card 4539 1488 0343 6468 is wrong, 300.1.1.1 too"]
+    more = spark.createDataFrame([(-1 - k, t) for k, t in enumerate([x[2] for x in said] + plain)], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.report(pii.find(docs.unionByName(more))).where("doc_id < 0").collect()}
+    for kind in ("phone", "email", "ip"):
+        mine = [(d, s, t) for d, (k, s, t) in enumerate(said) if k == kind]
+        hits = sum(found[-1 - d] == f"{kind}:{t.index(s)}:{t.index(s) + len(s)}" for d, s, t in mine)
+        assert len(mine) > 30 and hits >= len(mine) / 2, (kind, hits, len(mine))
+    assert [found[-1 - len(said) - k] for k in range(2)] == ["", ""]
+
+
+def test_a_span_gives_way_to_base_spans_and_its_own_failed_matches_only():
+    text = "id 12 at (555) 123-4567 or 4539 1488 0343 6468"
+    wins, (base, failed) = [(0, len(text))], pii.base_spans(text)
+    tags = lambda *spans: pii.tags_of(0, len(text), list(spans))[None]
+    add = lambda *spans, held=base: pii.add_spans(held, failed, wins, [text], tags(*spans))
+    assert not base and add((3, 9, 23)) == [(3, 9, 23)] and add((2, 27, 46)) == [] and add((3, 9, 22)) == [] and add((3, 9, 23), held=[(1, 20, 30)]) == [(1, 20, 30)]
+
+
 def test_features_see_whole_texts():
     a = quality_gam.text_features(pa.array(["word " * 50_000 + "!", None, "", "Aa1|\n"]))
     assert a.shape == (4, len(quality_gam.FEATURES)) and a[0, 2] < 0.01 and not a[1].any() and not a[2].any()
