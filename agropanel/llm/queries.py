@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontam, exact_dedup, licences, lm_nce, minhash_dedup, pii, quality_gam, token_files, wacz
+from . import byte_bpe, conversations, decontam, exact_dedup, licences, lm_nce, minhash_dedup, pii, quality_gam, token_files, wacz
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,9 +65,13 @@ def op10_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wacz.read(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_minhash_dedup, op2_exact_dedup, op3_token_files, op4_licences, op5_byte_bpe, op6_decontam, op7_lm_score, op8_quality, op9_pii, op10_wacz,
+        op1_minhash_dedup, op2_exact_dedup, op3_token_files, op4_licences, op5_byte_bpe, op6_decontam, op7_lm_score, op8_quality, op9_pii, op10_wacz, op11_conversations,
     )
 }
