@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, conversations, decontam, exact_dedup, licences, lm_nce, minhash_dedup, pii, quality_gam, token_files, wacz
+from . import alignment, byte_bpe, conversations, decontam, exact_dedup, licences, lm_nce, minhash_dedup, pii, quality_gam, sharding, token_files, wacz
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +69,18 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(conversations.damaged(_table(spark, sf_dir, "conversations")))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(_table(spark, sf_dir, "documents"), 24)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_dedup, op2_exact_dedup, op3_token_files, op4_licences, op5_byte_bpe, op6_decontam, op7_lm_score, op8_quality, op9_pii, op10_wacz, op11_conversations,
+        op12_alignment, op13_sharding,
     )
 }

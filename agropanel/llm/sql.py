@@ -71,8 +71,28 @@ _REPAIR = f"""
     FROM ended e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
 """
 
+#: One group of equal texts after another, by falling size, to the first of the least loaded shards; the shards that
+#: groups of one size have got are given to them in the order of their digests.
+_SHARDS = f"""
+    WITH RECURSIVE
+    d AS (SELECT doc_id, sha256(coalesce(text, '')) AS digest, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+                 {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents),
+    g AS (SELECT digest, sum(size) AS bytes, row_number() OVER (ORDER BY sum(size) DESC, digest) AS i FROM d GROUP BY digest),
+    dealt AS (
+        SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS HUGEINT) AS bytes, 0 AS shard, list_transform(range(24), lambda x: CAST(0 AS HUGEINT)) AS loads
+        UNION ALL
+        SELECT g.i, g.bytes, spot - 1, loads[:spot - 1] || [loads[spot] + g.bytes] || loads[spot + 1:]
+        FROM (SELECT i, loads, list_position(loads, list_min(loads)) AS spot FROM dealt) AS held JOIN g ON g.i = held.i + 1),
+    taken AS (SELECT bytes, shard, row_number() OVER (PARTITION BY bytes ORDER BY shard) AS k FROM dealt WHERE i > 0),
+    home AS (SELECT digest, shard FROM (SELECT *, row_number() OVER (PARTITION BY bytes ORDER BY digest) AS k FROM g) JOIN taken USING (bytes, k))
+    SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+           row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, digest) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
+    FROM d JOIN home USING (digest)
+"""
+
 SQL = {
     "op11_conversations": _REPAIR,
+    "op13_sharding": _SHARDS,
     "op2_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
