@@ -93,3 +93,30 @@ def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[f
 def ranks_of(placed: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """``by``, ``value`` and its average rank (ties share it) of ``placed_values``."""
     return placed.select(*by, value, (F.col("_first") + (F.col("_c") + 1) / 2).alias("_rank"))
+
+
+def trim_bounds(
+    rows: DataFrame, value: str, lo: float | None, hi: float | None, by: Sequence[str], sequential: bool = True, weight: str | None = None
+) -> DataFrame:
+    """``by, low, high``: quantiles of a group's values; NULL for a bound that is not asked for.
+
+    ``sequential`` takes the upper one from the values that the lower one leaves. Both
+    come from one placed table: what is left starts at the place of its first value.
+    """
+    by = list(by)
+    placed = placed_values(rows, value, by, weight)
+    none = F.lit(None).cast("double")
+    out = placed.groupBy(*by).agg(F.first("n").alias("n")).drop("n").withColumns({"low": none, "high": none})
+    if lo is not None:
+        low = quantiles_of(placed, value, [lo], by).select(*by, F.col("quantiles")[0].alias("low"))
+        out = null_safe_join(out.drop("low"), low, by, "left")
+        if sequential:
+            left = null_safe_join(placed, low, by, "inner").filter(F.col(value) >= F.col("low"))
+            start = F.min("_first").over(Window.partitionBy(*by))
+            placed = left.withColumn("_start", start).select(
+                *by, value, "_c", (F.col("_first") - F.col("_start")).alias("_first"), (F.col("n") - F.col("_start")).alias("n")
+            )
+    if hi is not None:
+        high = quantiles_of(placed, value, [hi], by).select(*by, F.col("quantiles")[0].alias("high"))
+        out = null_safe_join(out.drop("high"), high, by, "left")
+    return out.select(*by, "low", "high")

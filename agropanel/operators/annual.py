@@ -123,10 +123,22 @@ def model_features(columns: Sequence[str], target: str, derive: Mapping) -> list
     return feature_columns(list(dict.fromkeys([*columns, *derived_columns(columns, **derive)])), target)
 
 
+def feature_terms(
+    columns: Sequence[str], features: Sequence[str], derive: Mapping, place: Callable[[str], str] = quoted
+) -> list[str]:
+    """SQL of each feature of a row: float precision, 0 where missing."""
+    derived = derived_columns(columns, **derive, place=place)
+    return [f"double(float(coalesce({derived.get(c) or place(c)}, 0)))" for c in features]
+
+
+def feature_array(
+    columns: Sequence[str], features: Sequence[str], derive: Mapping, place: Callable[[str], str] = quoted
+) -> Column:
+    return F.expr(f"array({', '.join(feature_terms(columns, features, derive, place))})")
+
+
 def feature_vector(
     columns: Sequence[str], features: Sequence[str], derive: Mapping, place: Callable[[str], str] = quoted
 ) -> Column:
     """Features of a row as one vector: float precision, 0 where missing."""
-    derived = derived_columns(columns, **derive, place=place)
-    values = [f"double(float(coalesce({derived.get(c) or place(c)}, 0)))" for c in features]
-    return array_to_vector(F.expr(f"array({', '.join(values)})"))
+    return array_to_vector(feature_array(columns, features, derive, place))

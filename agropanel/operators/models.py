@@ -1,25 +1,28 @@
-"""Yield models on the annual table: Spark ML estimators set up to the usual single-node definitions."""
+"""Yield models on the annual table, by the usual single-node definitions.
+
+Linear models are solved from sufficient statistics of one pass (``linear.py``); forests
+and first-order boosting are Spark ML estimators.
+"""
 
 from __future__ import annotations
 
 import itertools
 import json
-import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import ElementwiseProduct, StandardScaler
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agropanel.functions.targets import exp_target, log_target
-from agropanel.operators.annual import feature_vector, quoted
+from agropanel.operators import linear
+from agropanel.operators.annual import feature_array, feature_terms, feature_vector, quoted
 from agropanel.operators.metrics import METRIC_NAMES, metrics
-from agropanel.operators.splits import Fold, labelled, temporal_leaveout
+from agropanel.operators.moments import moments
+from agropanel.operators.splits import Fold, labelled, quantile_trim, temporal_leaveout
 from agropanel.runtime import checkpoint_folder
 
 LINEAR_KINDS = ("linear", "elasticnet")
@@ -41,39 +44,24 @@ DEFAULTS = {
 
 @dataclass(frozen=True)
 class YieldModel:
-    """A fitted pipeline with all that a later prediction needs."""
+    """A fitted model with all that a later prediction needs.
+
+    Linear kinds have an intercept and weights of the raw features, others a pipeline.
+    """
 
-    pipeline: PipelineModel
+    pipeline: PipelineModel | None
     kind: str
     features: list[str]
     target: str
     log_transform: bool = False
     log_offset: float = 1.0
     derive: dict = field(default_factory=dict)
+    weights: list[float] | None = None
+    intercept: float = 0.0
 
 
-def _linear(kind: str, p: Mapping, sigma: float, n: int) -> LinearRegression:
-    # The usual ridge adds alpha |w|^2 to the *sum* of squares, Spark halves the mean
-    # and divides its squared penalty by the deviation of the label.
-    alpha = float(p["alpha"])
-    if kind == "linear":
-        reg, mix = alpha * sigma / n, 0.0
-        solver = {}
-    else:
-        ratio = float(p["l1_ratio"])
-        reg = alpha * ratio + alpha * (1 - ratio) * sigma
-        mix = alpha * ratio / reg if reg else 0.0
-        solver = {"maxIter": int(p["max_iter"]), "tol": float(p["tol"])}
-    return LinearRegression(
-        featuresCol="_x", labelCol="_label", predictionCol="_z", regParam=reg, elasticNetParam=mix,
-        standardization=False, fitIntercept=bool(p["fit_intercept"]), **solver,
-    )
-
-
-def _estimator(kind: str, p: Mapping, sigma: float, n: int):
+def _estimator(kind: str, p: Mapping):
     common = {"featuresCol": "_x", "labelCol": "_label", "predictionCol": "_z"}
-    if kind in LINEAR_KINDS:
-        return _linear(kind, p, sigma, n)
     if kind == "random_forest":
         return RandomForestRegressor(
             **common, numTrees=int(p["n_estimators"]), maxDepth=int(p["max_depth"]),
@@ -111,32 +99,45 @@ def fit(
     derive = dict(derive or {})
     features = list(features)
     checkpoint_folder(train.sparkSession)
-    label = F.col(target).cast("double")
-    label = log_target(label, log_offset) if log_transform else label
-    vector = feature_vector(train.columns, features, derive)
-    columns = [label.alias("_label"), vector.alias("_raw" if kind in LINEAR_KINDS else "_x")]
+    label = transformed(target, log_transform, log_offset)
+    if val is not None and kind not in BOOSTED_KINDS:
+        raise ValueError(f"{kind!r} takes no validation rows")
+    if kind in LINEAR_KINDS:
+        found = moments(*label_last(train, features, label, derive), [])
+        if not found:
+            raise ValueError("no training row left")
+        problem = linear.Problem.of(found[()])
+        weights, intercept = problem.raw(solve_linear(kind, problem, settings), settings["fit_intercept"])
+        return YieldModel(None, kind, features, target, log_transform, log_offset, derive, weights.tolist(), intercept)
+    columns = [label.alias("_label"), feature_vector(train.columns, features, derive).alias("_x")]
     ready = train.select(*columns)
-    size = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("sigma")).first()
-    if not size["n"]:
+    if ready.isEmpty():
         raise ValueError("no training row left")
-    stages = []
-    if kind in LINEAR_KINDS:
-        # Spark scales by the sample deviation; the factor turns it into the population one.
-        n = size["n"]
-        factor = math.sqrt(n / (n - 1)) if n > 1 else 1.0
-        stages += [
-            StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True),
-            ElementwiseProduct(inputCol="_std", outputCol="_x", scalingVec=Vectors.dense([factor] * len(features))),
-        ]
-    estimator = _estimator(kind, settings, size["sigma"] or 1.0, size["n"])
+    estimator = _estimator(kind, settings)
     if val is not None:
-        if kind not in BOOSTED_KINDS:
-            raise ValueError(f"{kind!r} takes no validation rows")
         held_out = val.select(*columns, F.lit(True).alias("_held_out"))
         ready = ready.withColumn("_held_out", F.lit(False)).unionByName(held_out)
         estimator = estimator.setParams(validationIndicatorCol="_held_out", validationTol=1e-6)
-    stages.append(estimator)
-    return YieldModel(Pipeline(stages=stages).fit(ready), kind, features, target, log_transform, log_offset, derive)
+    return YieldModel(Pipeline(stages=[estimator]).fit(ready), kind, features, target, log_transform, log_offset, derive)
+
+
+def transformed(target: str, log_transform: bool, log_offset: float) -> Column:
+    label = F.col(target).cast("double")
+    return log_target(label, log_offset) if log_transform else label
+
+
+def label_last(rows: DataFrame, features: Sequence[str], label: Column, derive: Mapping) -> tuple[DataFrame, Column]:
+    """The rows that have a label, and their features with the label at the end."""
+    return rows.filter(label.isNotNull()), F.array_append(feature_array(rows.columns, features, derive), label)
+
+
+def solve_linear(kind: str, problem: linear.Problem, p: Mapping, start=None):
+    """Standardised weights of one setting."""
+    if kind == "linear":
+        return linear.ridge(problem, float(p["alpha"]))
+    return linear.elastic_net(
+        problem, float(p["alpha"]), float(p["l1_ratio"]), start, int(p["max_iter"]), float(p["tol"]), bool(p["fit_intercept"])
+    )
 
 
 def score(
@@ -150,9 +151,13 @@ def score(
 
     ``columns`` and ``place`` name the raw annual columns and where they are, if not at the top.
     """
-    inner = "_raw" if model.kind in LINEAR_KINDS else "_x"
-    vector = feature_vector(columns or df.columns, model.features, model.derive, place)
-    z = model.pipeline.transform(df.withColumn(inner, vector))
+    if model.weights is not None:
+        terms = feature_terms(columns or df.columns, model.features, model.derive, place)
+        total = " + ".join([f"{model.intercept!r}D", *[f"({w!r}D * {t})" for w, t in zip(model.weights, terms) if w]])
+        z = df.withColumn("_z", F.expr(total))
+    else:
+        vector = feature_vector(columns or df.columns, model.features, model.derive, place)
+        z = model.pipeline.transform(df.withColumn("_x", vector))
     pred = exp_target(F.col("_z"), model.log_offset) if model.log_transform else F.col("_z")
     return z.select(*df.columns, pred.alias(out))
 
@@ -163,9 +168,10 @@ def predict(model: YieldModel, df: DataFrame) -> DataFrame:
 
 
 def save_model(model: YieldModel, path: str) -> None:
-    """Pipeline and its settings, side by side."""
+    """Settings, weights among them, and the pipeline where there is one."""
     meta = _settings(model)
-    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    if model.pipeline is not None:
+        model.pipeline.write().overwrite().save(f"{path}/pipeline")
     spark = SparkSession.getActiveSession()
     spark.createDataFrame([(json.dumps(meta),)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
 
@@ -174,12 +180,14 @@ def _settings(model: YieldModel) -> dict:
     return {
         "kind": model.kind, "features": model.features, "target": model.target,
         "log_transform": model.log_transform, "log_offset": model.log_offset, "derive": model.derive,
+        "weights": model.weights, "intercept": model.intercept,
     }
 
 
 def load_model(spark: SparkSession, path: str) -> YieldModel:
     meta = json.loads(spark.read.text(f"{path}/settings").first()[0])
-    return YieldModel(PipelineModel.load(f"{path}/pipeline"), **meta)
+    # A linear model is its weights; older files have a pipeline for it.
+    return YieldModel(None if meta.get("weights") is not None else PipelineModel.load(f"{path}/pipeline"), **meta)
 
 
 def parameter_grid(grid: Mapping[str, Sequence]) -> list[dict]:
@@ -195,20 +203,23 @@ def sweep(
     grid: Mapping[str, Sequence],
     folds: Sequence[Fold],
     parallel: int = 4,
-    prepare_split: Callable | None = None,
+    trim: tuple[float | None, float | None] = (None, None),
     **settings,
 ) -> DataFrame:
-    """Validation and test scores of every combination of settings and folds.
+    """Validation and test scores of every combination of settings and folds, trimmed as ``quantile_trim`` does.
 
-    Fits are distributed jobs of their own; a few run side by side so that
-    the cluster stays busy. ``annual`` should be written or cached beforehand.
+    Linear kinds are solved together from one pass, see ``sweeps.py``. Fits of the
+    others are distributed jobs of their own; a few run side by side so that the
+    cluster stays busy. ``annual`` should be written or cached beforehand.
     """
+    if kind in LINEAR_KINDS:
+        from agropanel.operators.sweeps import linear_sweep
+
+        return linear_sweep(annual, features, target, kind, grid, folds, trim, **settings)
     spark = annual.sparkSession
 
     def run(fold: Fold, params: dict) -> list[tuple]:
-        split = temporal_leaveout(annual, fold.val_year, fold.test_year)
-        if prepare_split is not None:
-            split = prepare_split(split)
+        split = quantile_trim(temporal_leaveout(annual, fold.val_year, fold.test_year), target, *trim)
         model = fit(kind, split.train, features, target, **settings, **params)
         scores = metrics(predict(model, labelled(split, ("val", "test"))), target, "y_pred", ["split"])
         return [

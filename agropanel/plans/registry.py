@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,8 @@ from agropanel.operators import recommend as R
 from agropanel.operators import sampling as D
 from agropanel.operators import sequences as S
 from agropanel.operators import splits as P
+from agropanel.operators.linear import Problem
+from agropanel.operators.moments import moments
 from agropanel.plans import views as V
 from agropanel.plans.layer_export import monthly_layers
 from agropanel.plans.panel_build import build_panel
@@ -536,19 +539,65 @@ def recommend(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole grid of elastic nets over the folds, from one pass."""
     settings = _settings("elasticnet", {})
     table = cut_lineage(annual_table(V.panel(spark, folder), settings))
     features = A.model_features(table.columns, V.TARGET, settings.derive)
-    folds = P.temporal_cv(1998, 2000)
-    grid = {"alpha": [0.05, 0.3], "l1_ratio": [0.35, 0.9]}
+    grid = {"alpha": [0.002, 0.005, 0.01, 0.05, 0.3], "l1_ratio": [0.1, 0.35, 0.6, 0.9]}
     scores = L.sweep(
-        table, features, V.TARGET, "elasticnet", grid, folds,
-        log_transform=True, derive=settings.derive, max_iter=200,
-        prepare_split=lambda split: P.quantile_trim(split, V.TARGET, *settings.trim),
+        table, features, V.TARGET, "elasticnet", grid, P.temporal_cv(1996, 2000), trim=settings.trim,
+        log_transform=True, derive=settings.derive, max_iter=8000, tol=1e-6,
     )
     return rounded(scores, 4)
 
 
+def _few(spark: SparkSession, folder: str, dynamic: list[str]) -> DataFrame:
+    """The annual table of a few features, for models that plain SQL can solve."""
+    table = A.aggregate_yearly(V.panel(spark, folder), dynamic, ["fert_n"], V.TARGET, seasonal_quartiles=False, include_prev_year_yield=False)
+    return cut_lineage(A.drop_missing_target(table, V.TARGET))
+
+
+def sweep_ridge(spark: SparkSession, folder: str) -> DataFrame:
+    grid = {"alpha": [1.0, 50.0, 2000.0]}
+    scores = L.sweep(_few(spark, folder, ["chirps_precip"]), ["chirps_precip", "fert_n"], V.TARGET, "linear", grid, P.temporal_cv(1996, 1999), trim=(0.05, 0.95))
+    return rounded(scores.select("fold", "params", "split", "rmse", "mae", "r2", "bias", "n"), 4)
+
+
+def predictions_ridge(spark: SparkSession, folder: str) -> DataFrame:
+    split = P.temporal_split(_few(spark, folder, ["chirps_precip"]), **SPLIT)
+    model = L.fit("linear", split.train, ["chirps_precip", "fert_n"], V.TARGET, log_transform=True, alpha=10.0)
+    return rounded(L.predict(model, split.test).select(*PIXEL_YEAR, V.TARGET, "y_pred", "residual"), 4)
+
+
+def elasticnet_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights of the raw features and the intercept of one elastic net."""
+    features = ["chirps_precip", "era5_temp2m", "modis_lst_day", "fert_n"]
+    table = _few(spark, folder, features[:3]).filter(F.col("year") <= SPLIT["train_max_year"])
+    model = L.fit("elasticnet", table, features, V.TARGET, log_transform=True, alpha=0.004, l1_ratio=0.5, max_iter=20_000, tol=1e-15)
+    named = [*zip(features, model.weights), ("intercept", model.intercept)]
+    return rounded(spark.createDataFrame(named, "feature STRING, weight DOUBLE"), 7)
+
+
+def elasticnet_optimality(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the fitted elastic net meets its optimality conditions on the training rows, and has weights at all.
+
+    The slope of every feature is taken from the rows' own residuals: it equals the L1
+    penalty's where there is a weight and is no larger elsewhere.
+    """
+    alpha, ratio = 0.005, 0.35
+    done = run(V.panel(spark, folder), _settings("elasticnet", {"alpha": alpha, "l1_ratio": ratio, "max_iter": 8000, "tol": 1e-12}))
+    model, train = done.model, done.split.train
+    z = log_target(F.col("y_pred"), model.log_offset)
+    residual = log_target(F.col(V.TARGET).cast("double"), model.log_offset) - z
+    rows, values = L.label_last(L.score(model, train), model.features, residual, model.derive)
+    problem = Problem.of(moments(rows, values, [])[()])
+    weights = np.array(model.weights) * problem.deviation
+    slope = problem.cross - alpha * (1 - ratio) * weights
+    off = np.abs(slope - alpha * ratio * np.sign(weights))
+    optimal = bool((off[weights != 0] < 1e-6).all() and (np.abs(slope[weights == 0]) <= alpha * ratio + 1e-6).all())
+    return train.agg(F.count(F.lit(1)).alias("rows"), F.lit(optimal).alias("optimal"), F.lit(int((weights != 0).sum()) >= 3).alias("several_weights"))
+
+
 def best_run(spark: SparkSession, folder: str) -> DataFrame:
     """Years as rounds of a run, scored by their error."""
     rounds = E.metrics(V.preds(spark, folder), "y", "p", ["year"]).withColumn("run", F.concat(F.lit("round_"), F.col("year")))
@@ -696,12 +745,16 @@ QUERIES: dict[str, Query] = {
     "sequence_run": sequence_run,
     # models
     "model_ridge": _model("linear", alpha=10.0),
-    "model_elasticnet": _model("elasticnet", alpha=0.15, l1_ratio=0.35, max_iter=8000, tol=5e-5),
+    "model_elasticnet": _model("elasticnet", alpha=0.005, l1_ratio=0.35, max_iter=8000, tol=5e-5),
     "model_forest": _model("random_forest", n_estimators=20, max_depth=8),
     "model_gbt": _model("gbrt", n_estimators=20),
     "model_boosted_deep": _model("xgboost", n_estimators=10),
     "model_ridge_facts": _model_facts("linear", alpha=10.0),
-    "model_elasticnet_facts": _model_facts("elasticnet", False, alpha=0.15, l1_ratio=0.35, max_iter=8000, tol=5e-5),
+    "model_elasticnet_facts": _model_facts("elasticnet", alpha=0.005, l1_ratio=0.35, max_iter=8000, tol=5e-5),
+    "elasticnet_weights": elasticnet_weights,
+    "elasticnet_optimality": elasticnet_optimality,
+    "sweep_ridge": sweep_ridge,
+    "predictions_ridge": predictions_ridge,
     "model_forest_facts": _model_facts("random_forest", in_range=True, n_estimators=20, max_depth=8),
     "model_gbt_facts": _model_facts("gbrt", n_estimators=20),
     "model_boosted_deep_facts": _model_facts("xgboost", n_estimators=10),
