@@ -43,9 +43,9 @@ from pyspark.sql import functions as F
 from ..runtime import cut_lineage
 from .tables import SMALL_BATCHES, settings
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 6 << 20
 #: Texts aligned together; bounds the frames of one ``merge_asof``.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 PART = 1 << 16
 ROWS_OUT = 1000
 #: A document's number in its block and a pair share one 64-bit key.
