@@ -13,11 +13,11 @@ them by their place in the block. Counts therefore meet by pair in one aggregati
 blocks, go back to the blocks, and no row per document and pair is ever shuffled. The
 highest count of each A id, one row per id of the vocabulary, is what is broadcast.
 
-Long texts are encoded in parts of ``PART`` characters, cut before a space that follows
-a letter or digit. No token of either side reaches across such a place: A's pattern
-ends a pre-token there, and no piece of B has a space after another character (checked
-when the model is loaded; else texts stay whole). A block's memory is bounded by
-``BLOCK_BYTES`` or its one longer text.
+Texts are cut before each space that follows a letter, digit or ASCII mark. No token of
+either side reaches across such a place: A's pattern ends a pre-token there, and no
+piece of B has a space after another character (checked when the model is loaded; else
+texts stay whole). So each word is encoded once while it is in a bounded cache. A block's
+memory is bounded by ``BLOCK_BYTES`` or its one longer text.
 
 A null or empty text, and one whose tokens' bytes are not space + text on either side
 (B turns U+2581 into a space), has no tokens: zeros and an empty ``groups_sha256``.
@@ -32,6 +32,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -46,11 +47,14 @@ from .tables import SMALL_BATCHES, settings
 BLOCK_BYTES = 6 << 20
 #: Texts aligned together; bounds the frames of one ``merge_asof``.
 BATCH_BYTES = 1 << 20
-PART = 1 << 16
+CACHE_WORDS = 1_000_000
+#: Characters of new words that go through a tokenizer as one text.
+CHUNK = 1 << 15
 ROWS_OUT = 1000
 #: A document's number in its block and a pair share one 64-bit key.
 PAIR_BITS = 43
-_CUT = re.compile(r"(?<=[^\W_]) ")
+#: A space after a letter, digit or ASCII mark, not at the end.
+_CUT = re.compile(r"(?<=[!-~]|[^\W_]) (?=.)", re.DOTALL)
 
 TABLE = (
     "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -97,30 +101,99 @@ def piece_side(path: str) -> tuple[Vocabulary, bool]:
     return Vocabulary(lambda texts: model.encode(texts, num_threads=1), table), cuttable
 
 
-def parts(text: str, cuttable: bool = True) -> list[str]:
-    """Space + text, cut where neither side's tokens can reach across; every part starts with a space."""
-    whole, found, at = " " + text, [], 0
-    while cuttable and len(whole) - at > 2 * PART:
-        cut = _CUT.search(whole, at + PART)
-        if cut is None:
-            break
-        found.append(whole[at : cut.start()])
-        at = cut.start()
-    return [*found, whole[at:]]
-
-
-def encode(texts: list[str], a: Vocabulary, b: Vocabulary, cuttable: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Ids of both sides for each text; none where either side's bytes are not space + text."""
-    cut = [parts(t, cuttable) if t else [] for t in texts]
-    flat = [p for ps in cut for p in ps]
-    ids_a, ids_b = iter(a.encode(flat)), iter(b.encode([p[1:] for p in flat]))
-    none, out = np.zeros(0, np.int64), []
-    for ps in cut:
-        one, two = [i for _ in ps for i in next(ids_a)], [i for _ in ps for i in next(ids_b)]
-        raw = "".join(ps).encode()
-        same = b"".join(map(a.table.__getitem__, one)) == raw and b"".join(map(b.table.__getitem__, two)) == raw
-        out.append((np.array(one, np.int64), np.array(two, np.int64)) if same and ps else (none, none))
-    return out
+class Tokens:
+    """Ids of both sides for each word met, a bounded cache that is kept from batch to batch.
+
+    A word is what lies between two places where no token reaches across; its tokens do
+    not depend on its neighbours, and it stands for itself with the space before it.
+    """
+
+    def __init__(self, a: Vocabulary, b: Vocabulary, cuttable: bool):
+        self.sides, self.cuttable = (a, b), cuttable
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.ends = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.sound = np.zeros(0, bool)
+
+    def words(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        return _CUT.split(text) if self.cuttable else [text]
+
+    def _learn(self, words: list[str]) -> None:
+        """New words go through the tokenizers many at a time, as one text that is cut again at their ends."""
+        together = [w for w in words if self.cuttable and (w[-1].isalnum() or "!" <= w[-1] <= "~")]
+        alone = [w for w in words if not (self.cuttable and (w[-1].isalnum() or "!" <= w[-1] <= "~"))]
+        size = np.cumsum([len(w) + 1 for w in together])
+        chunks = np.split(np.array(together, object), np.searchsorted(size, np.arange(CHUNK, int(size[-1]), CHUNK)) if len(size) else [])
+        chunks = [c.tolist() for c in chunks if len(c)]
+        texts = [" ".join(c) for c in chunks]
+        found = list(zip(*[side.encode([" " * (1 - k) + t for t in texts]) for k, side in enumerate(self.sides)])) if texts else []
+        for chunk, text, ids in zip(chunks, texts, found):
+            ends = np.cumsum([len(w.encode()) + 1 for w in chunk])
+            cuts = [self._cuts(side, x, " " + text, ends) for side, x in zip(self.sides, ids)]
+            if any(c is None for c in cuts):
+                alone += chunk
+                continue
+            self._keep(chunk, [np.array(x, np.int32) for x in ids], cuts, np.ones(len(chunk), bool))
+        if alone:
+            ids = [side.encode([" " * (1 - k) + w for w in alone]) for k, side in enumerate(self.sides)]
+            sound = np.ones(len(alone), bool)
+            for side, own in zip(self.sides, ids):
+                sound &= [b"".join(map(side.table.__getitem__, x)) == (" " + w).encode() for x, w in zip(own, alone)]
+            flat = [np.fromiter((i for x in own for i in x), np.int32) for own in ids]
+            self._keep(alone, flat, [np.cumsum([len(x) for x in own]) for own in ids], sound)
+
+    @staticmethod
+    def _cuts(side: Vocabulary, ids: list[int], text: str, ends: np.ndarray) -> np.ndarray | None:
+        """How many ids lie before each end, if the ids are the text's bytes and some id ends there."""
+        if b"".join(map(side.table.__getitem__, ids)) != text.encode():
+            return None
+        at = np.cumsum(side.lengths[ids])
+        cuts = np.searchsorted(at, ends)
+        return cuts + 1 if (at[cuts] == ends).all() else None
+
+    def _keep(self, words: list[str], ids: list[np.ndarray], cuts: list[np.ndarray], sound: np.ndarray) -> None:
+        for k in range(2):
+            self.ends[k] = np.concatenate([self.ends[k], len(self.ids[k]) + cuts[k]])
+            self.ids[k] = np.concatenate([self.ids[k], ids[k]])
+        self.sound = np.concatenate([self.sound, sound])
+        self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words))))
+
+    def encode(self, texts: list[str | None]) -> Batch:
+        """Ids of both sides of a batch; none for a text that either side does not give back."""
+        if len(self.numbers) > CACHE_WORDS or len(self.ids[0]) > 8 * CACHE_WORDS:
+            self.forget()
+        cut = [self.words(t) for t in texts]
+        flat = [w for ws in cut for w in ws]
+        new = [w for w in dict.fromkeys(flat) if w not in self.numbers]
+        if new:
+            self._learn(new)
+        numbers = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
+        doc = np.repeat(np.arange(len(texts)), [len(ws) for ws in cut])
+        bad = np.zeros(len(texts), bool)
+        bad[doc[~self.sound[numbers]]] = True
+        numbers, doc = numbers[~bad[doc]], doc[~bad[doc]]
+        sides = []
+        for ids, ends in zip(self.ids, self.ends):
+            many = ends[numbers + 1] - ends[numbers]
+            inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            sides.append((ids[inside + np.repeat(ends[numbers], many)].astype(np.int64), np.repeat(doc, many)))
+        (a, doc_a), (b, doc_b) = sides
+        return Batch(len(texts), a, b, doc_a, doc_b)
+
+
+class Batch(NamedTuple):
+    """Ids of both sides, document after document, and the document of each."""
+
+    n: int
+    a: np.ndarray
+    b: np.ndarray
+    doc_a: np.ndarray
+    doc_b: np.ndarray
 
 
 @lru_cache(maxsize=1)
@@ -132,11 +205,9 @@ def _words(ids: int) -> list[str]:
 class Aligned:
     """Links and groups of a batch of documents whose tokens are laid one after another."""
 
-    def __init__(self, ids: list[tuple[np.ndarray, np.ndarray]], a: Vocabulary, b: Vocabulary):
-        self.many_a, self.many_b = np.array([len(x) for x, _ in ids], np.int64), np.array([len(y) for _, y in ids], np.int64)
-        self.a, self.b = np.concatenate([x for x, _ in ids]), np.concatenate([y for _, y in ids])
-        docs = np.arange(len(ids))
-        self.doc_a, self.doc_b = np.repeat(docs, self.many_a), np.repeat(docs, self.many_b)
+    def __init__(self, batch: Batch, a: Vocabulary, b: Vocabulary):
+        n, self.a, self.b, self.doc_a, self.doc_b = batch
+        self.many_a, self.many_b = np.bincount(self.doc_a, minlength=n), np.bincount(self.doc_b, minlength=n)
         self.ends_a, self.ends_b = np.cumsum(a.lengths[self.a]), np.cumsum(b.lengths[self.b])
         self.width = len(b)
         self.ids = max(len(a), len(b))
@@ -144,7 +215,7 @@ class Aligned:
         self.cut_a = self.ends_b[place] == self.ends_a if len(place) else np.zeros(0, bool)
         self.cut_b = np.zeros(len(self.b), bool)
         self.cut_b[place[self.cut_a]] = True
-        self.groups = np.bincount(self.doc_a[self.cut_a], minlength=len(ids))
+        self.groups = np.bincount(self.doc_a[self.cut_a], minlength=n)
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """Document and pair of every overlap; a pair is ``A id * size of B + B id``."""
@@ -184,17 +255,17 @@ class Block:
         self.times: list[np.ndarray] = []
         self.many: list[np.ndarray] = []
 
-    def add(self, doc_ids: pa.Array, ids: list[tuple[np.ndarray, np.ndarray]], size: int, a: Vocabulary, b: Vocabulary) -> None:
-        found = Aligned(ids, a, b)
+    def add(self, doc_ids: pa.Array, texts: list[str | None], tokens: Tokens) -> None:
+        n = len(texts)
+        found = Aligned(tokens.encode(texts), *tokens.sides)
         doc, pair = found.links()
         key, times = np.unique(doc << PAIR_BITS | pair, return_counts=True)
-        n = len(ids)
         hashes = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in found.texts()]
         self.rows.append([doc_ids, pa.array(found.many_a), pa.array(found.many_b), pa.array(found.groups), pa.array(np.bincount(doc, minlength=n)), pa.array(hashes, pa.string())])
         self.pairs.append(key & (1 << PAIR_BITS) - 1)
         self.times.append(times.astype(np.int32))
         self.many.append(np.bincount(key >> PAIR_BITS, minlength=n))
-        self.size += size
+        self.size += sum(len(t or "") for t in texts)
         self.count += n
 
     def out(self) -> Iterator[pa.RecordBatch]:
@@ -218,10 +289,16 @@ class Block:
             yield batch(to - at, {"slot": pa.array(np.arange(at, to, dtype=np.int32)), "pair": pa.array(pairs[at:to]), "held": pa.array(held[at:to])})
 
 
+@lru_cache(maxsize=1)
+def _tokens(byte_path: str, piece_path: str) -> Tokens:
+    """One cache per worker process, kept from task to task."""
+    return Tokens(byte_side(byte_path), *piece_side(piece_path))
+
+
 def _blocks(byte_path: str, piece_path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, (b, cuttable) = byte_side(byte_path), piece_side(piece_path)
-        if len(a) * len(b) >= 1 << PAIR_BITS:
+        tokens = _tokens(byte_path, piece_path)
+        if len(tokens.sides[0]) * len(tokens.sides[1]) >= 1 << PAIR_BITS:
             raise ValueError("the vocabularies have too many pairs of ids")
         first = TaskContext.get().partitionId() << 32
         block = Block(first)
@@ -231,7 +308,7 @@ def _blocks(byte_path: str, piece_path: str) -> Callable:
             for at in np.flatnonzero(np.diff(turn, prepend=-1)):
                 to = at + int((turn == turn[at]).sum())
                 part = batch.slice(at, to - at)
-                block.add(part.column(0), encode(part.column(1).to_pylist(), a, b, cuttable), int(sizes[at:to].sum()), a, b)
+                block.add(part.column(0), part.column(1).to_pylist(), tokens)
                 if block.size >= BLOCK_BYTES or block.count >= 1 << 18:
                     yield from block.out()
                     block = Block(block.number + 1)

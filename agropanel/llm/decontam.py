@@ -14,8 +14,10 @@ question (one sentence: question only). The pair stands where the window holds
 ``question`` of the question's word 4-grams and ``answer`` of the answer's, or
 ``whole`` of all of the item's.
 
-The index is broadcast. Items are read in shards of at most ``index_bytes`` of text,
-each scanned over all documents, so its size is bounded whatever the benchmark's.
+The index is broadcast. How many items hold a word, the number of items and their mean
+length are taken once over all items by Spark. Different item texts are then dealt to
+shards of about ``index_bytes`` (one text, if that is longer), each built with those
+counts and scanned over all documents: scores do not depend on the shards, to the bit.
 Null, empty or wordless texts and items match nothing; rows without ``doc_id`` are
 searched, and their pairs have a null id. Repeated rows give one pair, with the best
 window. Only the named columns are read.
@@ -23,6 +25,7 @@ window. Only the named columns are read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut_lineage
 from .text_hash import batch_words, shingles
 
 INDEX_BYTES = 32 << 20
@@ -98,13 +102,26 @@ def _words(texts: list[str]) -> list[np.ndarray]:
     return found
 
 
-def build(texts: list[str]) -> Index:
-    """The index of items given as texts; item numbers are places in the list."""
+@dataclass
+class Counts:
+    """Of all items: how many there are, their mean length, and how many hold each of ``words`` (sorted hashes)."""
+
+    items: int
+    mean: float
+    words: np.ndarray
+    held: np.ndarray
+
+    def idf(self, vocabulary: np.ndarray) -> np.ndarray:
+        held = self.held[np.searchsorted(self.words, vocabulary)]
+        return np.log(1 + (self.items - held + 0.5) / (held + 0.5))
+
+
+def build(texts: list[str], counts: Counts) -> Index:
+    """The index of items given as texts, with the counts of all; item numbers are places in the list."""
     words = _words(texts)
-    vocabulary, df = np.unique(np.concatenate([np.unique(w) for w in words] or [np.zeros(0, np.uint64)]), return_counts=True)
+    vocabulary = np.unique(np.concatenate(words or [np.zeros(0, np.uint64)]))
     lengths = np.array([len(w) for w in words], int)
-    idf = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5))
-    mean = max(1.0, lengths.mean()) if len(lengths) else 1.0
+    idf, mean = counts.idf(vocabulary), counts.mean
     levels = []
     classes = np.ceil(np.log2(np.maximum(lengths, 1))).astype(int)
     for c in np.unique(classes[lengths > 0]):
@@ -224,23 +241,54 @@ def verified(index: Index, texts: list[np.ndarray], threshold: float, question:
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    threshold: float = 0.5, question: float = 0.6, answer: float = 0.5, whole: float = 0.8, index_bytes: int = INDEX_BYTES,
+    threshold: float = 0.5, question: float = 0.6, answer: float = 0.5, whole_share: float = 0.8, index_bytes: int = INDEX_BYTES,
 ) -> DataFrame:
     """``doc_id, item_id, score, question_share, answer_share`` of every verified pair."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null and text <> ''")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Equal texts are one entry of the index, however many items have it.
+    texts = items.groupBy("text").agg(F.count(F.lit(1)).alias("items"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // index_bytes))
+    texts = cut_lineage(texts.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")))
+    words = cut_lineage(texts.select("shard", "items", "text").mapInArrow(_item_words, "shard int, word long, items long, length long"))
+    whole = words.where("word is null").agg(F.sum("items").alias("items"), F.sum(F.col("items") * F.col("length")).alias("length")).first()
+    per_word = words.where("word is not null").groupBy("word").agg(F.sum("items").alias("held"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = None
     for shard in range(shards):
-        held = items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == shard).orderBy("item_id", "text").toPandas()
-        pairs = rows.mapInArrow(_scan(spark.sparkContext.broadcast(build(held["text"].tolist())), threshold, question, answer, whole), "doc_id long, place int, score double, question_share double, answer_share double")
-        names = spark.createDataFrame([(i, x) for i, x in enumerate(held["item_id"].tolist())], f"place int, item_id {benchmark.schema[item_col].dataType.simpleString()}")
-        pairs = pairs.join(F.broadcast(names), "place").drop("place")
+        own = words.where(F.col("word").isNotNull() & (F.col("shard") == shard)).select("word").distinct().join(per_word, "word").toArrow()
+        hashes = own["word"].to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        counts = Counts(whole["items"] or 0, max(1.0, whole["length"] / whole["items"]) if whole["items"] else 1.0, hashes[order], own["held"].to_numpy()[order])
+        held = texts.where(F.col("shard") == shard).select("text").toArrow()["text"].to_pylist()
+        held.sort()
+        index = spark.sparkContext.broadcast(build(held, counts))
+        pairs = rows.mapInArrow(_scan(index, threshold, question, answer, whole_share), "doc_id long, place int, score double, question_share double, answer_share double")
+        # Few bytes per entry: the texts' hashes; a shard's texts have one place each.
+        places = spark.createDataFrame([(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(held)], "place int, digest string")
+        pairs = pairs.join(F.broadcast(places), "place").drop("place")
         found = pairs if found is None else found.unionByName(pairs)
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "question_share", "answer_share")).alias("best"))
-    return best.select("doc_id", "item_id", "best.*")
+    best = found.groupBy("doc_id", "digest").agg(F.max(F.struct("score", "question_share", "answer_share")).alias("best"))
+    named = items.select("item_id", F.sha2("text", 256).alias("digest")).distinct()
+    pairs = best.join(named, "digest").groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+    return pairs.select("doc_id", "item_id", "best.*")
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different words of each text, and a row without word that has its length."""
+    for batch in batches:
+        items, shards = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+        found = _words(batch.column(2).to_pylist())
+        different = [np.unique(w) for w in found]
+        row = np.repeat(np.arange(len(batch)), [len(w) for w in different])
+        flat = np.concatenate([*different, np.zeros(0, np.uint64)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(shards[row]), pa.array(flat), pa.array(items[row]), pa.nulls(len(row), pa.int64())], names=["shard", "word", "items", "length"]
+        )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(shards), pa.nulls(len(batch), pa.int64()), pa.array(items), pa.array([len(w) for w in found], pa.int64())], names=["shard", "word", "items", "length"]
+        )
 
 
 def _scan(index, threshold: float, question: float, answer: float, whole: float):

@@ -22,6 +22,7 @@ nothing is added. Only the two named columns are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -298,32 +299,71 @@ def plausible(kind: int, text: str) -> bool:
     return passes(KINDS[kind], text)
 
 
+class Stretches:
+    """The text that a row's windows hold, each stretch once, found by position."""
+
+    def __init__(self, wins: list[tuple[int, int]], texts: list[str]):
+        self.starts, self.ends, pieces = [], [], []
+        for (a, b), text in zip(wins, texts):
+            if self.ends and a <= self.ends[-1]:
+                pieces[-1].append(text[self.ends[-1] - a :])
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+                pieces.append([text])
+        self.texts = ["".join(p) for p in pieces]
+
+    def cover(self, a: int, b: int) -> str:
+        """The characters from ``a`` to ``b`` that lie in a stretch."""
+        out, k = [], max(0, bisect_right(self.starts, a) - 1)
+        while k < len(self.starts) and self.starts[k] < b:
+            out.append(self.texts[k][max(0, a - self.starts[k]) : max(0, b - self.starts[k])])
+            k += 1
+        return "".join(out)
+
+
+class Intervals:
+    """Intervals that do not overlap, in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    @classmethod
+    def union(cls, spans: list[tuple[int, int]]) -> "Intervals":
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(spans):
+            if merged and a < merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        return cls(merged)
+
+    def meet(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b) - 1
+        return k >= 0 and self.ends[k] > a
+
+    def hold(self, a: int, b: int) -> bool:
+        """Whether one is longer than ``a`` to ``b`` and holds it."""
+        k = bisect_right(self.starts, a) - 1
+        return k >= 0 and self.ends[k] >= b and self.ends[k] - self.starts[k] > b - a
+
+
 def add_spans(base: list[tuple[int, int, int]], failed: list[tuple[int, int, int]], wins: list[tuple[int, int]], texts: list[str], tags: np.ndarray) -> list[tuple[int, int, int]]:
     out, refused = list(base), set(failed)
+    taken, held = Intervals.union([(a, b) for _, a, b in base]), Stretches(wins, texts)
+    # Matches of one kind do not overlap.
+    long = [Intervals([(a, b) for k, a, b in failed if k == kind and b - a >= 13 and sum(c in "0123456789" for c in held.cover(a, b)) >= 13]) for kind in range(len(KINDS))]
     for kind, a, b in reconcile(wins, tags):
-        if (kind, a, b) in refused or any(x < b and a < y for _, x, y in base):
-            continue
-        if any(x <= a and b <= y and b - a < y - x and sum(c in "0123456789" for c in _cover(x, y, wins, texts)) >= 13 for _, x, y in failed):
+        if (kind, a, b) in refused or taken.meet(a, b) or any(x.hold(a, b) for x in long):
             continue
-        around = _cover(a - 1, b + 1, wins, texts)
-        begin = _cover(a - 1, a, wins, texts)
-        inner = around[len(begin) : len(begin) + b - a]
-        cut = re.match("[0-9]{2}", begin + inner[:1]) or re.fullmatch("[0-9]{2}", inner[-1:] + around[len(begin) + b - a :])
+        begin, inner, end = held.cover(a - 1, a), held.cover(a, b), held.cover(b, b + 1)
+        cut = re.match("[0-9]{2}", begin + inner[:1]) or re.fullmatch("[0-9]{2}", inner[-1:] + end)
         if not cut and plausible(kind, inner):
             out.append((kind, a, b))
     return sorted(out)
 
 
-def _cover(a: int, b: int, wins: list[tuple[int, int]], texts: list[str]) -> str:
-    """The characters from ``a`` to ``b``, from the windows that hold them."""
-    out, at = [], a
-    for (lo, hi), text in zip(wins, texts):
-        if lo <= at < hi and at < b:
-            out.append(text[at - lo : b - lo])
-            at = min(hi, b)
-    return "".join(out)
-
-
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
@@ -375,54 +415,72 @@ def rewritten(text: str, spans: list[tuple[int, int, int]], rng: np.random.Gener
 
 
 _SPAN = "array<struct<kind:int,start:int,stop:int>>"
-_SCANNED = f"uid long, doc_id long, base {_SPAN}, failed {_SPAN}, wins array<struct<start:int,stop:int,text:string>>"
+_SCANNED = f"doc_id long, base {_SPAN}, failed {_SPAN}, wins array<struct<start:int,stop:int,text:string,base:{_SPAN}>>"
+
+
+def _within(kinds: list[list[tuple[int, int, int]]], a: int, b: int) -> list[tuple[int, int, int]]:
+    """The spans that meet a window, by kind; those of one kind are in order and do not overlap."""
+    out = []
+    for spans in kinds:
+        k = bisect_right(spans, a, key=lambda s: s[2])
+        while k < len(spans) and spans[k][1] < b:
+            out.append(spans[k])
+            k += 1
+    return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
-    win = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("text", pa.string())])
+    win = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("text", pa.string()), ("base", pa.list_(span))])
+    struct = lambda spans: [dict(kind=k, start=a, stop=b) for k, a, b in spans]
     for batch in batches:
         for at in range(0, len(batch), 1000):
             part = batch.slice(at, 1000)
             base, failed, wins = [], [], []
-            for text in part.column(2).to_pylist():
+            for text in part.column(1).to_pylist():
                 text = text or ""
                 found, bad = base_spans(text)
-                base.append([dict(kind=k, start=a, stop=b) for k, a, b in found])
-                failed.append([dict(kind=k, start=a, stop=b) for k, a, b in bad])
-                wins.append([dict(start=a, stop=b, text=text[a:b]) for a, b in windows(text)])
+                base.append(struct(found))
+                failed.append(struct(bad))
+                kinds = [[s for s in found if s[0] == k] for k in range(len(KINDS))]
+                wins.append([dict(start=a, stop=b, text=text[a:b], base=struct(_within(kinds, a, b))) for a, b in windows(text)])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(base, pa.list_(span)), pa.array(failed, pa.list_(span)), pa.array(wins, pa.list_(win))],
-                names=["uid", "doc_id", "base", "failed", "wins"],
+                [part.column(0), pa.array(base, pa.list_(span)), pa.array(failed, pa.list_(span)), pa.array(wins, pa.list_(win))],
+                names=["doc_id", "base", "failed", "wins"],
             )
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The base spans and the windows of every row, written once."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return cut_lineage(rows.mapInArrow(_scan, _SCANNED))
 
 
 def train(table: DataFrame, max_windows: int = 3000) -> Tagger | None:
-    """The tagger of about ``max_windows`` windows, half of them with a span where there are so many."""
-    wins = table.where(F.size("wins") > 0).select("uid", "base", "failed", F.posexplode("wins").alias("place", "win"))
-    wins = wins.withColumn("labelled", F.exists("base", lambda s: (s.start < F.col("win.stop")) & (s.stop > F.col("win.start"))))
+    """The tagger of about ``max_windows`` windows, half of them with a span where there are so many.
+
+    They are picked by a hash of their row's id, place and text, so the same rows give
+    the same tagger however they are dealt.
+    """
+    wins = table.where(F.size("wins") > 0).select("doc_id", F.explode("wins").alias("win"))
+    wins = wins.withColumn("labelled", F.size("win.base") > 0)
     count = {r["labelled"]: r["count"] for r in wins.groupBy("labelled").count().collect()}
     if not count.get(True):
         return None
     half = F.when(F.col("labelled"), F.lit(count[True])).otherwise(F.lit(count.get(False, 1)))
-    picked = F.pmod(F.xxhash64("uid", "place"), half) < max_windows // 2
-    rows = wins.where(picked).select("uid", "place", "base", "win").orderBy("uid", "place").collect()
+    key = F.xxhash64("doc_id", "win.start", "win.text")
+    picked = F.pmod(key, half) < max_windows // 2
+    rows = wins.where(picked).select("win", key.alias("key")).orderBy("key", "win").collect()
     # What no pattern finds may still be a span in another form: such windows are no examples of plain text.
-    rows = [r for r in rows if any(a < r["win"]["stop"] and r["win"]["start"] < b for _, a, b in r["base"]) or not LOOSE.search(r["win"]["text"])]
-    texts = [r["win"]["text"] for r in rows]
-    tags = [tags_of(r["win"]["start"], r["win"]["stop"], [tuple(s) for s in r["base"]]) for r in rows]
+    rows = [r["win"] for r in rows if r["win"]["base"] or not LOOSE.search(r["win"]["text"])]
+    texts = [w["text"] for w in rows]
+    tags = [tags_of(w["start"], w["stop"], [tuple(s) for s in w["base"]]) for w in rows]
     rng = np.random.default_rng(7)
-    for r in rows:
-        at = r["win"]["start"]
-        inside = [(k, a - at, b - at) for k, a, b in r["base"] if a >= at and b <= r["win"]["stop"]]
+    for w in rows:
+        at = w["start"]
+        inside = [(k, a - at, b - at) for k, a, b in w["base"] if a >= at and b <= w["stop"]]
         for _ in range(COPIES if inside else 0):
-            text, spans = rewritten(r["win"]["text"], inside, rng)
+            text, spans = rewritten(w["text"], inside, rng)
             if spans:
                 texts.append(text)
                 tags.append(tags_of(0, len(text), spans))

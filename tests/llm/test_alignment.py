@@ -77,11 +77,12 @@ def rows_of(df):
     return sorted([tuple(r) for r in df.collect()], key=lambda r: (r[0] is None, r))
 
 
-@pytest.mark.parametrize("block,batch,part", [(alignment.BLOCK_BYTES, alignment.BATCH_BYTES, alignment.PART), (9000, 2000, 50)])
-def test_alignment_is_the_plain_loops(spark, data, monkeypatch, block, batch, part):
+@pytest.mark.parametrize("block,batch,cache,chunk", [(alignment.BLOCK_BYTES, alignment.BATCH_BYTES, alignment.CACHE_WORDS, alignment.CHUNK), (9000, 2000, 50, 90)])
+def test_alignment_is_the_plain_loops(spark, data, monkeypatch, block, batch, cache, chunk):
     monkeypatch.setattr(alignment, "BLOCK_BYTES", block)
     monkeypatch.setattr(alignment, "BATCH_BYTES", batch)
-    monkeypatch.setattr(alignment, "PART", part)
+    monkeypatch.setattr(alignment, "CACHE_WORDS", cache)
+    monkeypatch.setattr(alignment, "CHUNK", chunk)
     texts = [r.text[:6000] for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").limit(40).collect()]
     rows = list(enumerate(ODD + texts + texts[:3]))
     found = rows_of(alignment.align(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), A, B))
@@ -89,13 +90,17 @@ def test_alignment_is_the_plain_loops(spark, data, monkeypatch, block, batch, pa
     assert found[9][1:] == (0, 0, 0, 0, 0, 0, "")  # U+2581 comes back as a space
 
 
-def test_parts_keep_the_tokens():
+@pytest.mark.parametrize("cuttable", [True, False])
+def test_words_keep_the_tokens(spark, data, cuttable):
     t, s = libraries()
-    text = "  two  spaces, one word's end.\nnext line a" + " mixed 12é words 🙂 and  more" * 6000
-    cut = alignment.parts(text)
-    assert len(cut) > 1 and "".join(cut) == " " + text and all(p[0] == " " for p in cut)
-    (a, b), = alignment.encode([text], alignment.byte_side(A), *alignment.piece_side(B))
-    assert a.tolist() == t.encode(" " + text, add_special_tokens=False).ids and b.tolist() == s.encode(text)
+    texts = ["  two  spaces, one word's end.\nnext line a" + " mixed 12é words 🙂 and  more" * 300, *ODD[:9], *ODD[10:], "a ", "a  ", " a", "12 345 x1 \u00b2 3", "a\u00a0b c", ". ' s", "it 's _ x_ y"]
+    texts += [r.text[:3000] for r in spark.read.parquet(f"{data}/documents.parquet").limit(50).collect()]
+    tokens = alignment.Tokens(alignment.byte_side(A), alignment.piece_side(B)[0], alignment.piece_side(B)[1] and cuttable)
+    for _ in range(2):  # new words, then known ones
+        found = tokens.encode(texts)
+        for i, text in enumerate(texts):
+            assert found.a[found.doc_a == i].tolist() == (t.encode(" " + text, add_special_tokens=False).ids if text else []), text
+            assert found.b[found.doc_b == i].tolist() == (s.encode(text) if text else []), text
 
 
 def test_alignment_of_odd_rows(odd_docs, no_docs):

@@ -221,3 +221,35 @@ def test_a_span_gives_way_to_base_spans_and_its_own_failed_matches_only():
 def test_features_see_whole_texts():
     a = quality_gam.text_features(pa.array(["word " * 50_000 + "!", None, "", "Aa1|\n"]))
     assert a.shape == (4, len(quality_gam.FEATURES)) and a[0, 2] < 0.01 and not a[1].any() and not a[2].any()
+
+
+def test_spans_of_long_texts_take_time_in_proportion():
+    import time
+
+    took = []
+    for size in (100_000, 400_000):
+        text = "call 1234567890 or 12 34 56 now " * (size // 32)
+        begun = time.process_time()
+        base, failed = pii.base_spans(text)
+        wins = pii.windows(text)
+        texts = [text[a:b] for a, b in wins]
+        tags = np.stack([pii.tags_of(a, b, [(3, a + 5, a + 15)]) for a, b in wins])
+        pii.add_spans(base, failed, wins, texts, tags)
+        took.append(time.process_time() - begun)
+    assert took[1] < 10 * took[0] + 0.5
+    text = "4111 1111 1111 1112 9 " * 3 + "a@b.cd " + "x" * 90 + "9"
+    wins = pii.windows(text)
+    held = pii.Stretches(wins, [text[a:b] for a, b in wins])
+    for a, b in ((0, 5), (30, 70), (60, len(text)), (100, 120)):
+        assert held.cover(a, b) == "".join(c for i, c in enumerate(text) if a <= i < b and any(x <= i < y for x, y in wins))
+    spans = pii.Intervals.union([(1, 4), (3, 6), (9, 12)])
+    for a in range(14):
+        for b in range(a + 1, 15):
+            assert spans.meet(a, b) == any(x < b and a < y for x, y in ((1, 6), (9, 12)))
+            assert spans.hold(a, b) == any(x <= a and b <= y and b - a < y - x for x, y in ((1, 6), (9, 12)))
+
+
+def test_the_same_rows_give_the_same_spans_in_any_layout(spark):
+    docs = spark.createDataFrame([(i, PII_TEXT + f" {i} call (555) 123-45{i % 90 + 10} now") for i in range(60)], "doc_id long, text string")
+    one, two = (sorted(tuple(r) for r in pii.report(pii.find(d, max_windows=60)).collect()) for d in (docs.repartition(1), docs.repartition(7).orderBy("text")))
+    assert one == two

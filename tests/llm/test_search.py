@@ -27,6 +27,31 @@ def test_decontamination_finds_every_passage_and_nothing_else(spark, data):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items, index_bytes=2000).collect()} == expected
 
 
+def test_shards_change_no_score(spark):
+    rng = np.random.default_rng(9)
+    word = [f"w{i}" for i in range(300)]
+    items = [" ".join(rng.choice(word, rng.integers(4, 30))) for _ in range(60)]
+    items += items[:1] * 25 + items[3:5]  # copies of an item are items, too
+    docs = [" ".join(rng.choice(word, 40)) + " " + items[i % 60][: len(items[i % 60]) * 2 // 3] + " end" for i in range(90)]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    size = sum(map(len, set(items)))
+    loose = {"threshold": 0.3, "question": 0.1, "answer": 0.0, "whole_share": 0.2}
+    one, seven = (sorted(map(tuple, decontam.contaminated(rows, table, index_bytes=n, **loose).collect())) for n in (size, size // 7 + 1))
+    assert len(one) > 90 and one == seven
+    index = decontam.build(items, counts_of(items))
+    scores = {}
+    for text, item, score, _ in decontam.retrieve(index, decontam._words(docs), 0.3):
+        scores[text, item] = max(scores.get((text, item), 0), score)
+    assert {(r[0], r[1]) for r in one} <= scores.keys() and all(scores[r[0], r[1]] >= r[2] for r in one)
+
+
+def counts_of(items):
+    words = decontam._words(items)
+    vocabulary, held = np.unique(np.concatenate([np.unique(w) for w in words]), return_counts=True)
+    return decontam.Counts(len(items), max(1.0, np.mean([len(w) for w in words])), vocabulary, held)
+
+
 def brute_scores(items, words, k1=1.2, b=0.75):
     """Plain BM25 of every window and item, as a share of the item's own score."""
     sets = [plain_words(t) for t in items]
@@ -49,7 +74,7 @@ def test_skipping_loses_no_window_above_the_threshold():
     rng = np.random.default_rng(3)
     word = [f"w{i}" for i in range(80)]
     items = [" ".join(rng.choice(word, rng.integers(3, 40))) for _ in range(70)]
-    index = decontam.build(items)
+    index = decontam.build(items, counts_of(items))
     texts = ["", *(" ".join(rng.choice(word, rng.integers(1, 300))) + " " + items[rng.integers(70)] + " " + "z " * rng.integers(0, 60) for _ in range(25))]
     found = {}
     for text, item, score, _ in decontam.retrieve(index, decontam._words(texts), 0.5):
@@ -71,7 +96,8 @@ def test_question_and_answer():
     assert decontam.split_item("one line only") == ("one line only", "")
     words = lambda t: decontam._words([t])[0]
     item = "What is the name of the longest river that crosses the old town? It is the river Lethe of old"
-    index = decontam.build([item, "something else entirely that is long enough to count here"])
+    both = [item, "something else entirely that is long enough to count here"]
+    index = decontam.build(both, counts_of(both))
     assert decontam.verified(index, [words("before " + item + " after")], 0.5, 0.6, 0.5, 0.8)
     assert not decontam.verified(index, [words("the name of the old river is It and the longest town crosses What that")], 0.1, 0.6, 0.5, 0.8)
 
