@@ -1,6 +1,10 @@
 """Exact quantiles and average ranks that no single task has to hold.
 
-There is one way for every size. Distinct values are counted per group, so a value
+A few quantiles of a whole column come from two scans and no shuffle of rows, see
+``selected``: a sketch with a known rank error brackets them, the second scan counts what
+lies below and collects the distinct values of the narrow brackets.
+
+Ranks, and quantiles of many groups, have one way for every size. Distinct values are counted per group, so a value
 that fills a third of the table is one row. The counts are dealt to ascending
 ranges of (group, value) and written once; Spark samples the bounds of the ranges.
 Sums of the counts per range give the place of a range's first row, a running sum
@@ -10,8 +14,11 @@ same written table. NaN comes after all numbers, as ``percentile`` orders it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,12 +89,122 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     return found if by else found.drop("_all")
 
 
+#: A sketch's ranks are right to one in ``SKETCH`` of the rows; brackets reach four times as far.
+SKETCH = 10_000
+#: So few rows are one bracket: a wider one would not be a row wider than the error.
+FEW = 2 * SKETCH
+#: More rows than these in a bracket are bracketed again before they are collected.
+BRACKET_ROWS = 1_000_000
+
+
+class Selected(NamedTuple):
+    """The distinct values of some brackets in order, and the place of the first row of each; ``n`` rows in all."""
+
+    n: int
+    values: np.ndarray
+    first: np.ndarray
+
+    def at(self, place: int) -> float:
+        """The value at a place that lies in a bracket."""
+        return float(self.values[np.searchsorted(self.first, place, "right") - 1])
+
+    def quantile(self, p: float, start: int = 0) -> float:
+        """With linear interpolation, over the places from ``start`` on."""
+        place = (self.n - start - 1) * p
+        low = math.floor(place)
+        share, one = place - low, self.at(start + low)
+        two = self.at(start + low + 1) if share > 0 else one
+        # One value on both sides is that value itself, and a neighbour without weight is left out.
+        return one if one == two or share < 1e-12 else one * (1 - share) + two * share
+
+    def below(self, value: float) -> int:
+        """How many rows lie below a value that is in a bracket."""
+        return int(self.first[np.searchsorted(self.values, value, "left")])
+
+
+def selected(rows: DataFrame, value: str, spans: Sequence[tuple[float, float]]) -> Selected:
+    """What is needed to read any place between the shares of rows that ``spans`` name.
+
+    ``rows[value]`` is a double without NULL. One scan sketches the column; the sketch is
+    mergeable and a value it gives for a share is off by at most ``1 / SKETCH`` of the
+    rows, so brackets a little wider hold every place wanted. A second scan counts the
+    rows beside the brackets and, per distinct value, in them. A bracket of too many rows
+    is counted only, and treated the same way again. NaN comes last.
+    """
+    v, reach = F.col(value), 4 / SKETCH
+    number = F.when(~F.isnan(v), v)
+    probs = [min(max(p, 0.0), 1.0) for low, high in spans for p in (low - reach, high + reach)]
+    head = rows.agg(
+        F.count(v).alias("n"), F.count(number).alias("numbers"), F.min(number).alias("low"), F.max(number).alias("high"),
+        F.percentile_approx(number, probs, SKETCH).alias("q"),
+    ).first()
+    n, numbers = head["n"], head["numbers"]
+    brackets: list[list[float]] = []
+    if numbers:
+        edge = reach + 2 / numbers
+        pairs = [(head["low"] if p <= edge else a, head["high"] if q >= 1 - edge else b) for p, q, a, b in zip(probs[::2], probs[1::2], head["q"][::2], head["q"][1::2])]
+        pairs = pairs if numbers > FEW else [(head["low"], head["high"])]
+        for a, b in sorted(pairs):
+            if brackets and a <= brackets[-1][1]:
+                brackets[-1][1] = max(b, brackets[-1][1])
+            else:
+                brackets.append([a, b])
+    region = sum([(v > b).cast("int") + (v >= a).cast("int") for a, b in brackets], F.lit(0))  # odd inside a bracket
+    wide = numbers > FEW and sum(q - p for p, q in zip(probs[::2], probs[1::2])) * numbers > BRACKET_ROWS
+    grouped = rows.filter(~F.isnan(v)).groupBy(region.alias("region"), F.when((region % 2 == 1) & ~F.lit(wide), v).alias("v"))
+    table = grouped.agg(F.count(F.lit(1)).alias("c")).toArrow().sort_by([("region", "ascending"), ("v", "ascending")])
+    found = zip(*[table[c].to_pylist() for c in ("region", "v", "c")])
+    values, first, place = [], [], 0
+    for at, one, count in found:
+        if at % 2 and wide:
+            a, b = brackets[at // 2]
+            share = lambda p: min(max((p * (n - 1) - place) / max(count - 1, 1), 0.0), 1.0)  # noqa: B023, E731
+            inner = [(share(p), share(q)) for p, q in spans if (q + reach) * n >= place and (p - reach) * n <= place + count]
+            held = rows.filter(v.between(a, b))
+            # A bracket of nearly all rows would not get narrower: its distinct values are counted as they are.
+            inside = selected(held, value, inner) if count < 0.9 * n else _counted(held, value)
+            values += inside.values.tolist()
+            first += (inside.first + place).tolist()
+        elif at % 2:
+            values.append(one)
+            first.append(place)
+        place += count
+    if n > numbers:
+        values.append(math.nan)
+        first.append(numbers)
+    return Selected(n, np.array(values, float), np.array(first, np.int64))
+
+
+def _counted(rows: DataFrame, value: str) -> Selected:
+    table = rows.groupBy(value).agg(F.count(F.lit(1)).alias("c")).toArrow().sort_by(value)
+    counts = table["c"].to_numpy()
+    return Selected(int(counts.sum()), table[value].to_numpy(), np.cumsum(counts) - counts)
+
+
+def _present(df: DataFrame, value: str) -> DataFrame:
+    return df.select(F.col(value).cast("double").alias("_q")).filter(F.col("_q").isNotNull())
+
+
 def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[float]:
     """Quantiles of a whole column as plain numbers (NULL values are left out)."""
-    row = exact_quantiles(df, value, probs).first()
-    if row is None:
+    found = selected(_present(df, value), "_q", [(p, p) for p in probs])
+    if not found.n:
+        raise ValueError(f"no present value in {value!r}")
+    return [found.quantile(p) for p in probs]
+
+
+def trim_values(df: DataFrame, value: str, lo: float, hi: float) -> tuple[float, float]:
+    """The ``lo`` quantile of a column, and the ``hi`` quantile of what that leaves, from the same two scans.
+
+    At most a share ``lo`` of the rows is left out, so the second one lies between the
+    ``hi`` quantile of all rows and that of all but ``lo``.
+    """
+    found = selected(_present(df, value), "_q", [(lo, lo), (hi, lo + (1 - lo) * hi)])
+    if not found.n:
         raise ValueError(f"no present value in {value!r}")
-    return [float(q) for q in row["quantiles"]]
+    low = found.quantile(lo)
+    inside = found.values[np.searchsorted(found.values, low, "left")]
+    return low, found.quantile(hi, found.below(inside))
 
 
 def ranks_of(placed: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

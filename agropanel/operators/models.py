@@ -1,7 +1,8 @@
 """Yield models on the annual table, by the usual single-node definitions.
 
 Linear models are solved from sufficient statistics of one pass (``linear.py``); forests
-and first-order boosting are Spark ML estimators.
+and first-order boosting are Spark ML estimators; regularised and leaf-wise boosting are
+grown from distributed histograms (``boosting.py``).
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from pyspark.sql import functions as F
 from agropanel.functions.targets import exp_target, log_target
 from agropanel.operators import linear
 from agropanel.operators.annual import feature_array, feature_terms, feature_vector, quoted
+from agropanel.operators.boosting import Booster, Settings, boost
 from agropanel.operators.metrics import METRIC_NAMES, metrics
 from agropanel.operators.moments import moments
 from agropanel.operators.splits import Fold, labelled, quantile_trim, temporal_leaveout
 from agropanel.runtime import checkpoint_folder
 
 LINEAR_KINDS = ("linear", "elasticnet")
-BOOSTED_KINDS = ("gbrt", "xgboost")
+HISTOGRAM_KINDS = ("xgboost", "gbdt")
+BOOSTED_KINDS = ("gbrt", *HISTOGRAM_KINDS)
 KINDS = (*LINEAR_KINDS, "random_forest", *BOOSTED_KINDS)
 
 # Settings used where a run gives none.
@@ -36,8 +39,12 @@ DEFAULTS = {
     "random_forest": {"n_estimators": 500, "max_depth": 30, "min_samples_leaf": 3, "random_state": 1337},
     "gbrt": {"n_estimators": 800, "learning_rate": 0.05, "max_depth": 3, "subsample": 0.9, "random_state": 1337},
     "xgboost": {
-        "n_estimators": 800, "learning_rate": 0.05, "max_depth": 6, "subsample": 0.8,
-        "colsample_bytree": 0.8, "random_state": 1337,
+        "n_estimators": 800, "learning_rate": 0.05, "max_depth": 6, "subsample": 0.8, "colsample_bytree": 0.8,
+        "reg_lambda": 1.0, "reg_alpha": 0.0, "gamma": 0.0, "min_child_weight": 1.0, "max_bins": 256, "random_state": 1337,
+    },
+    "gbdt": {
+        "n_estimators": 1200, "learning_rate": 0.03, "num_leaves": 63, "max_depth": -1, "subsample": 0.8, "colsample_bytree": 0.8,
+        "reg_lambda": 0.0, "reg_alpha": 0.0, "gamma": 0.0, "min_child_weight": 20.0, "max_bins": 256, "random_state": 1337,
     },
 }
 
@@ -46,7 +53,8 @@ DEFAULTS = {
 class YieldModel:
     """A fitted model with all that a later prediction needs.
 
-    Linear kinds have an intercept and weights of the raw features, others a pipeline.
+    Linear kinds have an intercept and weights of the raw features, histogram kinds
+    their trees, others a pipeline.
     """
 
     pipeline: PipelineModel | None
@@ -58,6 +66,7 @@ class YieldModel:
     derive: dict = field(default_factory=dict)
     weights: list[float] | None = None
     intercept: float = 0.0
+    booster: Booster | None = None
 
 
 def _estimator(kind: str, p: Mapping):
@@ -70,8 +79,7 @@ def _estimator(kind: str, p: Mapping):
         )
     return GBTRegressor(
         **common, maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]), maxDepth=int(p["max_depth"]),
-        subsamplingRate=float(p["subsample"]), featureSubsetStrategy=str(p.get("colsample_bytree", "all")),
-        seed=int(p["random_state"]), checkpointInterval=10,
+        subsamplingRate=float(p["subsample"]), seed=int(p["random_state"]), checkpointInterval=10,
     )
 
 
@@ -109,6 +117,9 @@ def fit(
         problem = linear.Problem.of(found[()])
         weights, intercept = problem.raw(solve_linear(kind, problem, settings), settings["fit_intercept"])
         return YieldModel(None, kind, features, target, log_transform, log_offset, derive, weights.tolist(), intercept)
+    if kind in HISTOGRAM_KINDS:
+        trees = boost(train, feature_array(train.columns, features, derive), label, len(features), Settings(**settings), val)
+        return YieldModel(None, kind, features, target, log_transform, log_offset, derive, booster=trees)
     columns = [label.alias("_label"), feature_vector(train.columns, features, derive).alias("_x")]
     ready = train.select(*columns)
     if ready.isEmpty():
@@ -155,6 +166,8 @@ def score(
         terms = feature_terms(columns or df.columns, model.features, model.derive, place)
         total = " + ".join([f"{model.intercept!r}D", *[f"({w!r}D * {t})" for w, t in zip(model.weights, terms) if w]])
         z = df.withColumn("_z", F.expr(total))
+    elif model.booster is not None:
+        z = df.withColumn("_z", model.booster.column(feature_array(columns or df.columns, model.features, model.derive, place)))
     else:
         vector = feature_vector(columns or df.columns, model.features, model.derive, place)
         z = model.pipeline.transform(df.withColumn("_x", vector))
@@ -168,7 +181,7 @@ def predict(model: YieldModel, df: DataFrame) -> DataFrame:
 
 
 def save_model(model: YieldModel, path: str) -> None:
-    """Settings, weights among them, and the pipeline where there is one."""
+    """Settings, weights or trees among them, and the pipeline where there is one."""
     meta = _settings(model)
     if model.pipeline is not None:
         model.pipeline.write().overwrite().save(f"{path}/pipeline")
@@ -180,14 +193,16 @@ def _settings(model: YieldModel) -> dict:
     return {
         "kind": model.kind, "features": model.features, "target": model.target,
         "log_transform": model.log_transform, "log_offset": model.log_offset, "derive": model.derive,
-        "weights": model.weights, "intercept": model.intercept,
+        "weights": model.weights, "intercept": model.intercept, "booster": model.booster and model.booster.to_dict(),
     }
 
 
 def load_model(spark: SparkSession, path: str) -> YieldModel:
     meta = json.loads(spark.read.text(f"{path}/settings").first()[0])
-    # A linear model is its weights; older files have a pipeline for it.
-    return YieldModel(None if meta.get("weights") is not None else PipelineModel.load(f"{path}/pipeline"), **meta)
+    meta["booster"] = Booster.of_dict(meta["booster"]) if meta.get("booster") else None
+    # Linear and histogram models are in their settings; older files have a pipeline for them.
+    inside = meta.get("weights") is not None or meta["booster"] is not None
+    return YieldModel(None if inside else PipelineModel.load(f"{path}/pipeline"), **meta)
 
 
 def parameter_grid(grid: Mapping[str, Sequence]) -> list[dict]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agropanel.functions.hashing import spatial_fold
-from agropanel.functions.order_stats import quantile_values
+from agropanel.functions.order_stats import quantile_values, trim_values
 
 
 class Split(NamedTuple):
@@ -155,10 +155,13 @@ def quantile_trim(
     if not sequential and use_lo and use_hi:
         low, high = quantile_values(split.train, target, [lo, hi])
         return Split(*[part.filter((y >= low) & (y <= high)) for part in split])
+    if use_lo and use_hi:
+        low, high = trim_values(split.train, target, lo, hi)
+        return Split(*[part.filter((y >= low) & (y <= high)) for part in split])
     if use_lo:
         low = quantile_values(split.train, target, [lo])[0]
-        split = Split(*[part.filter(y >= low) for part in split])
+        return Split(*[part.filter(y >= low) for part in split])
     if use_hi:
         high = quantile_values(split.train, target, [hi])[0]
-        split = Split(*[part.filter(y <= high) for part in split])
+        return Split(*[part.filter(y <= high) for part in split])
     return split

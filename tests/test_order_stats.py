@@ -122,3 +122,51 @@ def test_a_column_missing_from_the_first_rows_keeps_its_precision(spark):
     got = {(r[0], r[1]): r[2] for r in pairwise_correlation(df, ["a", "b"]).collect()}
     late = np.array(rows[12_000:], float)
     assert got[("a", "b")] == pytest.approx(np.corrcoef(late.T)[0, 1], abs=1e-7)
+
+
+def plain_quantile(x, p):
+    x = np.sort(np.asarray(x, float))
+    return float(np.quantile(x, p)) if not np.isnan(x[-1]) else None
+
+
+@pytest.mark.parametrize("sketch, rows, limit", [(10_000, 900, 10**6), (200, 30_000, 10**6), (200, 30_000, 100), (100, 30_000, 3)])
+def test_selected_quantiles(spark, monkeypatch, sketch, rows, limit):
+    """With a coarse sketch brackets are narrow; with a low limit they are bracketed again."""
+    from agropanel.functions import order_stats as O
+
+    monkeypatch.setattr(O, "SKETCH", sketch)
+    monkeypatch.setattr(O, "FEW", 2 * sketch)
+    monkeypatch.setattr(O, "BRACKET_ROWS", limit)
+    rng = np.random.default_rng(rows)
+    x = np.concatenate([rng.normal(0, 100, rows // 3).round(3), np.full(rows // 3, 5.0), rng.integers(-3, 9, rows // 3).astype(float), [-1e300, 1e300]])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)] * 5, "v double").repartition(6)
+    probs = [0.0, 0.005, 0.01, 0.2, 0.5, 0.66, 0.9, 0.995, 1.0]
+    np.testing.assert_allclose(O.quantile_values(df, "v", probs), np.quantile(x, probs), rtol=1e-12)
+    for lo, hi in ((0.005, 0.995), (0.2, 0.8), (0.5, 0.5), (0.4, 0.1)):
+        low = np.quantile(x, lo)
+        assert O.trim_values(df, "v", lo, hi) == pytest.approx((low, np.quantile(x[x >= low], hi)), rel=1e-12)
+
+
+def test_selected_quantiles_of_odd_columns(spark):
+    from agropanel.functions import order_stats as O
+
+    odd = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (float("inf"),), (float("-inf"),)], "v double")
+    got = O.quantile_values(odd, "v", [0.0, 1 / 3, 2 / 3, 1.0])
+    assert got[:3] == [float("-inf"), 1.0, float("inf")] and np.isnan(got[3])
+    assert O.quantile_values(odd.filter("v = 1"), "v", [0.3]) == [1.0]
+    with pytest.raises(ValueError):
+        O.quantile_values(odd.filter("v IS NULL"), "v", [0.5])
+    with pytest.raises(ValueError):
+        O.trim_values(odd.limit(0), "v", 0.1, 0.9)
+
+
+def test_selection_shuffles_no_rows(spark):
+    from agropanel.functions import order_stats as O
+
+    df = spark.range(100_000).selectExpr("double(id * 7919 % 100003) AS v")
+    group = "selection"
+    spark.sparkContext.setJobGroup(group, "two scans")
+    assert O.trim_values(df, "v", 0.1, 0.9)[0] == pytest.approx(np.quantile((np.arange(100_000) * 7919) % 100003, 0.1))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 4
