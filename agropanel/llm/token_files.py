@@ -9,11 +9,15 @@ without touching an id.
 
 A word's ids do not depend on its neighbours: the tokenizer drops white space and no
 pre-token reaches across it. Ids are therefore looked up per white-space separated
-word in a bounded cache, and only unseen words are encoded.
+word in a bounded cache, and only unseen words are encoded. ASCII letters are lowered
+and a mark after a letter or digit is set apart before, which the tokenizer does too, so
+that fewer words differ. The tokenizer's added tokens are found in texts, as it does by
+default; a text batch that may hold one is not lowered.
 
 A null text counts as empty and has the end id only. A null ``doc_id`` comes first.
-Rows that repeat a ``doc_id`` stand in the order of their texts. Only the two named
-columns are read.
+Rows that repeat a ``doc_id`` stand in the order of their texts and may lie in several
+files; only those whose texts begin alike share a task. Only the two named columns are
+read.
 """
 
 from __future__ import annotations
@@ -33,7 +37,14 @@ from ..runtime import checkpoint_folder
 from .text_hash import text_bytes
 
 CACHE_WORDS = 500_000
-MARKS = tuple(bytes([c]) for c in b".,;:!?")
+#: A word of its own for the end of a text: a byte that UTF-8 does not have.
+END = b"\xff"
+#: What every added token of the vocabulary begins with.
+ADDED = b"<|"
+_LETTER, _MARK, _SPACE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK[list(b".,;:!?")] = True
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
 #: Fixed value: the pattern that cuts words into pre-tokens in the vocabulary file.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ROW_GROUP_BYTES = 32 << 20
@@ -45,9 +56,7 @@ ROWS_OUT = 500
 def _tokenizer(vocabulary: str):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(vocabulary)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(vocabulary)
 
 
 class WordIds(dict):
@@ -70,6 +79,7 @@ class WordIds(dict):
     def forget(self) -> None:
         self.clear()
         self.pieces.clear()
+        self[END] = 0
         self.ids, self.ends, self.size = [self.end_id], [1], 1
         self.held, self.held_ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -83,11 +93,9 @@ class WordIds(dict):
     def of(self, word: bytes) -> list[int]:
         """The ids of a word."""
         if word.isalpha():
-            return self._piece(word.lower().decode())
-        if word[-1:] in MARKS and word[:-1].isalpha():
-            return self._piece(word[:-1].lower().decode()) + self._piece(word[-1:].decode())
+            return [x.id for x in self.model(word.lower().decode())]
         text = word.decode("utf-8")
-        if text.isascii() or (max(text) < "\u0250" and "\u0130" not in text and "\x85" not in text and "\xa0" not in text and unicodedata.is_normalized("NFC", text)):
+        if ADDED not in word and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text and "\x85" not in text and "\xa0" not in text and unicodedata.is_normalized("NFC", text))):
             if text.isprintable():
                 return [i for p in self.cut(text.lower()) for i in self._piece(p)]
         return self.whole.encode(text, add_special_tokens=False).ids
@@ -125,6 +133,14 @@ def _words_of(vocabulary: str, end_id: int) -> WordIds:
     return WordIds(vocabulary, end_id)
 
 
+def words_of(texts: pa.Array) -> list[bytes]:
+    """The words of all texts, with ``END`` after each text."""
+    whole = b" \xff ".join([t.tobytes() for t in text_bytes(texts)]) + b" \xff "
+    data = np.frombuffer(whole if ADDED in whole else whole.lower(), np.uint8)
+    apart = np.flatnonzero(_LETTER[data[:-2]] & _MARK[data[1:-1]] & _SPACE[data[2:]]) + 1
+    return np.insert(data, apart, 32).tobytes().split()
+
+
 def _encode(vocabulary: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _words_of(vocabulary, end_id)
@@ -132,14 +148,10 @@ def _encode(vocabulary: str, end_id: int) -> Callable:
             for at in range(0, len(batch), ROWS_OUT):
                 if len(known) > CACHE_WORDS:
                     known.forget()
-                part, numbers = batch.slice(at, ROWS_OUT), []
-                for data in text_bytes(part.column(1)):
-                    words = data.tobytes().split()
-                    numbers.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-                    numbers.append(np.zeros(1, np.int64))
-                ids, many = known.gather(np.concatenate(numbers))
-                lengths = np.array([len(w) + 1 for w in numbers[::2]])
-                ends = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(lengths)])]
+                part = batch.slice(at, ROWS_OUT)
+                numbers = np.fromiter(map(known.__getitem__, words_of(part.column(1))), np.int64)
+                ids, many = known.gather(numbers)
+                ends = np.concatenate([[0], np.cumsum(many)[numbers == 0]])
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(np.diff(ends)), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))],
@@ -155,7 +167,7 @@ def write(
 ) -> str:
     """Encode every text, append ``end_id`` and write the files; ``path`` is new."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(_encode(vocabulary, end_id), "doc_id long, n_tokens long, crc long, ids array<int>")
         .write.option("parquet.writer.version", "v2").option("parquet.block.size", row_group_bytes)
@@ -197,7 +209,8 @@ def starts(spark: SparkSession, path: str) -> DataFrame:
     # A file's number is the number of its task, and tasks hold ascending ranges.
     plain = read(spark, path, tokens=False)
     files = plain.select(plain.metadataColumn("_metadata")["file_name"].alias("file"), "n_tokens").groupBy("file").agg(F.sum("n_tokens").alias("_all"))
-    before = files.withColumn("_before", F.coalesce(F.sum("_all").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_all")
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("int")
+    before = files.withColumn("_before", F.coalesce(F.sum("_all").over(Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_all")
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("place")) - F.col("n_tokens")
     return found.withColumn("_inside", inside).join(before, "file").select("doc_id", (F.col("_before") + F.col("_inside")).alias("start"), "n_tokens", "ids_crc32")
 

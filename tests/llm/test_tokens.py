@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -55,7 +56,6 @@ def brute_starts(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     start, out = 0, []
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -68,7 +68,6 @@ def test_words_as_the_tokenizer_has_them():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(WORDS)
-    whole.encode_special_tokens = True
     known = token_files.WordIds(WORDS, 2)
     rng = np.random.default_rng(8)
     chars = [chr(c) for c in [*range(0x21, 0x180), 0x300, 0x301, 0x307, 0x1E9E, 0x3A3, 0x4E00, 0x1F600, 0x200B, 0xFB01, 0x2028] if c not in (0x85, 0xA0)] + list("aeiou'.,s") * 12
@@ -79,6 +78,18 @@ def test_words_as_the_tokenizer_has_them():
         assert ids[: many[0]].tolist() == whole.encode(word, add_special_tokens=False).ids, word
 
 
+def test_words_are_lowered_and_marks_set_apart():
+    from tokenizers import Tokenizer
+
+    whole, known = Tokenizer.from_file(WORDS), token_files.WordIds(WORDS, 2)
+    texts = [*ODD, None, "Ab, cD. e!? F) . é, 3. 4,5 x.,  G:\tH;\nend.", "A<|endoftext|>B, <|ENDOFTEXT|> <|startoftext|>", "<|EndOfText|> Up. Down", "…. a…, b"]
+    for some in (texts, texts[:-3], texts[-1:], [""], [None]):
+        numbers = np.fromiter(map(known.__getitem__, token_files.words_of(pa.array(some, pa.string()))), np.int64)
+        ids, many = known.gather(numbers)
+        ends = np.concatenate([[0], np.cumsum(many)[numbers == 0]])
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in some]
+
+
 def test_token_files(spark, data, monkeypatch):
     monkeypatch.setattr(token_files, "ROWS_OUT", 7)
     monkeypatch.setattr(token_files, "CACHE_WORDS", 900)  # caches turn over
