@@ -336,12 +336,8 @@ SEQUENCE_RUN = more(
     "src AS (SELECT * FROM panel WHERE yield_wheat IS NOT NULL)",
     "q AS (SELECT quantile_cont(yield_wheat, 0.05) AS lo, quantile_cont(yield_wheat, 0.95) AS hi FROM src WHERE year <= 1998)",
     "trimmed AS (SELECT * FROM src WHERE yield_wheat BETWEEN (SELECT lo FROM q) AND (SELECT hi FROM q))",
-    "keys AS (SELECT DISTINCT pixel_id, year FROM trimmed WHERE year <= 1998)",
-    "sized AS (SELECT *, count(*) OVER (PARTITION BY year) AS size FROM keys)",
-    f"picked AS ({RANDOM_PICK})",
-    "kept AS (SELECT pixel_id, year FROM sized WHERE size <= 40 UNION SELECT pixel_id, year FROM picked)",
     """samples AS (
-  SELECT 'train' AS split, * FROM trimmed SEMI JOIN kept USING (pixel_id, year)
+  SELECT 'train' AS split, * FROM trimmed WHERE year <= 1998
   UNION ALL SELECT 'val', * FROM trimmed WHERE year = 1999 UNION ALL SELECT 'test', * FROM trimmed WHERE year >= 2000)""",
     "s AS (SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in ("chirps_precip", "era5_temp2m")) + " FROM samples WHERE split = 'train')",
     f"z AS (SELECT split, pixel_id, year, yield_wheat, {_Z} FROM samples, s)",
@@ -422,6 +418,33 @@ last AS (SELECT * FROM cd WHERE i = {rounds})
 SELECT feature, round(weight, 7) AS weight FROM ({' UNION ALL '.join(weights)})"""
 
 
+def boosted(rounds: int = 2, depth: int = 2, rate: float = 0.5, least: float = 1.0) -> str:
+    """Trees of second-order boosting, level by level: every split's gain from the sums of its own rows."""
+    steps = [f"""t0 AS (SELECT y, f0, f1, avg(y) OVER () AS pred FROM (
+  SELECT ln(yield_wheat + 1) AS y, {single('floor(chirps_precip / 12)')} AS f0, {single('floor(fert_n * 2)')} AS f1 FROM annual WHERE yield_wheat IS NOT NULL AND year <= 1998))"""]
+    nodes = []
+    for r in range(rounds):
+        steps.append(f"l{r}_0 AS (SELECT *, '' AS node, pred - y AS g FROM t{r})")
+        for d in range(depth):
+            here = f"{r}_{d}"
+            steps += [
+                f"h{here} AS (SELECT node, feature, v, sum(g) AS g, CAST(count(*) AS DOUBLE) AS h FROM (SELECT node, g, unnest(['chirps_step', 'fert_step']) AS feature, unnest([f0, f1]) AS v FROM l{here} WHERE length(node) = {d}) GROUP BY ALL)",
+                f"s{here} AS (SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER n AS gt, sum(h) OVER n AS ht FROM h{here} WINDOW w AS (PARTITION BY node, feature ORDER BY v), n AS (PARTITION BY node, feature))",
+                f"""b{here} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, v) AS k FROM (
+  SELECT *, (gl * gl / (hl + {least}) + (gt - gl) * (gt - gl) / (ht - hl + {least}) - gt * gt / (ht + {least})) / 2 AS gain FROM s{here} WHERE hl < ht)) WHERE k = 1 AND gain > 1e-12)""",
+                f"""l{r}_{d + 1} AS (SELECT y, f0, f1, pred, l.g, CASE WHEN b.node IS NULL THEN l.node WHEN CASE b.feature WHEN 'chirps_step' THEN f0 ELSE f1 END <= b.v
+  THEN l.node || 'L' ELSE l.node || 'R' END AS node FROM l{here} l LEFT JOIN b{here} b ON b.node = l.node)""",
+            ]
+            nodes.append(f"SELECT {r} AS tree, node, feature, v AS threshold, gain, ht AS rows, NULL AS value FROM b{here}")
+        steps += [
+            f"leaf{r} AS (SELECT node, CAST(count(*) AS DOUBLE) AS rows, -sum(g) / (count(*) + {least}) * {rate} AS value FROM l{r}_{depth} GROUP BY node)",
+            f"t{r + 1} AS (SELECT y, f0, f1, pred + value AS pred FROM l{r}_{depth} JOIN leaf{r} USING (node))",
+        ]
+        nodes.append(f"SELECT {r}, node, NULL, NULL, NULL, rows, value FROM leaf{r}")
+    return annual() + ", " + ",\n".join(steps) + f""" SELECT tree, node, feature, threshold, round(gain, 7) AS gain, rows, round(value, 7) AS value
+FROM ({' UNION ALL '.join(nodes)})"""
+
+
 def exported(where: str = "") -> str:
     return ctes(ITEMS, f"""cells AS (
   SELECT pixel_id, year, month, sum(l_quantity) AS q, avg(l_quantity + 273.15) AS t,
@@ -713,6 +736,8 @@ FROM seq WHERE n_months >= 9""",
     "model_forest_facts": model_facts(True, True),
     "model_gbt_facts": model_facts(),
     "model_boosted_deep_facts": model_facts(),
+    "model_leafwise_facts": model_facts(),
+    "boosted_trees": boosted(),
     "recommend_facts": BASE + """SELECT DISTINCT pixel_id, year, TRUE AS not_worse, TRUE AS on_grid, TRUE AS level_iff_gain
 FROM panel WHERE year = 2000 AND yield_wheat > 1e-6""",
     "response_bounds": BASE + union(

@@ -450,7 +450,7 @@ def sequence_run(spark: SparkSession, folder: str) -> DataFrame:
     """The whole sequence preparation, one row per sample with the sums of its standardised steps."""
     settings = SequenceSettings(
         V.TARGET, "weather_only", ["chirps_precip", "era5_temp2m"], {"kind": "temporal", **SPLIT}, 0.0,
-        trim=(0.05, 0.95), per_year_max=40, stratify="random", sequences={"unique_months": True},
+        trim=(0.05, 0.95), sequences={"unique_months": True},
     )
     total = lambda i: F.aggregate("x", F.lit(0.0), lambda a, f: a + f[i].cast("double"))
     rows = P.labelled(run_sequences(V.panel(spark, folder), settings))
@@ -578,6 +578,23 @@ def elasticnet_weights(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(spark.createDataFrame(named, "feature STRING, weight DOUBLE"), 7)
 
 
+def boosted_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of two trees of depth two on features of few values, with the gain of every split."""
+    table = _few(spark, folder, ["chirps_precip"]).filter(F.col("year") <= SPLIT["train_max_year"])
+    steps = {"chirps_step": F.floor(F.col("chirps_precip") / 12).cast("double"), "fert_step": F.floor(F.col("fert_n") * 2).cast("double")}
+    model = L.fit("xgboost", table.withColumns(steps), list(steps), V.TARGET, log_transform=True, n_estimators=2, max_depth=2, learning_rate=0.5, subsample=1.0, colsample_bytree=1.0)
+    rows = []
+    for number, tree in enumerate(model.booster.trees):
+        path = {0: ""}
+        for at in sorted(range(len(tree.feature))):  # a node comes before its children
+            leaf = tree.feature[at] < 0
+            rows.append((number, path[at], *((None, None, None, tree.rows[at], tree.value[at]) if leaf else (list(steps)[tree.feature[at]], tree.threshold[at], tree.gain[at], tree.rows[at], None))))
+            if not leaf:
+                path[tree.left[at]], path[tree.right[at]] = path[at] + "L", path[at] + "R"
+    schema = "tree INT, node STRING, feature STRING, threshold DOUBLE, gain DOUBLE, rows DOUBLE, value DOUBLE"
+    return rounded(spark.createDataFrame(rows, schema), 7)
+
+
 def elasticnet_optimality(spark: SparkSession, folder: str) -> DataFrame:
     """Whether the fitted elastic net meets its optimality conditions on the training rows, and has weights at all.
 
@@ -749,6 +766,7 @@ QUERIES: dict[str, Query] = {
     "model_forest": _model("random_forest", n_estimators=20, max_depth=8),
     "model_gbt": _model("gbrt", n_estimators=20),
     "model_boosted_deep": _model("xgboost", n_estimators=10),
+    "model_leafwise": _model("gbdt", n_estimators=10, num_leaves=31),
     "model_ridge_facts": _model_facts("linear", alpha=10.0),
     "model_elasticnet_facts": _model_facts("elasticnet", alpha=0.005, l1_ratio=0.35, max_iter=8000, tol=5e-5),
     "elasticnet_weights": elasticnet_weights,
@@ -758,6 +776,8 @@ QUERIES: dict[str, Query] = {
     "model_forest_facts": _model_facts("random_forest", in_range=True, n_estimators=20, max_depth=8),
     "model_gbt_facts": _model_facts("gbrt", n_estimators=20),
     "model_boosted_deep_facts": _model_facts("xgboost", n_estimators=10),
+    "model_leafwise_facts": _model_facts("gbdt", n_estimators=10, num_leaves=31),
+    "boosted_trees": boosted_trees,
     "recommend_facts": recommend_facts,
     "predictions": predictions,
     "response_bounds": response_bounds,
