@@ -11,9 +11,8 @@ smallest representative is its centre, and all candidates of a bucket meet in th
 group of that centre. Group members are first confirmed against the centre; those
 it does not confirm (U) are then held against the whole group in blocks, as a
 matrix product over shared shingles that gives exact intersections. A block emits
-a spanning forest, never its pairs. Pairs whose minhashes agree in fewer than
-``AGREE`` of the lanes are left out of the product; a pair at 0.8 falls there with
-probability below 1e-5.
+a spanning forest, never its pairs. Pairs whose minhashes agree in so few lanes that a
+pair at the threshold does so with probability below ``MISS`` are left out of the product.
 
 Null or empty texts, and texts without words, have an empty set and are linked
 with nothing. A null ``doc_id`` cannot name a component: such rows are returned
@@ -23,6 +22,7 @@ are taken as texts of one document. Only the two named columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +37,19 @@ from .text_hash import batch_words, mix, shingles
 
 BLOCK_MEMBERS = 2048
 BLOCK_SHINGLES = 1 << 20
-AGREE = 16 / 36
+#: Probability of leaving out a pair whose similarity is the threshold, by the lanes it agrees in.
+MISS = 1e-6
+
+
+def least_lanes(lanes: int, percent: int) -> int:
+    """The largest number such that a pair at ``percent`` agrees in fewer lanes with probability below ``MISS``."""
+    s, below, k = percent / 100, 0.0, 0
+    while k < lanes:
+        below += math.comb(lanes, k) * s**k * (1 - s) ** (lanes - k)
+        if below >= MISS:
+            break
+        k += 1
+    return k
 
 
 def _lanes(width: int, collection: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +191,7 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], is_u: np.ndarray, percent:
     nodes, size, is_u = nodes[order], size[order], is_u[order]
     sets = [sets[i] for i in order]
     lanes = np.concatenate([minhashes(sets[i : i + 256], width, collection) for i in range(0, len(sets), 256)])
-    least = int(np.ceil(AGREE * lanes.shape[1]))
+    least = least_lanes(lanes.shape[1], percent)
     near: list[tuple[int, np.ndarray]] = []
     for i in np.flatnonzero(is_u):
         a = np.searchsorted(size * 100, percent * size[i], "left")

@@ -182,13 +182,17 @@ def held_out(doc_id) -> F.col:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(table: DataFrame, labels: DataFrame, *, label_col: str = "quality", max_rows: int = 60_000) -> Gam:
-    """The model of the labelled rows of ``features(...)``, from about ``max_rows`` of them at most."""
+def labelled(labels: DataFrame, label_col: str, max_rows: int) -> DataFrame:
+    """``doc_id, y`` of the labels to learn from: all, or about ``max_rows`` picked by a hash of the id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(
         "doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    count = max(1, known.count())
-    rows = table.join(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(count)) < max_rows), "doc_id").orderBy("doc_id").toPandas()
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, known.count()))) < max_rows)
+
+
+def train(table: DataFrame, labels: DataFrame, *, label_col: str = "quality", max_rows: int = 60_000) -> Gam:
+    """The model of the labelled rows of ``features(...)``, from about ``max_rows`` of them at most."""
+    rows = table.join(labelled(labels, label_col, max_rows), "doc_id").orderBy("doc_id").toPandas()
     x = np.array(rows["x"].tolist(), np.float32).reshape(-1, len(FEATURES))
     return fit(x, rows["y"].to_numpy(float))
 
@@ -209,8 +213,14 @@ def scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, max_rows: int = 60_000) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``least`` or more, with all their columns."""
-    model = train(features(docs, id_col, text_col), labels, max_rows=max_rows)
+    """The rows of ``docs`` whose text scores ``least`` or more, with all their columns.
+
+    Features are taken of the rows to learn from, then of each row as it is scored.
+    """
+    # About max_rows ids at most, whatever the table.
+    wanted = F.broadcast(labelled(labels, "quality", max_rows).select(F.col("doc_id").alias("_wanted")))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    model = train(features(own.join(wanted, F.col("doc_id") == F.col("_wanted"), "left_semi")), labels, max_rows=max_rows)
     return docs.mapInArrow(_filter(model, docs.columns.index(text_col), least), docs.schema)
 
 

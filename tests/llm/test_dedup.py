@@ -109,3 +109,13 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(10, 30)] + [(100, k) for k in range(101, 140)] + [(5, 5)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {found[i] for i in range(10, 31)} == {10} and {found[k] for k in range(100, 140)} == {100}
+
+
+def test_the_least_agreement_follows_the_threshold():
+    assert minhash_dedup.least_lanes(36, 80) == 16 and minhash_dedup.least_lanes(36, 50) < 6 and minhash_dedup.least_lanes(36, 100) == 36
+    from math import comb
+
+    for percent in (50, 60, 70, 80, 90):
+        k, s = minhash_dedup.least_lanes(36, percent), percent / 100
+        below = [sum(comb(36, i) * s**i * (1 - s) ** (36 - i) for i in range(n)) for n in (k, k + 1)]
+        assert below[0] < minhash_dedup.MISS <= below[1]
