@@ -106,6 +106,8 @@ def _fold(column: str, levels: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 continue
             whole, held = held.slice(0, rows * levels), held.slice(rows * levels)
             now = whole.column(0).take(pa.array(np.arange(rows) * levels))
+            if now.null_count or whole.column(0).null_count != rows * (levels - 1):
+                raise RuntimeError("the trials of a row do not follow one another: the model's stages dealt rows anew")
             p = whole.column(2).to_numpy(zero_copy_only=False).reshape(rows, levels)
             p = np.where(np.isnan(p), -np.inf, p)
             winner = p.argmax(axis=1)  # of equal predictions the lowest level

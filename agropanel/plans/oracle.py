@@ -733,6 +733,19 @@ FROM seq WHERE n_months >= 9""",
     "elasticnet_optimality": f"SELECT rows, TRUE AS optimal, TRUE AS several_weights FROM ({model_facts()}) WHERE split = 'train'",
     "sweep_ridge": SWEEP_RIDGE,
     "predictions_ridge": PREDICTIONS_RIDGE,
+    "model_saved": PREDICTIONS_RIDGE,
+    "feature_matrix": annual() + " UNION ALL ".join(
+        f"SELECT pixel_id, year, '{name}' AS feature, round({single(value)}, 4) AS value FROM annual WHERE yield_wheat IS NOT NULL"
+        for name, value in (
+            ("chirps_precip", "ln(1 + greatest(chirps_precip, 0))"), ("modis_ndvi", "modis_ndvi"), ("fert_n", "ln(1 + greatest(fert_n, 0))"),
+            ("fert_p", "ln(1 + greatest(fert_p, 0))"), ("fert_n_x_fert_p", "ln(1 + greatest(fert_n * fert_p, 0))"),
+        )
+    ),
+    "pending_overwrite": """SELECT d.dataset, CAST(y.year AS INT) AS year, CAST(m.month AS INT) AS month
+  FROM (SELECT unnest(['A', 'N', 'R']) AS dataset) d, (SELECT unnest(range(1995, 2002)) AS year) y, (SELECT unnest(range(1, 13)) AS month) m""",
+    "picked_sources": ctes(ITEMS, "names AS (SELECT DISTINCT 'Wheat-N_app ' || year || '.v2.tif' AS name FROM items UNION ALL SELECT 'wheat_zone.tif')") + " UNION ALL ".join(
+        f"SELECT '{crop}' AS crop, (SELECT name FROM names ORDER BY contains(lower(name), '{crop}') DESC, name LIMIT 1) AS name" for crop in ("wheat", "zone", "maize")
+    ),
     "model_forest_facts": model_facts(True, True),
     "model_gbt_facts": model_facts(),
     "model_boosted_deep_facts": model_facts(),

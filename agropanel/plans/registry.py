@@ -142,6 +142,17 @@ def pending(spark: SparkSession, folder: str) -> DataFrame:
     return I.pending(I.month_spine(spark, ["A", "N", "R"], *YEARS), V.inventory(spark, folder))
 
 
+def pending_overwrite(spark: SparkSession, folder: str) -> DataFrame:
+    """Every month is to be done again, whatever exists."""
+    return I.pending(I.month_spine(spark, ["A", "N", "R"], *YEARS), V.inventory(spark, folder), overwrite=True)
+
+
+def picked_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The source that each of some crops takes."""
+    found = V.source_names(spark, folder)
+    return spark.createDataFrame([(crop, names_.pick_source(found, crop)) for crop in ("wheat", "zone", "maize")], "crop STRING, name STRING")
+
+
 def metrics_files(spark: SparkSession, folder: str) -> DataFrame:
     """Scores written as JSON, read back as runs: one run per overall document."""
     preds = cut_lineage(V.preds(spark, folder))
@@ -569,6 +580,24 @@ def predictions_ridge(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(L.predict(model, split.test).select(*PIXEL_YEAR, V.TARGET, "y_pred", "residual"), 4)
 
 
+def model_saved(spark: SparkSession, folder: str) -> DataFrame:
+    """The predictions of a model that was written and read again."""
+    split = P.temporal_split(_few(spark, folder, ["chirps_precip"]), **SPLIT)
+    path = _scratch(spark, "model")
+    L.save_model(L.fit("linear", split.train, ["chirps_precip", "fert_n"], V.TARGET, log_transform=True, alpha=10.0), path)
+    return rounded(L.predict(L.load_model(spark, path), split.test).select(*PIXEL_YEAR, V.TARGET, "y_pred", "residual"), 4)
+
+
+def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """What the models see of every pixel-year, one row per feature."""
+    table = A.aggregate_yearly(V.panel(spark, folder), ["chirps_precip", "modis_ndvi"], V.FERTS, V.TARGET, seasonal_quartiles=False, include_prev_year_yield=False)
+    table = A.drop_missing_target(table, V.TARGET)
+    features = A.model_features(table.columns, V.TARGET, ENHANCED_DERIVED)
+    rows = table.select(*PIXEL_YEAR, A.feature_array(table.columns, features, ENHANCED_DERIVED).alias("x"))
+    named = F.explode(F.map_from_arrays(F.array(*[F.lit(f) for f in features]), "x")).alias("feature", "value")
+    return rounded(rows.select(*PIXEL_YEAR, named), 4)
+
+
 def elasticnet_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Weights of the raw features and the intercept of one elastic net."""
     features = ["chirps_precip", "era5_temp2m", "modis_lst_day", "fert_n"]
@@ -773,6 +802,10 @@ QUERIES: dict[str, Query] = {
     "elasticnet_optimality": elasticnet_optimality,
     "sweep_ridge": sweep_ridge,
     "predictions_ridge": predictions_ridge,
+    "model_saved": model_saved,
+    "feature_matrix": feature_matrix,
+    "pending_overwrite": pending_overwrite,
+    "picked_sources": picked_sources,
     "model_forest_facts": _model_facts("random_forest", in_range=True, n_estimators=20, max_depth=8),
     "model_gbt_facts": _model_facts("gbrt", n_estimators=20),
     "model_boosted_deep_facts": _model_facts("xgboost", n_estimators=10),
