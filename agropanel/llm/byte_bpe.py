@@ -1,15 +1,17 @@
 """Byte-level BPE by overlapping chunks, and the way back to bytes.
 
-Texts up to ``chunk`` characters are one piece. A longer text is cut into chunks of
-``chunk`` characters that run ``overlap`` characters into the next one; chunks are
-dealt over all tasks, pre-tokenised from their own start and encoded there. A
-pre-token depends on the text from its start only, so from the first position where
-the boundaries of two neighbours agree, the later chunk goes on exactly as one pass
-over the whole text would. Stitching cuts both chunks there; by induction all pieces
-are those of the whole text. Where neighbours never agree within the overlap (a run
-of one kind longer than it), that document is pre-tokenised whole.
-
-A null text counts as empty and has no ids. Every row gives one row, also where
+Texts are cut into chunks of ``chunk`` characters that run ``overlap`` characters into
+the next one; most texts are one chunk. Chunks are pre-tokenised on their own. A
+pre-token depends on the text from its start only, so from the first position where the
+boundaries of two neighbours agree, the later chunk goes on exactly as one pass over the
+whole text would. Stitching cuts both chunks there; by induction all pieces are those of
+the whole text. Only then are they encoded, each chunk its own, and the ids put together.
+What is stitched are positions: the chunks of long texts are written once and read for
+either pass. Where neighbours never agree within the overlap (a run of one kind longer
+than it), that document is pre-tokenised in one task.
+
+A pre-token's ids are looked up in a bounded cache; the library sees single pre-tokens
+only. A null text counts as empty and has no ids. Every row gives one row, also where
 ``doc_id`` is null or repeated. Unknown ids fail the decoding. Only the two named
 columns are read. The vocabulary is read from ``vocabulary`` on each executor.
 """
@@ -23,14 +25,17 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut_lineage
+
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
 #: A pre-token that ends this near to a chunk's end could go on behind it.
 LOOK_AHEAD = 4
 ROWS_OUT = 500
+CACHE_PIECES = 500_000
 
 
 @lru_cache(maxsize=4)
@@ -50,57 +55,79 @@ def chunks(text: str, chunk: int, overlap: int) -> list[str]:
     return [text[at : at + chunk + overlap] for at in range(0, max(1, len(text)), chunk)]
 
 
-def encode_chunk(text: str, chunk: int, overlap: int, last: bool, vocabulary: str, pattern: str) -> dict:
-    """Ids of a chunk, and ``(position, ids before it)`` of the boundaries where neighbours may meet."""
+@lru_cache(maxsize=4)
+def pre_tokens(pattern: str):
     import regex
 
-    encode, known = encoder(vocabulary, pattern).encode_ordinary, {}
-    ids: list[int] = []
-    head, tail = [(0, 0)], []
-    for match in regex.compile(pattern).finditer(text):
-        piece = match.group()
-        if piece not in known:
-            known[piece] = encode(piece)
-        ids += known[piece]
+    return regex.compile(pattern)
+
+
+def boundaries(text: str, chunk: int, overlap: int, last: bool, pattern: str) -> tuple[list[int], list[int]]:
+    """Ends of the pre-tokens of a chunk in its first ``overlap`` characters, and behind ``chunk`` (counted from there)."""
+    head, tail = [0], []
+    for match in pre_tokens(pattern).finditer(text):
         end = match.end()
         if end > len(text) - LOOK_AHEAD and not last:
             break
         if end <= overlap:
-            head.append((end, len(ids)))
+            head.append(end)
         if end >= chunk:
-            tail.append((end - chunk, len(ids)))
-    return {"ids": np.array(ids, np.int32).tobytes(), "head": np.array(head, np.int32).tobytes(), "tail": np.array(tail, np.int32).tobytes()}
-
-
-def stitch(parts: list[dict]) -> list[np.ndarray] | None:
-    """The pieces' ids in order, or None where two neighbours' boundaries never agree."""
-    pairs = lambda x: dict(np.frombuffer(x, np.int32).reshape(-1, 2).tolist())
-    begin, pieces = 0, []
-    for here, after in zip(parts, [*parts[1:], None]):
-        ids = np.frombuffer(here["ids"], np.int32)
-        if after is None:
-            pieces.append(ids[begin:])
-            break
-        ours, theirs = pairs(here["tail"]), pairs(after["head"])
-        common = ours.keys() & theirs.keys()
-        if not common:
-            return None
-        meet = min(common)
-        pieces.append(ids[begin : ours[meet]])
-        begin = theirs[meet]
-    return pieces
+            tail.append(end - chunk)
+    return head, tail
+
+
+class Pieces:
+    """Ids of pre-tokens, each encoded once while it is in a bounded cache."""
+
+    def __init__(self, vocabulary: str, pattern: str):
+        self.encode_one, self.find = encoder(vocabulary, pattern).encode_ordinary, pre_tokens(pattern)
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self, pieces: list[str]) -> None:
+        found = [self.encode_one(p) for p in pieces]
+        many = np.fromiter(map(len, found), np.int64, len(found))
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32, int(many.sum()))])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(many)])
+        self.numbers.update(zip(pieces, range(len(self.numbers), len(self.numbers) + len(pieces))))
+
+    def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts given as their pre-tokens, one after another, and how many lie before the end of each."""
+        if len(self.numbers) > CACHE_PIECES or len(self.ids) > 8 * CACHE_PIECES:
+            self.forget()
+        flat = [p for text in texts for p in text]
+        new = [p for p in dict.fromkeys(flat) if p not in self.numbers]
+        if new:
+            self._learn(new)
+        numbers = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
+        many = self.ends[numbers + 1] - self.ends[numbers]
+        inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        ends = np.concatenate([[0], np.cumsum(many)])[np.cumsum([0] + [len(t) for t in texts])]
+        return self.ids[inside + np.repeat(self.ends[numbers], many)], ends
+
 
+@lru_cache(maxsize=1)
+def _pieces(vocabulary: str, pattern: str) -> Pieces:
+    """One cache per worker process, kept from task to task."""
+    return Pieces(vocabulary, pattern)
 
-def _whole(vocabulary: str, pattern: str) -> Callable:
+
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+
+
+def _encode_texts(vocabulary: str, pattern: str) -> Callable:
+    """``(doc_id, text)`` of one chunk each: there is nothing to stitch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern).encode_ordinary
+        pieces = _pieces(vocabulary, pattern)
         for batch in batches:
             for at in range(0, len(batch), ROWS_OUT):
                 part = batch.slice(at, ROWS_OUT)
-                ids = [np.array(encode(t or ""), np.int32) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
+                found = pieces.encode([pieces.find.findall(t) for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(*found)], names=["doc_id", "ids"])
 
     return run
 
@@ -120,32 +147,57 @@ def _cut(chunk: int, overlap: int) -> Callable:
     return run
 
 
-def _encode_chunks(chunk: int, overlap: int, vocabulary: str, pattern: str) -> Callable:
+def _bounds(chunk: int, overlap: int, pattern: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int32())
+        for batch in batches:
+            uid, part, parts, text = (batch.column(c).to_pylist() for c in ("uid", "part", "parts", "text"))
+            found = [boundaries(t, chunk, overlap, p + 1 == n, pattern) for t, p, n in zip(text, part, parts)]
+            columns = [pa.array([f[k] for f in found], kind) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("part"), *columns], names=["uid", "part", "head", "tail"])
+
+    return run
+
+
+def _encode_parts(vocabulary: str, pattern: str) -> Callable:
+    """``(uid, part, text, start, stop)``: the pre-tokens between both, which lie on boundaries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces(vocabulary, pattern)
         for batch in batches:
-            for at in range(0, len(batch), 16):
-                some = batch.slice(at, 16)
-                last = [p + 1 == n for p, n in zip(some.column("part").to_pylist(), some.column("parts").to_pylist())]
-                done = [encode_chunk(t, chunk, overlap, x, vocabulary, pattern) for t, x in zip(some.column("text").to_pylist(), last)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(some.column(c) for c in ("doc_id", "uid", "part", "text")), *(pa.array([d[c] for d in done], pa.binary()) for c in ("ids", "head", "tail"))],
-                    names=["doc_id", "uid", "part", "text", "ids", "head", "tail"],
-                )
+            lists = []
+            for text, start, stop in zip(*(batch.column(c).to_pylist() for c in ("text", "start", "stop"))):
+                own = []
+                for match in pieces.find.finditer(text, start):
+                    if match.start() >= stop:
+                        break
+                    own.append(match.group())
+                lists.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("part"), _lists(*pieces.encode(lists))], names=["uid", "part", "ids"])
 
     return run
 
 
-def _stitch(chunk: int, vocabulary: str, pattern: str) -> Callable:
+def _encode_whole(chunk: int, vocabulary: str, pattern: str) -> Callable:
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("part")
-        pieces = stitch(group[["ids", "head", "tail"]].to_dict("records"))
-        if pieces is None:
-            pieces = [encoder(vocabulary, pattern).encode_ordinary("".join(t[:chunk] for t in group["text"]))]
-        return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1].astype("Int64"), "ids": [np.concatenate([np.asarray(p, np.int32) for p in pieces])]})
+        pieces = _pieces(vocabulary, pattern)
+        text = "".join(t[:chunk] for t in group.sort_values("part")["text"])
+        return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1].astype("Int64"), "ids": [pieces.encode([pieces.find.findall(text)])[0]]})
 
     return run
 
 
+def stitched(bounds: DataFrame, chunk: int) -> DataFrame:
+    """``uid, part, start, stop, sound``: where each chunk's own pieces lie; a text is not sound if two neighbours never agree."""
+    by_part = Window.partitionBy("uid").orderBy("part")
+    meet = F.array_min(F.array_intersect("tail", F.lead("head").over(by_part)))
+    met = bounds.withColumn("_last", F.lead("part").over(by_part).isNull()).withColumn("_meet", meet)
+    start = F.coalesce(F.lag("_meet").over(by_part), F.lit(0))
+    return met.select(
+        "uid", "part", start.alias("start"), (chunk + F.coalesce("_meet", F.lit(2**30))).alias("stop"),
+        F.every(F.col("_last") | F.col("_meet").isNotNull()).over(Window.partitionBy("uid")).alias("sound"),
+    )
+
+
 def encode(
     docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP,
 ) -> DataFrame:
@@ -154,15 +206,20 @@ def encode(
         raise ValueError("the overlap must be longer than the look-ahead and shorter than a chunk")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = "doc_id long, ids array<int>"
-    short = rows.where(F.length("text") <= chunk).mapInArrow(_whole(vocabulary, pattern), schema)
-    long = (
+    single = rows.where(F.length("text") <= chunk).mapInArrow(_encode_texts(vocabulary, pattern), schema)
+    cut = cut_lineage(
         rows.where(F.length("text") > chunk).select("doc_id", F.monotonically_increasing_id().alias("uid"), "text")
-        .mapInArrow(_cut(chunk, overlap), "doc_id long, uid long, part long, parts long, text string")
-        .repartition("uid", "part")
-        .mapInArrow(_encode_chunks(chunk, overlap, vocabulary, pattern), "doc_id long, uid long, part long, text string, ids binary, head binary, tail binary")
-        .groupBy("uid").applyInPandas(_stitch(chunk, vocabulary, pattern), schema)
+        .mapInArrow(_cut(chunk, overlap), "doc_id long, uid long, part long, parts long, text string").repartition("uid", "part")
     )
-    return short.unionByName(long)
+    bounds = cut.select("uid", "part", "parts", "text").mapInArrow(_bounds(chunk, overlap, pattern), "uid long, part long, head array<int>, tail array<int>")
+    places = cut_lineage(stitched(bounds, chunk))
+    own = cut.join(places.where("sound").drop("sound"), ["uid", "part"]).select("uid", "part", "text", "start", "stop")
+    parts = own.mapInArrow(_encode_parts(vocabulary, pattern), "uid long, part long, ids array<int>")
+    in_order = F.array_sort(F.collect_list(F.struct("part", "ids")))
+    joined = parts.groupBy("uid").agg(F.flatten(F.transform(in_order, lambda p: p["ids"])).alias("ids"))
+    long = cut.where("part = 0").select("doc_id", "uid").join(joined, "uid").select("doc_id", "ids")
+    rest = cut.join(places.where("not sound").select("uid").distinct(), "uid", "left_semi").groupBy("uid").applyInPandas(_encode_whole(chunk, vocabulary, pattern), schema)
+    return single.unionByName(long).unionByName(rest)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:

@@ -33,15 +33,41 @@ def test_byte_bpe_is_the_librarys(spark, data, chunk, overlap):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found} == {i: brute_bpe(t, enc) for i, t in enumerate(texts)}
 
 
-def test_chunks_meet_where_boundaries_agree():
-    enc = reference()
+def test_chunks_meet_where_boundaries_agree(spark):
     text = " ".join(f"word{i} don't  {'!' * (i % 7)}\n" for i in range(300))
+    whole = {m.end() for m in byte_bpe.pre_tokens(P.PATTERN).finditer(text)} | {0}
     parts = byte_bpe.chunks(text, 150, 50)
-    done = [byte_bpe.encode_chunk(t, 150, 50, i + 1 == len(parts), BPE, P.PATTERN) for i, t in enumerate(parts)]
-    assert np.concatenate(byte_bpe.stitch(done)).tolist() == enc.encode_ordinary(text)
+    found = [byte_bpe.boundaries(t, 150, 50, i + 1 == len(parts), P.PATTERN) for i, t in enumerate(parts)]
+    schema = "uid long, part long, head array<int>, tail array<int>"
+    rows = byte_bpe.stitched(spark.createDataFrame([(7, i, *f) for i, f in enumerate(found)], schema), 150).orderBy("part").collect()
+    assert all(r.sound for r in rows) and rows[0].start == 0
+    for r, after in zip(rows, rows[1:]):
+        assert r.stop == 150 + after.start and r.part * 150 + r.stop in whole
     run = "x" * 1000  # one pre-token over many chunks: neighbours never agree
     parts = byte_bpe.chunks(run, 150, 50)
-    assert byte_bpe.stitch([byte_bpe.encode_chunk(t, 150, 50, i + 1 == len(parts), BPE, P.PATTERN) for i, t in enumerate(parts)]) is None
+    found = [byte_bpe.boundaries(t, 150, 50, i + 1 == len(parts), P.PATTERN) for i, t in enumerate(parts)]
+    assert not any(r.sound for r in byte_bpe.stitched(spark.createDataFrame([(7, i, *f) for i, f in enumerate(found)], schema), 150).collect())
+
+
+def test_the_library_sees_single_pre_tokens_only(monkeypatch):
+    enc = reference()
+    pieces = byte_bpe.Pieces(BPE, P.PATTERN)
+    seen, plain = [], pieces.encode_one
+    pieces.encode_one = lambda p: (seen.append(p), plain(p))[1]
+    monkeypatch.setattr(byte_bpe, "CACHE_PIECES", 40)
+    for some in (ODD, ODD[::-1], ODD[3:9]):
+        ids, ends = pieces.encode([pieces.find.findall(t) for t in some])
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [enc.encode_ordinary(t) for t in some]
+    assert seen and all(pieces.find.fullmatch(p) and len(pieces.find.findall(p)) == 1 for p in seen)
+
+
+def test_pre_tokens_of_all_characters_are_the_librarys():
+    enc = reference()
+    find = byte_bpe.pre_tokens(P.PATTERN)
+    chars = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(chars), 64):
+        text = "".join(f"a{c}b {c}1" for c in chars[at : at + 64])
+        assert [i for p in find.findall(text) for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text), hex(at)
 
 
 def test_byte_bpe_of_odd_rows(odd_docs, no_docs):
