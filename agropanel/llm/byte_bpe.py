@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,7 @@ OVERLAP = 1 << 10
 LOOK_AHEAD = 4
 ROWS_OUT = 500
 CACHE_PIECES = 500_000
+IDS_AT_ONCE = 1 << 18
 
 
 @lru_cache(maxsize=4)
@@ -76,37 +78,37 @@ def boundaries(text: str, chunk: int, overlap: int, last: bool, pattern: str) ->
     return head, tail
 
 
-class Pieces:
-    """Ids of pre-tokens, each encoded once while it is in a bounded cache."""
+class Pieces(dict):
+    """A number for each pre-token met, and its ids; each is encoded once while it is in this bounded cache."""
 
     def __init__(self, vocabulary: str, pattern: str):
         self.encode_one, self.find = encoder(vocabulary, pattern).encode_ordinary, pre_tokens(pattern)
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.clear()
+        self.new: list[list[int]] = []
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        found = [self.encode_one(p) for p in pieces]
-        many = np.fromiter(map(len, found), np.int64, len(found))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32, int(many.sum()))])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(many)])
-        self.numbers.update(zip(pieces, range(len(self.numbers), len(self.numbers) + len(pieces))))
+    def __missing__(self, piece: str) -> int:
+        self.new.append(self.encode_one(piece))
+        number = self[piece] = len(self)
+        return number
 
     def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts given as their pre-tokens, one after another, and how many lie before the end of each."""
-        if len(self.numbers) > CACHE_PIECES or len(self.ids) > 8 * CACHE_PIECES:
+        if len(self) > CACHE_PIECES or len(self.ids) > 8 * CACHE_PIECES:
             self.forget()
-        flat = [p for text in texts for p in text]
-        new = [p for p in dict.fromkeys(flat) if p not in self.numbers]
-        if new:
-            self._learn(new)
-        numbers = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
-        many = self.ends[numbers + 1] - self.ends[numbers]
-        inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        ends = np.concatenate([[0], np.cumsum(many)])[np.cumsum([0] + [len(t) for t in texts])]
-        return self.ids[inside + np.repeat(self.ends[numbers], many)], ends
+        bounds = np.cumsum([0] + [len(t) for t in texts])
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(bounds[-1]))
+        if self.new:
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in self.new])])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(self.new), np.int32)])
+            self.new = []
+        begin = self.ends[numbers]
+        many = self.ends[numbers + 1] - begin
+        upto = np.concatenate([[0], np.cumsum(many)])
+        return self.ids[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], many)], upto[bounds]
 
 
 @lru_cache(maxsize=1)
@@ -222,16 +224,54 @@ def encode(
     return single.unionByName(long).unionByName(rest)
 
 
+class TokenBytes:
+    """The bytes of every token, one after another."""
+
+    def __init__(self, vocabulary: str):
+        found = ranks(vocabulary)
+        table = [b""] * (max(found.values(), default=-1) + 1)
+        for token, rank in found.items():
+            table[rank] = token
+        self.known = np.array([bool(t) for t in table])
+        self.ends = np.cumsum([0] + [len(t) for t in table])
+        self.data = np.frombuffer(b"".join(table), np.uint8)
+
+    def lengths(self, ids: np.ndarray) -> np.ndarray:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all()):
+            raise KeyError("an id that the vocabulary does not have")
+        return self.ends[ids + 1] - self.ends[ids]
+
+    def joined(self, ids: np.ndarray, many: np.ndarray) -> bytes:
+        """The bytes of ``ids`` of the lengths ``many``; some hundred thousand at a time."""
+        out = []
+        for at in range(0, len(ids), IDS_AT_ONCE):
+            own, n = ids[at : at + IDS_AT_ONCE], many[at : at + IDS_AT_ONCE]
+            upto = np.cumsum(n)
+            out.append(self.data[np.arange(upto[-1]) + np.repeat(self.ends[own] - upto + n, n)].tobytes())
+        return b"".join(out)
+
+
+@lru_cache(maxsize=2)
+def _token_bytes(vocabulary: str) -> TokenBytes:
+    return TokenBytes(vocabulary)
+
+
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """``encoded`` with ``bytes``: the tokens' bytes of ``ids``, one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: piece for piece, rank in ranks(vocabulary).items()}
+        tokens = _token_bytes(vocabulary)
         for batch in batches:
             for at in range(0, len(batch), ROWS_OUT):
                 part = batch.slice(at, ROWS_OUT)
-                text = [b"".join(map(token.__getitem__, x)) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.binary())], names=["doc_id", "ids", "bytes"])
+                lists = part.column(1)
+                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                many = tokens.lengths(ids)
+                rows = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+                ends = np.concatenate([[0], np.cumsum(many)])[rows]
+                data = tokens.joined(ids, many)
+                text = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, text.cast(pa.binary())], names=["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary")
 

@@ -49,6 +49,17 @@ def test_chunks_meet_where_boundaries_agree(spark):
     assert not any(r.sound for r in byte_bpe.stitched(spark.createDataFrame([(7, i, *f) for i, f in enumerate(found)], schema), 150).collect())
 
 
+def test_bytes_of_tokens(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "IDS_AT_ONCE", 7)
+    tokens, enc = byte_bpe.TokenBytes(BPE), reference()
+    for text in ODD:
+        ids = np.array(enc.encode_ordinary(text), np.int64)
+        assert tokens.joined(ids, tokens.lengths(ids)) == text.encode()
+    for bad in (-1, 10**6):
+        with pytest.raises(KeyError):
+            tokens.lengths(np.array([5, bad]))
+
+
 def test_the_library_sees_single_pre_tokens_only(monkeypatch):
     enc = reference()
     pieces = byte_bpe.Pieces(BPE, P.PATTERN)
