@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..runtime import checkpoint_folder
 from .text_hash import text_bytes
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 #: A word of its own for the end of a text: a byte that UTF-8 does not have.
 END = b"\xff"
 #: What every added token of the vocabulary begins with.
@@ -95,6 +95,8 @@ class WordIds(dict):
         if word.isalpha():
             return [x.id for x in self.model(word.lower().decode())]
         text = word.decode("utf-8")
+        if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
+            return [x.id for x in self.model("".join(map(self.byte_chars.__getitem__, text.lower().encode())))]
         if ADDED not in word and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text and "\x85" not in text and "\xa0" not in text and unicodedata.is_normalized("NFC", text))):
             if text.isprintable():
                 return [i for p in self.cut(text.lower()) for i in self._piece(p)]
