@@ -82,11 +82,12 @@ def quantiles_of(placed: DataFrame, value: str, probs: Sequence[float], by: Sequ
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """One row per group with a present value: ``by`` columns, ``n`` (present values), ``quantiles`` (array)."""
     by = list(by)
+    if not by:
+        found = selected(_present(df, value), "_q", [(p, p) for p in probs])
+        rows = [(found.n, [found.quantile(p) for p in probs])] if found.n else []
+        return df.sparkSession.createDataFrame(rows, "n LONG, quantiles ARRAY<DOUBLE>")
     rows = df.select(*by, F.col(value).cast("double").alias("_q")).filter(F.col("_q").isNotNull())
-    keys = by or ["_all"]
-    rows = rows if by else rows.withColumn("_all", F.lit(0))
-    found = quantiles_of(placed_values(rows, "_q", keys), "_q", probs, keys)
-    return found if by else found.drop("_all")
+    return quantiles_of(placed_values(rows, "_q", by), "_q", probs, by)
 
 
 #: A sketch's ranks are right to one in ``SKETCH`` of the rows; brackets reach four times as far.
