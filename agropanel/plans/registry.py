@@ -809,7 +809,7 @@ QUERIES: dict[str, Query] = {
     "model_forest_facts": _model_facts("random_forest", in_range=True, n_estimators=20, max_depth=8),
     "model_gbt_facts": _model_facts("gbrt", n_estimators=20),
     "model_boosted_deep_facts": _model_facts("xgboost", n_estimators=10),
-    "model_leafwise_facts": _model_facts("gbdt", n_estimators=10, num_leaves=31),
+    "model_leafwise_facts": _model_facts("gbdt", n_estimators=10, num_leaves=31, min_child_weight=2.0),
     "boosted_trees": boosted_trees,
     "recommend_facts": recommend_facts,
     "predictions": predictions,
