@@ -6,8 +6,9 @@ made one. The SHA-256 of that is joined with the digests of known licences. A wh
 document is one text, and so is each of its lines, for notices that stand on a line
 of their own.
 
-Null and empty texts, and texts of copyright lines only, match nothing. Rows that
-repeat a ``doc_id`` are scanned each. The table of licences is broadcast up to
+Null and empty texts, and texts of copyright lines only, match nothing; lines without a
+letter or digit are left out before the join. Rows that repeat a ``doc_id`` are scanned
+each. The table of licences is broadcast up to
 ``BROADCAST_LICENCES`` rows, which bounds it, and shuffled beyond. Only the two
 named columns are read.
 """
@@ -22,6 +23,7 @@ from .licence_texts import KNOWN
 BROADCAST_LICENCES = 50_000
 COPYRIGHT = r"^[ \t\r]*(copyright|\(c\)|©)"
 NOT_A_WORD = r"[^\p{L}\p{N}]+"
+WORD = r"[\p{L}\p{N}]"
 #: Spellings that mean the same, after punctuation is gone.
 SPELLINGS = (
     ("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("whilst", "while"),
@@ -37,8 +39,18 @@ def canonical(text: Column) -> Column:
     return out
 
 
-def known(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(name, text) for name, text in KNOWN], "licence string, text string")
+def known(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    """``licence, text``: the texts of ``licence_texts``, and the files of a folder under their names.
+
+    A folder of published texts (a distribution's, or one kept for the purpose) widens
+    what is found; it lies in any store that Spark reads.
+    """
+    own = spark.createDataFrame([(name, text) for name, text in KNOWN], "licence string, text string")
+    if folder is None:
+        return own
+    files = spark.read.text(folder, wholetext=True)
+    path = files.metadataColumn("_metadata")["file_name"]
+    return own.unionByName(files.select(F.regexp_replace(path, r"\.(txt|md)$", "").alias("licence"), F.col("value").alias("text")))
 
 
 def digests(licences: DataFrame) -> DataFrame:
@@ -55,7 +67,7 @@ def scan(docs: DataFrame, licences: DataFrame, *, id_col: str = "doc_id", text_c
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     units = rows.select("uid", "doc_id", F.explode(F.concat(
         F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))),
-        F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))),
+        F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(WORD)), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))),
     )).alias("u"))
     hits = units.select("uid", "doc_id", "u.whole", F.sha2(canonical(F.col("u.unit")), 256).alias("digest")).join(table, "digest", "left")
     line = ~F.col("whole")

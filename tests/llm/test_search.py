@@ -126,6 +126,18 @@ def test_licences_on_odd_rows(spark, odd_docs, no_docs):
     assert licences.scan(no_docs, table).count() == 0
 
 
+def test_licences_of_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Copyright 1999 Us\nDo as you like,\n  but say so.")
+    table = licences.known(spark, str(tmp_path))
+    texts = dict(licences.KNOWN)
+    docs = spark.createDataFrame([
+        (1, "do as you like BUT say so!\n(c) 2024 them"), (2, texts["BSD-3-Clause"].replace("copyright holder", "Copyright Holder")), (3, texts["BSD-2-Clause"]),
+        (4, texts["notice:MPL-2.0"].replace("http:", "https:")), (5, texts["Zlib"][:-5]), (6, "...\n---\n"),
+    ], "doc_id long, text string")
+    found = {r.doc_id: (r.licence, r.n_notices) for r in licences.scan(docs, table).collect()}
+    assert found == {1: ("Own-1.0", 1), 2: ("BSD-3-Clause", 0), 3: ("BSD-2-Clause", 0), 4: ("notice:MPL-2.0", 1), 5: (None, 0), 6: (None, 0)}
+
+
 def pages_of(spark):
     same = "<p>" + "payload " * 30
     rows = [(9, "http://a", same), (4, "http://b c\n", same), (4, None, same), (6, "u", same), (None, "n", same), (1, None, None), (2, "e", ""), (3, "s", "short"), (8, "s", "short"), (7, "é", "é\r\n\r\n" * 40)]
