@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..runtime import checkpoint_folder
 from .text_hash import text_bytes
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 #: A word of its own for the end of a text: a byte that UTF-8 does not have.
 END = b"\xff"
 #: What every added token of the vocabulary begins with.
@@ -139,10 +139,17 @@ def words_of(texts: pa.Array) -> list[bytes]:
     """The words of all texts, with ``END`` after each text."""
     whole = b" \xff ".join([t.tobytes() for t in text_bytes(texts)]) + b" \xff "
     data = np.frombuffer(whole if ADDED in whole else whole.lower(), np.uint8)
-    apart = np.flatnonzero(_LETTER[data[:-2]] & _MARK[data[1:-1]] & _SPACE[data[2:]]) + 1
+    apart = np.flatnonzero(_MARK[data[1:-1]]) + 1
+    apart = apart[_LETTER[data[apart - 1]] & _SPACE[data[apart + 1]]]
     return np.insert(data, apart, 32).tobytes().split()
 
 
+def _crcs(ids: np.ndarray, ends: np.ndarray) -> list[int]:
+    """The CRC-32 of each run of ids between two ends, as little-endian 32-bit numbers."""
+    raw = memoryview(ids.astype("<u4", copy=False)).cast("B") if len(ids) else b""
+    return [zlib.crc32(raw[a:b]) for a, b in zip((ends[:-1] * 4).tolist(), (ends[1:] * 4).tolist())]
+
+
 def _encode(vocabulary: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _words_of(vocabulary, end_id)
@@ -154,7 +161,7 @@ def _encode(vocabulary: str, end_id: int) -> Callable:
                 numbers = np.fromiter(map(known.__getitem__, words_of(part.column(1))), np.int64)
                 ids, many = known.gather(numbers)
                 ends = np.concatenate([[0], np.cumsum(many)[numbers == 0]])
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends, ends[1:])]
+                crc = _crcs(ids, ends)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(np.diff(ends)), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))],
                     names=["doc_id", "n_tokens", "crc", "ids"],
@@ -174,7 +181,7 @@ def write(
         ordered.mapInArrow(_encode(vocabulary, end_id), "doc_id long, n_tokens long, crc long, ids array<int>")
         .write.option("parquet.writer.version", "v2").option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes).option("parquet.enable.dictionary#ids.list.element", "false")
-        .option("compression", "zstd").parquet(path)
+        .option("compression", "snappy").parquet(path)
     )
     return path
 
@@ -200,7 +207,7 @@ def starts(spark: SparkSession, path: str) -> DataFrame:
             ids = batch.column(3)
             ends = np.asarray(ids.offsets)
             flat = np.asarray(ids.values)
-            crc = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(ends, ends[1:])]
+            crc = _crcs(flat, ends)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "file", "place", "n_tokens", "ids_crc32"])
 
     rows = read(spark, path)
