@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..runtime import checkpoint_folder
 from .text_hash import text_bytes
 
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 900_000
 #: A word of its own for the end of a text: a byte that UTF-8 does not have.
 END = b"\xff"
 #: What every added token of the vocabulary begins with.
