@@ -34,9 +34,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import checkpoint_folder
+from .tables import SMALL_BATCHES, settings
 from .text_hash import text_bytes
 
-CACHE_WORDS = 900_000
+CACHE_WORDS = 1_200_000
 #: A word of its own for the end of a text: a byte that UTF-8 does not have.
 END = b"\xff"
 #: What every added token of the vocabulary begins with.
@@ -177,12 +178,13 @@ def write(
     """Encode every text, append ``end_id`` and write the files; ``path`` is new."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
-    (
-        ordered.mapInArrow(_encode(vocabulary, end_id), "doc_id long, n_tokens long, crc long, ids array<int>")
-        .write.option("parquet.writer.version", "v2").option("parquet.block.size", row_group_bytes)
-        .option("parquet.page.size", page_bytes).option("parquet.enable.dictionary#ids.list.element", "false")
-        .option("compression", "snappy").parquet(path)
-    )
+    with settings(docs.sparkSession, SMALL_BATCHES):  # leaves memory for the cache of words
+        (
+            ordered.mapInArrow(_encode(vocabulary, end_id), "doc_id long, n_tokens long, crc long, ids array<int>")
+            .write.option("parquet.writer.version", "v2").option("parquet.block.size", row_group_bytes)
+            .option("parquet.page.size", page_bytes).option("parquet.enable.dictionary#ids.list.element", "false")
+            .option("compression", "snappy").parquet(path)
+        )
     return path
 
 
