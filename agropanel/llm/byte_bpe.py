@@ -36,7 +36,7 @@ OVERLAP = 1 << 10
 #: A pre-token that ends this near to a chunk's end could go on behind it.
 LOOK_AHEAD = 4
 ROWS_OUT = 500
-CACHE_PIECES = 500_000
+CACHE_PIECES = 100_000
 IDS_AT_ONCE = 1 << 18
 
 
