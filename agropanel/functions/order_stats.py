@@ -10,17 +10,26 @@ ranges of (group, value) and written once; Spark samples the bounds of the range
 Sums of the counts per range give the place of a range's first row, a running sum
 within the range the place of each value, and quantiles and ranks are read off the
 same written table. NaN comes after all numbers, as ``percentile`` orders it.
+
+Where every row needs its own rank, ``ranked`` deals the rows themselves to the ranges, so no
+rank is joined back by value. A range may end inside a value: what lies in other ranges is
+added from a table of one row per range and group.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agropanel.runtime import cut_lineage
 
@@ -53,6 +62,96 @@ def placed_values(rows: DataFrame, value: str, by: Sequence[str], weight: str |
     return placed.select(*by, value, "_c", (F.col("_below") + F.col("_upto") - F.col("_c")).alias("_first"), "n")
 
 
+def _differs(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Where two columns differ; NULL equals NULL and NaN equals NaN."""
+    out = pc.fill_null(pc.not_equal(left, right), pa.scalar(False)).to_numpy(zero_copy_only=False)
+    out = out | (left.is_null().to_numpy(zero_copy_only=False) != right.is_null().to_numpy(zero_copy_only=False))
+    if pa.types.is_floating(left.type):
+        out &= ~pc.fill_null(pc.and_(pc.is_nan(left), pc.is_nan(right)), False).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _running(by: list[str], value: str, weight: str) -> Callable:
+    """Places within a sorted partition; the rows of one value are held until the next one begins."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, base = None, [], 0
+
+        def closed() -> pa.RecordBatch:
+            nonlocal base
+            batch = pa.concat_batches([b for b, _, _ in held])
+            new_key, new_value = (np.concatenate([h[i] for h in held]) for i in (1, 2))
+            w, index = batch.column(weight).to_numpy(), np.arange(len(batch))
+            pos = np.cumsum(w) - w
+            start = np.maximum.accumulate(np.where(new_key, index, -1))
+            pos = np.where(start >= 0, pos - pos[start], pos + base)
+            of_value = np.cumsum(new_value) - 1
+            first = np.flatnonzero(new_value)
+            low, many = pos[first][of_value], np.add.reduceat(w, first)[of_value]
+            base = int(pos[-1] + w[-1])
+            added = [pa.array(a.astype(np.int64)) for a in (pos, low, many)]
+            return pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "_pos", "_low", "_c"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            new_key = np.zeros(len(batch), bool)
+            for name in (*by, value):
+                column = batch.column(name)
+                before = column[:1] if last is None else last.column(name)
+                changed = _differs(column, pa.concat_arrays([before, column[:-1]]))
+                if name == value:
+                    new_value = new_key | changed
+                else:
+                    new_key |= changed
+            if last is None:
+                new_key[0] = new_value[0] = True
+            last = batch.slice(len(batch) - 1)
+            opened = np.flatnonzero(new_value)
+            cut = int(opened[-1]) if len(opened) else 0
+            if cut:
+                held.append((batch.slice(0, cut), new_key[:cut], new_value[:cut]))
+            if held and len(opened):
+                yield closed()
+                held = []
+            held.append((batch.slice(cut), new_key[cut:], new_value[cut:]))
+        if held:
+            yield closed()
+
+    return run
+
+
+def ranked(rows: DataFrame, value: str, tie: str, by: Sequence[str], weight: str) -> DataFrame:
+    """The rows with ``_rank`` (average over equal values), ``_first`` (their own place) and ``n`` (the group's weight).
+
+    ``by, value, tie`` name a row, so a value that many rows share is dealt to as many
+    ranges as it fills. One shuffle and one written table.
+    """
+    by = list(by)
+    dealt = rows.repartitionByRange(*by, value, tie).withColumn("_range", F.spark_partition_id()).sortWithinPartitions(*by, value)
+    added = [T.StructField(c, T.LongType()) for c in ("_pos", "_low", "_c")]
+    placed = cut_lineage(dealt.mapInArrow(_running(by, value, weight), T.StructType([*dealt.schema.fields, *added])))
+    edge = lambda v, c: F.struct(F.col(v).alias("v"), F.col(c).alias("c"))
+    sums = placed.groupBy(*by, "_range").agg(
+        F.sum(weight).alias("_rows"), F.min(value).alias("_v0"), F.max(value).alias("_v1"),
+        F.min_by("_c", value).alias("_c0"), F.max_by("_c", value).alias("_c1"),
+    )
+    before, whole = Window.partitionBy(*by).orderBy("_range"), Window.partitionBy(*by)
+    sums = sums.withColumns({"_below": F.sum("_rows").over(before) - F.col("_rows"), "n": F.sum("_rows").over(whole)})
+    # A value of several ranges is the first or last one of each; the first may have begun before.
+    both = F.when(F.col("_v0") == F.col("_v1"), F.array(edge("_v0", "_c0"))).otherwise(F.array(edge("_v0", "_c0"), edge("_v1", "_c1")))
+    edges = sums.withColumn("_e", F.explode(both)).withColumns({"_v": F.col("_e.v"), "_k": F.col("_e.c")})
+    same = Window.partitionBy(*by, "_v")
+    edges = edges.withColumns({"_earlier": F.sum("_k").over(same.orderBy("_range")) - F.col("_k"), "_all_k": F.sum("_k").over(same)})
+    offsets = cut_lineage(edges.groupBy(*by, "_range", "_below", "n", "_v0", "_v1").agg(
+        F.min_by("_earlier", "_v").alias("_earlier"), F.min_by("_all_k", "_v").alias("_k0"), F.max_by("_all_k", "_v").alias("_k1")
+    ))
+    out = null_safe_join(placed, offsets, [*by, "_range"], "inner")
+    v = F.col(value)
+    low = F.col("_below") + F.col("_low") - F.when(v == F.col("_v0"), F.col("_earlier")).otherwise(0)
+    many = F.when(v == F.col("_v0"), F.col("_k0")).when(v == F.col("_v1"), F.col("_k1")).otherwise(F.col("_c"))
+    return out.select(*rows.columns, (low + (many + 1) / 2).alias("_rank"), (F.col("_below") + F.col("_pos")).alias("_first"), "n")
+
+
 def quantiles_of(placed: DataFrame, value: str, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
     """``by, n, quantiles`` of ``placed_values``, with linear interpolation between neighbours."""
     by = list(by)
@@ -65,14 +164,14 @@ def quantiles_of(placed: DataFrame, value: str, probs: Sequence[float], by: Sequ
             F.struct(F.lit(i).alias("i"), (low + 1).cast("long").alias("place"), (at - low).alias("w")),
         ]
 
-    # A neighbour without weight is left out: infinity times nothing would be NaN.
-    here = F.filter(
-        F.array(*[s for i, p in enumerate(probs) for s in wanted(i, p)]),
-        lambda s: (s["w"] > 0) & (s["place"] >= F.col("_first")) & (s["place"] < F.col("_first") + F.col("_c")),
-    )
-    hits = placed.select(*by, "n", F.col(value).alias("_v"), here.alias("_here")).filter(F.size("_here") > 0)
+    # Plain comparisons leave the few values that hold a place; only those are unfolded. A neighbour
+    # without weight is left out: infinity times nothing would be NaN.
+    held = lambda s: (s["w"] > 0) & (s["place"] >= F.col("_first")) & (s["place"] < F.col("_first") + F.col("_c"))
+    all_wanted = [s for i, p in enumerate(probs) for s in wanted(i, p)]
+    some = placed.filter(reduce(or_, [held(s) for s in all_wanted]))
+    hits = some.select(*by, "n", F.col(value).alias("_v"), "_first", "_c", F.explode(F.array(*all_wanted)).alias("_s")).filter(held(F.col("_s")))
     # One value on both sides of the place is that value itself, without a sum.
-    parts = hits.select(*by, "n", "_v", F.explode("_here").alias("_s")).groupBy(*by, "n", F.col("_s.i").alias("_i"), "_v").agg(F.sum("_s.w").alias("_w"))
+    parts = hits.groupBy(*by, "n", F.col("_s.i").alias("_i"), "_v").agg(F.sum("_s.w").alias("_w"))
     term = F.when(F.col("_w") > 1 - 1e-12, F.col("_v")).otherwise(F.col("_v") * F.col("_w"))
     return parts.groupBy(*by).agg(
         F.first("n").alias("n"), F.array(*[F.sum(F.when(F.col("_i") == i, term)) for i in range(len(probs))]).alias("quantiles")

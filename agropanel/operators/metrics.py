@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agropanel.functions.order_stats import exact_quantiles, null_safe_join, placed_values, quantile_values, quantiles_of, ranks_of
+from agropanel.functions.order_stats import exact_quantiles, null_safe_join, quantile_values, quantiles_of, ranked
 from agropanel.runtime import cut_lineage
 
 # Names and order of the scores.
@@ -57,8 +57,9 @@ def _by_iqr(rmse: Column, quartiles: Column) -> Column:
 def metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """One row of scores per key; a key without any pair gives no row.
 
-    Equal pairs are counted and written once; quartiles and ranks come from the
-    counts, see ``functions/order_stats.py``, so no task holds a group.
+    Equal pairs are counted and written once. The pairs are dealt to ranges of the
+    truth, then, with their rank in it, to ranges of the prediction, see ``ranked`` in
+    ``functions/order_stats.py``: no task holds a group, and no rank is joined by value.
     """
     by = list(by)
     pairs = df.select(
@@ -69,18 +70,18 @@ def metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     keys = by or ["_all"]
     base = keyed.groupBy(*keys).agg(*[c.alias(name) for name, c in _scores(F.col("_y"), F.col("_p")).items()])
     rows = cut_lineage(keyed.groupBy(*keys, "_y", "_p").agg(F.count(F.lit(1)).alias("_w")))
-    placed_y, placed_p = placed_values(rows, "_y", keys, "_w"), placed_values(rows, "_p", keys, "_w")
-    quartiles = quantiles_of(placed_y, "_y", [0.25, 0.75], keys).select(*keys, "quantiles")
-    spearman = _spearman(rows, ranks_of(placed_y, "_y", keys), ranks_of(placed_p, "_p", keys), keys)
+    of_y = ranked(rows, "_y", "_p", keys, "_w")
+    places = of_y.select(*keys, "_y", F.col("_w").alias("_c"), "_first", "n")
+    quartiles = quantiles_of(places, "_y", [0.25, 0.75], keys).select(*keys, "quantiles")
+    of_p = ranked(of_y.select(*rows.columns, F.col("_rank").alias("_ry")), "_p", "_y", keys, "_w")
+    spearman = _spearman(of_p.withColumnRenamed("_rank", "_rp"), keys)
     out = null_safe_join(null_safe_join(base, quartiles, keys, "left"), spearman, keys, "left")
     out = out.withColumn("nrmse_iqr", _by_iqr(F.col("rmse"), F.col("quantiles")))
     return out.select(*by, *[F.col(f"`{m}`") for m in METRIC_NAMES])
 
 
-def _spearman(rows: DataFrame, rank_y: DataFrame, rank_p: DataFrame, keys: list[str]) -> DataFrame:
-    """Rank correlation per key of weighted pairs; the ranks have one row per distinct value."""
-    rows = null_safe_join(rows, rank_y.withColumnRenamed("_rank", "_ry"), [*keys, "_y"], "inner")
-    rows = null_safe_join(rows, rank_p.withColumnRenamed("_rank", "_rp"), [*keys, "_p"], "inner")
+def _spearman(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rank correlation per key of weighted pairs with both their ranks."""
     # Ranks of n rows always average (n + 1) / 2, so plain sums of products are enough.
     ry, rp, w = F.col("_ry"), F.col("_rp"), F.col("_w")
     n = F.sum(w)

@@ -155,7 +155,7 @@ def picked_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 def metrics_files(spark: SparkSession, folder: str) -> DataFrame:
     """Scores written as JSON, read back as runs: one run per overall document."""
-    preds = cut_lineage(V.preds(spark, folder))
+    preds = V.preds(spark, folder)
     root = _scratch(spark, "runs")
     document = sinks.metrics_document(
         E.metrics(preds, "y", "p"), E.metrics_by_year(preds, "y", "p"), config_name="wheat_check"

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from agropanel.functions.order_stats import exact_quantiles, placed_values, quantile_values, ranks_of
+from agropanel.functions.order_stats import exact_quantiles, placed_values, quantile_values, quantiles_of, ranked, ranks_of
 from agropanel.functions.pairwise import pairwise_correlation
 from agropanel.operators.metrics import METRIC_NAMES, metrics
 
@@ -170,3 +170,33 @@ def test_selection_shuffles_no_rows(spark):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs <= 4
+
+
+def test_ranked_rows_across_ranges(spark):
+    """Values that fill several ranges, beside NULL keys, NaN and weights; no join of the rows by value."""
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 5 == 0 else f"k{i % 3}", float("nan") if i % 97 == 0 else (7.0 if i % 3 == 0 else float(rng.integers(0, 9))), float(i), int(rng.integers(1, 4))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g STRING, v DOUBLE, t DOUBLE, w LONG").repartition(7)
+    found = ranked(df, "v", "t", ["g"], "w")
+    got = found.toPandas()
+    assert len(got) == len(rows)
+    want = pd.DataFrame(rows, columns=["g", "v", "t", "w"])
+    want = want.loc[want.index.repeat(want.w)].assign(g=lambda d: d.g.fillna("-"), v=lambda d: d.v.fillna(np.inf))
+    want["rank"] = want.groupby("g").v.rank()
+    want = want.drop_duplicates("t").set_index("t")["rank"]
+    assert np.allclose(got.set_index("t")["_rank"].sort_index(), want.sort_index())
+    # Own places are gapless per group.
+    for _, one in got.sort_values("_first").groupby("g", dropna=False):
+        assert (one["_first"].to_numpy() == np.cumsum(one.w.to_numpy()) - one.w.to_numpy()).all() and (one.n == one.w.sum()).all()
+    places = found.select("g", "v", F.col("w").alias("_c"), "_first", "n")
+    q = quantiles_of(places, "v", [0.25, 0.75], ["g"]).toPandas().set_index(["g"])["quantiles"]
+    flat = pd.DataFrame(rows, columns=["g", "v", "t", "w"])
+    flat = flat.loc[flat.index.repeat(flat.w)].assign(v=lambda d: d.v.fillna(np.inf))
+    assert np.allclose(q["k1"], flat[flat.g == "k1"].v.quantile([0.25, 0.75]))
+
+
+def test_scores_join_no_rows_by_value(spark):
+    df = spark.range(2000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("y"), (F.col("id") * 7 % 31).cast("double").alias("p"))
+    plan = metrics(df, "y", "p", ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert joins and all("_range" in line for line in joins), joins
