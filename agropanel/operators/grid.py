@@ -19,6 +19,8 @@ SINGLE_STEP = 0.083333333333
 LAND_SHARE = 0.5
 
 TILE = 64
+#: So many cells go to one task of a filling; all its passes hold their cells at once.
+TASK_CELLS = 200_000
 _TINY = 1e-9
 
 
@@ -226,7 +228,8 @@ def clip_box(df: DataFrame, west: float, south: float, east: float, north: float
 
 
 def fill_3x3(
-    df: DataFrame, grid: GridSpec, layer: Sequence[str] = (), passes: int = 2, value: str = "value"
+    df: DataFrame, grid: GridSpec, layer: Sequence[str] = (), passes: int = 2, value: str = "value",
+    layers: int | None = None,
 ) -> DataFrame:
     """Missing cells become the mean of their valid neighbours, ``passes`` times.
 
@@ -238,9 +241,14 @@ def fill_3x3(
     The table is shuffled once, by layer and square tile, with a rim of
     ``passes`` cells copied to the tiles next to it. All passes then aggregate
     inside that partitioning, and no tile holds more than (side + 2 passes)^2
-    cells, whatever the layers look like.
+    cells, whatever the layers look like. The number of tasks follows the cells of the
+    grid and the number of ``layers`` (counted if not given), so a task's memory does
+    not grow with the table.
     """
     layer = list(layer)
+    if layers is None:
+        layers = df.select(*layer).distinct().count() if layer else 1
+    tasks = max(-(-grid.width * grid.height * layers // TASK_CELLS), df.sparkSession.sparkContext.defaultParallelism)
     passes = max(1, int(passes))
     side = max(TILE, passes)  # no rim reaches beyond the next tile
 
@@ -256,7 +264,7 @@ def fill_3x3(
         .select(*layer, "row", "col", F.col(value).alias("_v"))
         .withColumn("_tr", F.explode(tiles("row")))
         .withColumn("_tc", F.explode(tiles("col")))
-        .repartition(*tile)
+        .repartition(tasks, *tile)
     )
     steps = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
     around = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in steps])

@@ -16,13 +16,13 @@ LAYER = ["dataset", "year", "month"]
 
 
 def prepared_layers(
-    layers: DataFrame, grid: GridSpec, passes: int = 2, convert: bool = True
+    layers: DataFrame, grid: GridSpec, passes: int = 2, convert: bool = True, count: int | None = None
 ) -> DataFrame:
-    """Markers to NULL, physical units, gaps filled; the mask must not have been applied yet."""
+    """Markers to NULL, physical units, gaps filled; the mask must not have been applied yet. ``count``: how many layers."""
     layers = null_sentinels(layers, ["value"])
     if convert:
         layers = convert_units(layers)
-    return fill_3x3(layers, grid, LAYER, passes)
+    return fill_3x3(layers, grid, LAYER, passes, layers=count)
 
 
 def yearly_features(sources: DataFrame, features: Sequence[str], by: Sequence[str] = ("pixel_id", "year")) -> DataFrame:
@@ -73,9 +73,11 @@ def build_panel(
         complete = complete.join(kept_pixels(mask), "pixel_id", "left_semi")
 
     # The months seen are a calendar: one short array beside each pixel-year.
-    calendar = (
-        layers.select("year", "month").distinct().agg(F.sort_array(F.collect_set(F.struct("year", "month")))).scalar()
-    )
+    # It is taken once, as the number of layers also tells how many tasks fill the gaps.
+    seen = layers.select("year", "month").distinct().agg(F.sort_array(F.collect_set(F.struct("year", "month")))).first()[0]
+    kinds = ", ".join(f"{c}: {layers.schema[c].dataType.simpleString()}" for c in ("year", "month"))
+    calendar = F.array(*[F.struct(F.lit(m["year"]).alias("year"), F.lit(m["month"]).alias("month")) for m in seen])
+    calendar = calendar.cast(f"ARRAY<STRUCT<{kinds}>>")
     months = F.transform(
         F.filter("_calendar", lambda m: m["year"] == F.col("year")), lambda m: m["month"]
     )
@@ -84,7 +86,7 @@ def build_panel(
         .withColumn("month", F.explode(months))
         .drop("_calendar")
     )
-    wide = widen(prepared_layers(layers, grid, passes, convert), datasets)
+    wide = widen(prepared_layers(layers, grid, passes, convert, len(seen) * len(datasets)), datasets)
     joined = spine.join(wide, PANEL_KEYS, "left")
     rest = [c for c in complete.columns if c not in ("pixel_id", "year")]
     return joined.select(*PANEL_KEYS, *datasets, *rest)

@@ -218,3 +218,17 @@ def test_yield_series(spark):
 def test_fill_policy():
     assert is_filled("modis_ndvi") and is_filled("static_zone")
     assert not is_filled("fert_n") and not is_filled("yield_wheat")
+
+
+def test_tasks_of_a_filling_follow_the_cells(spark, monkeypatch):
+    """Twice the layers are twice the tasks, so a task's memory does not grow with the table."""
+    from agropanel.operators import grid as module
+
+    monkeypatch.setattr(module, "TASK_CELLS", 1000)
+    grid = GridSpec(west=0.0, north=0.0, xres=1.0, yres=1.0, width=100, height=100)
+
+    def tasks(months):
+        cells = spark.range(months * 10).select((F.col("id") % months).alias("month"), F.col("id").alias("pixel_id"), F.lit(1.0).alias("value"))
+        return module.fill_3x3(cells, grid, ["month"])._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1].splitlines()[0]
+
+    assert tasks(6).endswith(" 60") and tasks(12).endswith(" 120")
