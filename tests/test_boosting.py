@@ -164,3 +164,12 @@ def test_models_of_histograms(spark, table, tmp_path, kind, params):
     assert both.filter(F.abs(F.col("one") - F.col("two")) > 1e-12).isEmpty()
     with pytest.raises(ValueError):
         L.fit(kind, rows, FEATURES, "y", leaves=3)
+
+
+def test_rows_are_not_written_after_the_last_round(table, monkeypatch):
+    written = []
+    plain_cut = B.cut_lineage
+    monkeypatch.setattr(B, "cut_lineage", lambda df: written.append(df) or plain_cut(df))
+    monkeypatch.setattr(B, "REWRITE", 2)
+    booster = B.boost(table[1], values(), F.col("y"), len(FEATURES), B.Settings(n_estimators=4, max_depth=2))
+    assert len(booster.trees) == 4 and len(written) == 2  # the binned rows, and those after two rounds
