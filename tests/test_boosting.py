@@ -1,5 +1,7 @@
 """Histogram boosting against a plain booster that looks at every row."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -173,3 +175,32 @@ def test_rows_are_not_written_after_the_last_round(table, monkeypatch):
     monkeypatch.setattr(B, "REWRITE", 2)
     booster = B.boost(table[1], values(), F.col("y"), len(FEATURES), B.Settings(n_estimators=4, max_depth=2))
     assert len(booster.trees) == 4 and len(written) == 2  # the binned rows, and those after two rounds
+
+
+def test_the_leafwise_query_does_all_rounds_and_leaves(spark, data, monkeypatch):
+    import __spark_entry__ as entry
+
+    asked, plain_boost = [], L.boost
+    monkeypatch.setattr(L, "boost", lambda *a: (asked.append(a[4]), plain_boost(*a[:4], replace(a[4], n_estimators=1), *a[5:]))[1])
+    assert entry.queries()["model_leafwise"](spark, data).count() == 3
+    assert asked == [B.Settings(**L.DEFAULTS["gbdt"])] and (asked[0].n_estimators, asked[0].num_leaves) == (1200, 63)
+
+
+@pytest.mark.parametrize("settings", [{"max_depth": -1, "num_leaves": 20, "min_child_weight": 5.0, "subsample": 0.8, "colsample_bytree": 0.6}, {"max_depth": 5}])
+@pytest.mark.parametrize("near", [0, 30, 200])
+def test_tasks_and_nodes_finished_by_them_change_no_tree(table, monkeypatch, settings, near):
+    pdf, df = table
+    s = B.Settings(n_estimators=5, learning_rate=0.3, **settings)
+    want, passes, finished = B.boost(df, values(), F.col("y"), 4, s), [], []
+    for name, value in (("TASK_BYTES", 300), ("BLOCK", 50), ("DIRECT", 2), ("REWRITE", 2), ("NEAR", near)):
+        monkeypatch.setattr(B, name, value)
+    plain_sums, plain_rows = B._sums, B._rows
+    monkeypatch.setattr(B, "_sums", lambda *a: (passes.append(a[2]), plain_sums(*a))[1])
+    monkeypatch.setattr(B, "_rows", lambda *a: (finished.append(a[1]), plain_rows(*a))[1])
+    got = B.boost(df, values(), F.col("y"), 4, s)
+    assert len(passes) >= 5 and (len(finished) >= 5) == (near > 0)
+    for one, other in zip(got.trees, want.trees, strict=True):
+        one, other = paths(one), paths(other)
+        assert one.keys() == other.keys()
+        for path, node in other.items():
+            assert one[path] == pytest.approx(node, rel=1e-9, abs=1e-9)
